@@ -93,6 +93,26 @@ THREAT_PATTERNS = [
     r"(?:you\s*will\s*regret|you'll\s*be\s*sorry)",
 ]
 
+# Words one of which any match of the pattern must contain, in lower case. They let a cheap substring
+# test stand before the regular expression; patterns without an entry are always run.
+PATTERN_HINTS = {
+    RBI_PATTERNS[0]: ["unauthorized", "breach", "confidential"],
+    RBI_PATTERNS[1]: ["share"],
+    RBI_PATTERNS[2]: ["send"],
+    RBI_PATTERNS[3]: ["bank"],
+    RBI_PATTERNS[4]: ["atm", "banking"],
+    RBI_PATTERNS[5]: ["upi", "paytm"],
+    IRDAI_PATTERNS[0]: ["pre-existing", "covered", "denied", "lapsed"],
+    IRDAI_PATTERNS[1]: ["misrepresent", "false", "fraud"],
+    IRDAI_PATTERNS[2]: ["consent", "solicited"],
+    IRDAI_PATTERNS[3]: ["cooling", "look"],
+    IRDAI_PATTERNS[4]: ["commission", "sell"],
+    THREAT_PATTERNS[9]: ["kill", "murder", "destroy", "burn"],
+    THREAT_PATTERNS[10]: ["rape", "raping"],
+    THREAT_PATTERNS[11]: ["threat"],
+    THREAT_PATTERNS[12]: ["regret", "sorry"],
+}
+
 # --- self-introduction phrases that mark the agent (fixed values) ------------------------------
 AGENT_PHRASES = (
     r"(?:बात\s+कर\s+रह[ीा]\s+हूं|जॉब\s+रिकॉर्डिंग|कैलिबर|इंटरव्यू|रिक्वायरमेंट|सेल[्स]?\s+प्रोफाइल|"
@@ -192,3 +212,16 @@ STORE_CONFIG = {
 def java_pattern(pattern: str) -> str:
     """Case folding in Java covers ASCII only unless asked for Unicode."""
     return pattern.replace("(?i)", "(?iu)")
+
+
+def needs_devanagari(pattern: str) -> bool:
+    """True if every alternative of the pattern has a mandatory Devanagari letter.
+
+    Answers False when in doubt: optional groups or character classes next to such letters.
+    """
+    if any(x in pattern for x in (")?", ")*", "{0", "|)", "(|")):
+        return False
+    import re
+
+    bare = re.sub(r"\[[^\]]*\]|.[?*]", "", pattern)
+    return all(re.search("[\u0904-\u0939]", part) for part in bare.split("|"))

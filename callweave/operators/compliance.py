@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import lexicon
-from callweave.functions.lexicon import java_pattern
+from callweave.functions.lexicon import java_pattern, needs_devanagari
 from callweave.functions.rules import is_agent
-from callweave.functions.text import tokens_with_marks
+from callweave.functions.text import DEVANAGARI, tokens_with_marks
 
 EXACT, COMPOUND, THREAT, FUZZY, REGULATORY = 0, 1, 2, 3, 4
 VIOLATION_COLUMNS = [
@@ -64,11 +64,36 @@ def keyword_hits(lowered: Column, keywords: Sequence[str]) -> Column:
     ).cast("array<string>")
 
 
-def pattern_hits(text: Column, patterns: Sequence[str]) -> Column:
-    """First match of every pattern that matches, in pattern order."""
-    found = [
-        F.when(text.rlike(java_pattern(p)), F.regexp_extract(text, java_pattern(p), 0)) for p in patterns
-    ]
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that case-insensitive matching treats as s and i mapped to them."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.lower(F.translate(text, "\u017f\u0131\u0130", "sii")))
+
+
+def has_devanagari(text: Column) -> Column:
+    return F.when(F.octet_length(text) == F.length(text), False).otherwise(text.rlike(DEVANAGARI))
+
+
+def pattern_hits(
+    text: Column, patterns: Sequence[str], folded_text: Column | None = None, devanagari: Column | None = None
+) -> Column:
+    """First match of every pattern that matches, in pattern order.
+
+    Where it is known what a match must contain, a substring test decides whether the regular
+    expression is run at all.
+    """
+    found = []
+    for p in patterns:
+        regex = java_pattern(p)
+        hit = text.rlike(regex)
+        if folded_text is not None and p in lexicon.PATTERN_HINTS:
+            hint = F.lit(False)
+            for word in lexicon.PATTERN_HINTS[p]:
+                hint = hint | F.contains(folded_text, F.lit(word))
+            hit = hint & hit
+        elif devanagari is not None and needs_devanagari(p):
+            hit = devanagari & hit
+        found.append(F.when(hit, F.regexp_extract(text, regex, 0)))
     return F.array_compact(F.array(*found)).cast("array<string>") if found else _strings([])
 
 
@@ -86,13 +111,15 @@ def _keep_new(found: Column, seen: Column, same) -> Column:
 def scan_columns(turns: DataFrame, policy: Policy = DEFAULT_POLICY, text: str = "text") -> DataFrame:
     """Add ``exact``, ``compound``, ``threat`` (arrays of strings) and one array per regulator."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = turns.withColumn("__low", F.lower(body))
+    # Used many times each, so Spark computes them once per row instead of inlining them.
+    out = turns.withColumns({"__low": F.lower(body), "__fold": folded(body), "__dev": has_devanagari(body)})
+    hits = lambda ps: pattern_hits(body, ps, F.col("__fold"), F.col("__dev"))
     out = out.withColumns(
         {
             "exact": keyword_hits(F.col("__low"), policy.keywords),
-            "__c": pattern_hits(body, policy.compounds),
-            "__t": pattern_hits(body, policy.threats),
-            **{f"reg_{k}": pattern_hits(body, ps) for k, ps in policy.regulatory.items()},
+            "__c": hits(policy.compounds),
+            "__t": hits(policy.threats),
+            **{f"reg_{k}": hits(ps) for k, ps in policy.regulatory.items()},
         }
     )
     contains = lambda s, m: F.contains(s, m) | F.contains(m, s)
@@ -100,7 +127,7 @@ def scan_columns(turns: DataFrame, policy: Policy = DEFAULT_POLICY, text: str =
     out = out.withColumn(
         "threat", _keep_new(F.col("__t"), F.concat("exact", "compound"), lambda s, m: s == m)
     )
-    return out.drop("__low", "__c", "__t")
+    return out.drop("__low", "__fold", "__dev", "__c", "__t")
 
 
 def _as_rows(found: Column, category: str, match_type: str, stage: int, first: int = 0) -> Column:
@@ -118,9 +145,8 @@ def _as_rows(found: Column, category: str, match_type: str, stage: int, first: i
     )
 
 
-def direct_violations(scanned: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Everything that one look at a turn finds, in long form."""
-    rows = [
+def _direct_rows(policy: Policy) -> list[Column]:
+    return [
         _as_rows(F.col("exact"), "ABUSIVE", "exact", EXACT),
         _as_rows(F.col("compound"), "ABUSIVE", "compound", COMPOUND),
         _as_rows(F.col("threat"), "THREAT", "threat", THREAT),
@@ -129,7 +155,22 @@ def direct_violations(scanned: DataFrame, policy: Policy = DEFAULT_POLICY) -> Da
             for i, k in enumerate(policy.regulatory)
         ],
     ]
-    return scanned.select("call_id", "seg_idx", "speaker", F.inline(F.concat(*rows))).select(VIOLATION_COLUMNS)
+
+
+def _candidate_rows(policy: Policy, text: str) -> Column:
+    """Tokens that may be near misses: long enough and not taken by an earlier detector."""
+    seen = F.concat("exact", "compound", "threat")
+    fresh = F.filter(
+        F.array_distinct(tokens_with_marks(F.coalesce(F.col(text), F.lit("")))),
+        lambda t: (F.length(t) >= policy.min_token) & ~F.array_contains(seen, t),
+    )
+    return _as_rows(fresh, "ABUSIVE", "fuzzy", FUZZY)
+
+
+def direct_violations(scanned: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Everything that one look at a turn finds, in long form."""
+    rows = F.concat(*_direct_rows(policy))
+    return scanned.select("call_id", "seg_idx", "speaker", F.inline(rows)).select(VIOLATION_COLUMNS)
 
 
 def reachable_lengths(policy: Policy) -> list[tuple[str, int, int]]:
@@ -174,33 +215,49 @@ def near_miss_dictionary(tokens: DataFrame, policy: Policy = DEFAULT_POLICY) ->
     )
 
 
-def near_misses(scanned: DataFrame, policy: Policy = DEFAULT_POLICY, text: str = "text") -> DataFrame:
-    """Tokens close to a keyword that no earlier detector has taken, in long form."""
-    seen = F.concat("exact", "compound", "threat")
-    fresh = F.filter(
-        F.array_distinct(tokens_with_marks(F.coalesce(F.col(text), F.lit("")))),
-        lambda t: (F.length(t) >= policy.min_token) & ~F.array_contains(seen, t),
-    )
-    tokens = scanned.select("call_id", "seg_idx", "speaker", F.posexplode(fresh).alias("pos", "token"))
-    matches = near_miss_dictionary(tokens, policy)
-    return tokens.join(matches, "token").select(
+def vocabulary(turns: DataFrame, policy: Policy = DEFAULT_POLICY, text: str = "text") -> DataFrame:
+    """Distinct tokens worth comparing with the dictionary."""
+    longest = max((len(k) for k in policy.keywords), default=0) + policy.max_distance
+    tokens = turns.select(F.explode(tokens_with_marks(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+    return tokens.where(F.length("token").between(policy.min_token, longest)).distinct()
+
+
+def _resolve(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Keep found rows, and candidate tokens that the near-miss dictionary knows."""
+    near = near.select("token", F.col("keyword").alias("__kw"), F.col("distance").alias("__d"))
+    candidate = F.col("match_type") == "fuzzy"
+    joined = rows.join(near, candidate & (F.col("matched") == F.col("token")), "left")
+    return joined.where(~candidate | F.col("__kw").isNotNull()).select(
         "call_id",
         "seg_idx",
         "speaker",
-        F.lit("ABUSIVE").alias("category"),
-        "keyword",
-        F.col("token").alias("matched"),
-        F.lit("fuzzy").alias("match_type"),
-        "distance",
-        F.lit(FUZZY).alias("stage"),
-        F.col("pos").cast("long").alias("pos"),
+        "category",
+        F.coalesce("__kw", "keyword").alias("keyword"),
+        "matched",
+        "match_type",
+        F.coalesce("__d", "distance").alias("distance"),
+        "stage",
+        "pos",
     )
 
 
-def violations(turns: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """All violations of all turns."""
-    scanned = scan_columns(turns, policy)
-    return direct_violations(scanned, policy).unionByName(near_misses(scanned, policy))
+def near_misses(turns: DataFrame, policy: Policy = DEFAULT_POLICY, text: str = "text") -> DataFrame:
+    """Tokens close to a keyword that no earlier detector has taken, in long form."""
+    rows = scan_columns(turns, policy, text).select("call_id", "seg_idx", "speaker", F.inline(_candidate_rows(policy, text)))
+    near = near_miss_dictionary(vocabulary(turns, policy, text), policy)
+    return _resolve(rows, near)
+
+
+def violations(turns: DataFrame, policy: Policy = DEFAULT_POLICY, text: str = "text") -> DataFrame:
+    """All violations of all turns.
+
+    The texts are scanned once for everything a turn shows by itself and for candidate tokens, and
+    once more for the vocabulary that is compared with the dictionary. Matching tokens are few, so
+    the last join is normally a broadcast one; Spark decides by their size.
+    """
+    found = F.concat(*_direct_rows(policy), _candidate_rows(policy, text))
+    rows = scan_columns(turns, policy, text).select("call_id", "seg_idx", "speaker", F.inline(found))
+    return _resolve(rows, near_miss_dictionary(vocabulary(turns, policy, text), policy))
 
 
 def first_of_kind(found: DataFrame) -> DataFrame:

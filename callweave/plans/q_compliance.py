@@ -22,8 +22,8 @@ CONTACT_PATTERNS = [
 DOC_POLICY = DEFAULT_POLICY.with_regulatory(CONTACT=CONTACT_PATTERNS)
 # Words of the test conversations, so that turns have something to find.
 SEG_POLICY = Policy(
-    keywords=(*DEFAULT_POLICY.keywords, "there", "leaux", "nicht", "unden"),
-    innocent=(*DEFAULT_POLICY.innocent, "theren", "thered"),
+    keywords=(*DEFAULT_POLICY.keywords, "thing", "nicht", "unden"),
+    innocent=(*DEFAULT_POLICY.innocent, "inthing", "thinged", "handen"),
     compounds=(),
     regulatory={**DEFAULT_POLICY.regulatory, "CONTACT": CONTACT_PATTERNS},
 )
@@ -42,16 +42,16 @@ def fx2(spark, d):
 
 @query("fx3_keyword_hits", f"WITH {DOC_VIO} SELECT call_id, keyword FROM vio WHERE match_type = 'exact'")
 def fx3(spark, d):
-    low = F.lower("text")
-    return standins.documents(spark, d).select(
-        "call_id", F.explode(compliance.keyword_hits(low, DOC_POLICY.keywords)).alias("keyword")
-    )
+    scanned = compliance.scan_columns(standins.documents(spark, d), DOC_POLICY)
+    found = compliance.direct_violations(scanned, DOC_POLICY)
+    return found.where("match_type = 'exact'").select("call_id", "keyword")
 
 
 @query("fx4_threat_patterns", f"WITH {DOC_VIO} SELECT call_id, matched FROM vio WHERE match_type = 'threat'")
 def fx4(spark, d):
     scanned = compliance.scan_columns(standins.documents(spark, d), DOC_POLICY)
-    return scanned.select("call_id", F.explode("threat").alias("matched"))
+    found = compliance.direct_violations(scanned, DOC_POLICY)
+    return found.where("match_type = 'threat'").select("call_id", "matched")
 
 
 COMPOUND_POLICY = Policy(
@@ -86,14 +86,12 @@ def fx5(spark, d):
 
 @query("jn8_near_misses", f"WITH {DOC_VIO} SELECT call_id, keyword, matched, distance FROM vio WHERE match_type = 'fuzzy'")
 def jn8(spark, d):
-    scanned = compliance.scan_columns(standins.documents(spark, d), DOC_POLICY)
-    return compliance.near_misses(scanned, DOC_POLICY).select("call_id", "keyword", "matched", "distance")
+    return compliance.near_misses(standins.documents(spark, d), DOC_POLICY).select("call_id", "keyword", "matched", "distance")
 
 
 @query("jn9_innocent_words", f"WITH {SEG_VIO} SELECT DISTINCT matched, keyword, distance FROM vio WHERE match_type = 'fuzzy'")
 def jn9(spark, d):
-    scanned = compliance.scan_columns(standins.segments(spark, d), SEG_POLICY)
-    return compliance.near_misses(scanned, SEG_POLICY).select("matched", "keyword", "distance").distinct()
+    return compliance.near_misses(standins.segments(spark, d), SEG_POLICY).select("matched", "keyword", "distance").distinct()
 
 
 @query("so1_all_violations", f"WITH {DOC_VIO} SELECT {COLS} FROM vio")
@@ -208,8 +206,8 @@ def jn11(spark, d):
       {rnd("CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END", 4)} AS recall FROM c""",
 )
 def precision_recall(spark, d):
-    low = F.lower("text")
-    found = standins.documents(spark, d).where(F.size(compliance.keyword_hits(low, DOC_POLICY.keywords)) > 0)
+    scanned = compliance.scan_columns(standins.documents(spark, d), DOC_POLICY)
+    found = compliance.direct_violations(scanned, DOC_POLICY).where("match_type = 'exact'")
     truth = standins.table(spark, d, "labels").select(F.col("doc_id").alias("call_id"), "toxic")
     return evaluate.scan_quality(found, truth)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.lexicon import JOB_STAGES
 from callweave.functions.numeric import block_of
+from callweave.session import spread
 from callweave.operators.scans import Run, numbered, running
 
 WORD_S = 0.4
@@ -111,7 +112,8 @@ def emotions(seg: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """One document as a call of one turn; even documents are spoken by the agent."""
-    return table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select(
         F.col("doc_id").alias("call_id"),
         F.lit(0).cast("long").alias("seg_idx"),
         F.when(F.col("doc_id") % 2 == 0, "agent").otherwise("customer").alias("speaker"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for these workloads on any cluster. Partition counts are left to AQE,
 # which coalesces small partitions and splits skewed join partitions at run time.
@@ -47,3 +47,12 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         return tempfile.mkdtemp(prefix=f"spark-{purpose}-")
     return f"{base.rstrip('/')}/callweave-{purpose}-{os.urandom(6).hex()}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row when the input has fewer splits than cores.
+
+    A large input has more splits than there are cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
