@@ -19,6 +19,7 @@ SETTINGS = {
 
 
 def local_session(cores: int | str = 8, app: str = "callweave", **extra: str) -> SparkSession:
+    ship_by_value()
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     settings = {
         **SETTINGS,
@@ -49,6 +50,18 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/callweave-{purpose}-{os.urandom(6).hex()}"
 
 
+def ship_by_value() -> None:
+    """Send this package's functions to Python workers with the code that uses them.
+
+    Workers then need no copy of the package on their path.
+    """
+    from pyspark import cloudpickle
+
+    import callweave
+
+    cloudpickle.register_pickle_by_value(callweave)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for work that is heavy per row when the input has fewer splits than cores.
 

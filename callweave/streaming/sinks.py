@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from callweave.sources.store import upsert
 
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
 
 def upsert_stream(
     rows: DataFrame,
@@ -24,6 +26,7 @@ def upsert_stream(
     A row's version is (``version`` columns, batch number), so a batch that is replayed after a
     failure changes nothing. Returns the started query, which stops when all input is consumed.
     """
+    spark = rows.sparkSession
     order = F.struct(*version, "__batch")
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
 
@@ -31,15 +34,27 @@ def upsert_stream(
         tagged = (
             batch.withColumn("__batch", F.lit(batch_id)).withColumn("row_key", key).withColumn("row_version", order)
         )
-        upsert(batch.sparkSession, tagged.drop("__batch"), path, "row_key", "row_version", buckets)
+        # The upsert looks at the batch twice; keeping it spares running the stateful part again.
+        tagged = tagged.drop("__batch").persist()
+        try:
+            upsert(batch.sparkSession, tagged, path, "row_key", "row_version", buckets)
+        finally:
+            tagged.unpersist()
 
-    return (
-        rows.writeStream.outputMode(output_mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    # State with a time to live always asks for one more empty batch, so a run over what has arrived
+    # would not end. The setting is read when the query starts.
+    before = spark.conf.get(EMPTY_BATCHES, "true")
+    spark.conf.set(EMPTY_BATCHES, "false")
+    try:
+        return (
+            rows.writeStream.outputMode(output_mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+    finally:
+        spark.conf.set(EMPTY_BATCHES, before)
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str):
