@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from callweave.functions import lexicon
 from callweave.functions.fusion import fuse
 from callweave.functions.numeric import block_of, steady
-from callweave.functions.rules import emotion_of_label, sentiment_of_label
+from callweave.functions.rules import emotion_of_label, sentiment_of_label, too_short_to_judge
 from callweave.functions.text import scoring_text, tokens
 from callweave.functions.vectors import total
 from callweave.operators.scans import BLOCK_ROWS, expanding_moments
@@ -151,11 +151,12 @@ def classify_acoustic(df: DataFrame, section: str = "hif0_section") -> DataFrame
             for p, peak in lexicon.ACOUSTIC_PROFILES.values()
         ]
     )
-    out = out.withColumn("__s", sims)
+    # Maximum and sum are columns of their own; inside a lambda they would be computed per element.
+    out = out.withColumn("__s", sims).withColumn("__m", F.array_max("__s"))
     out = out.withColumn(
-        "__e", F.transform("__s", lambda s: F.exp((s - F.array_max("__s")) / lexicon.ACOUSTIC_TEMPERATURE))
-    )
-    out = out.withColumn("__p", F.transform("__e", lambda e: e / total(F.col("__e"))))
+        "__e", F.transform("__s", lambda s: F.exp((s - F.col("__m")) / lexicon.ACOUSTIC_TEMPERATURE))
+    ).withColumn("__t", total(F.col("__e")))
+    out = out.withColumn("__p", F.transform("__e", lambda e: e / F.col("__t")))
     names = F.array(*[F.lit(n) for n in lexicon.ACOUSTIC_PROFILES])
     top = F.array_max("__p")
     return out.withColumns(
@@ -165,12 +166,12 @@ def classify_acoustic(df: DataFrame, section: str = "hif0_section") -> DataFrame
             "indeterminate": top < lexicon.ACOUSTIC_MIN_CONFIDENCE,
             "all_scores": F.map_from_arrays(names, F.transform("__p", lambda x: steady(x, 4))),
         }
-    ).drop("__d", "__s", "__e", "__p")
+    ).drop("__d", "__s", "__m", "__e", "__t", "__p")
 
 
 def acoustic_emotions(prosody: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Acoustic emotion per turn; short turns and turns without a baseline are neutral at 0."""
-    long_enough = prosody.where(F.col("duration_s") >= 0.3)
+    long_enough = prosody.where(~too_short_to_judge(F.col("duration_s")))
     judged = classify_acoustic(speaker_deltas(long_enough, block_rows=block_rows))
     none = F.lit(None).cast("map<string,double>")
     based = F.col("has_baseline")
@@ -182,7 +183,7 @@ def acoustic_emotions(prosody: DataFrame, block_rows: int = BLOCK_ROWS) -> DataF
         F.when(based, F.col("indeterminate")).otherwise(True).alias("indeterminate"),
         F.when(based, F.col("all_scores")).otherwise(none).alias("all_scores"),
     )
-    short = prosody.where(F.col("duration_s") < 0.3).select(
+    short = prosody.where(too_short_to_judge(F.col("duration_s"))).select(
         "call_id",
         "seg_idx",
         F.lit("neutral").alias("emotion"),

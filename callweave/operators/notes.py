@@ -10,21 +10,31 @@ from callweave.functions.rules import is_agent
 from callweave.functions.text import SENTENCE_END, SPACE, is_blank, strip, tokens
 from callweave.operators.emotion import sentiment_mode
 from callweave.operators.scans import BLOCK_ROWS, Run, running
+from callweave.session import materialize
 
 NO_TRANSCRIPT = "No transcript available for summarization."
 MIN_CHARS = 10
 
 
-def _long_enough(parts: Column) -> Column:
-    return F.filter(F.transform(parts, strip), lambda s: F.length(s) > MIN_CHARS)
+def split_sentences(docs: DataFrame, name: str = "sentences") -> DataFrame:
+    """Add sentences longer than ten characters, or the non-blank lines if there are none.
 
-
-def document_sentences(text: Column) -> Column:
-    """Sentences longer than ten characters, or the non-blank lines if there are none."""
-    body = strip(F.coalesce(text, F.lit("")))
-    kept = _long_enough(F.split(body, f"(?<={SENTENCE_END}){SPACE}+"))
-    lines = F.filter(F.transform(F.split(body, "\n"), strip), lambda s: s != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(lines)
+    The text is trimmed first and breaks swallow all white space, so the pieces need no trimming.
+    """
+    rows = docs.withColumn("__body", strip(F.coalesce("text", F.lit(""))))
+    pieces = F.split("__body", f"(?<={SENTENCE_END}){SPACE}+")
+    rows = rows.withColumn("__kept", F.filter(pieces, lambda s: F.length(s) > MIN_CHARS))
+    lines = F.filter(F.transform(F.split("__body", "\n"), strip), lambda s: s != "")
+    chosen = F.when(F.size("__kept") > 0, F.col("__kept")).otherwise(lines)
+    return rows.withColumn(name, chosen).drop("__body", "__kept")
+
+
+def sentence_rows(split: DataFrame) -> DataFrame:
+    """One row per sentence of a document: (call_id, n_docs, sent_idx, sentence)."""
+    rows = split.select(
+        "call_id", F.size("sentences").alias("n_docs"), F.posexplode_outer("sentences").alias("sent_idx", "sentence")
+    )
+    return rows.where(F.col("sentence").isNotNull())
 
 
 def sentence_scores(sentences: DataFrame) -> DataFrame:
@@ -61,12 +71,11 @@ def summarize_documents(docs: DataFrame, n: int = 5) -> DataFrame:
     Only sentence numbers travel through the ranking; the text is picked from the document's own row
     at the end.
     """
-    split = docs.select("call_id", document_sentences(F.col("text")).alias("__s"))
-    rows = split.select("call_id", F.size("__s").alias("n_docs"), F.posexplode("__s").alias("sent_idx", "sentence"))
-    best = top_sentences(sentence_scores(rows), n)
+    split = split_sentences(docs.select("call_id", "text")).drop("text")
+    best = top_sentences(sentence_scores(sentence_rows(split)), n)
     picks = best.groupBy("call_id").agg(F.array_sort(F.collect_list("sent_idx")).alias("picks"))
     joined = split.join(picks, "call_id", "left")
-    chosen = F.array_join(F.transform("picks", lambda i: F.get(F.col("__s"), i)), " ")
+    chosen = F.array_join(F.transform("picks", lambda i: F.get(F.col("sentences"), i)), " ")
     return joined.select("call_id", F.coalesce(chosen, F.lit(NO_TRANSCRIPT)).alias("summary"))
 
 
@@ -77,24 +86,24 @@ def _stitched(turns: DataFrame, breaks: str, ends: str | None, block_rows: int)
     pieces that form one sentence is as large as the sentence.
     """
     body = strip(F.col("text"))
-    pieces = turns.where(~is_blank(F.col("text"))).select(
+    rows = turns.where(~is_blank(F.col("text"))).select(
         "call_id",
         "seg_idx",
         (body.rlike(f"{ends}$") if ends else F.lit(False)).alias("__closed"),
-        F.posexplode(F.split(body, breaks)).alias("k", "piece"),
+        F.split(body, breaks).alias("__parts"),
     )
-    block = block_of(F.col("seg_idx"), block_rows)
-    pieces = running(
-        pieces, ["call_id"], ["seg_idx", "k"], block, {"__prev": Run("last", F.col("__closed"), inclusive=False)}
+    pieces = rows.select(
+        "call_id", "seg_idx", "__closed", F.size("__parts").alias("__n"), F.posexplode_outer("__parts").alias("k", "piece")
     )
-    fresh = (F.col("k") > 0) | F.col("__prev").isNull() | F.col("__prev")
+    # A sentence ends inside a turn after every piece but the last, and at a turn's end if closed.
+    ends_here = F.when((F.col("k") < F.col("__n") - 1) | F.col("__closed"), 1).otherwise(0).cast("long")
     pieces = running(
         pieces,
         ["call_id"],
         ["seg_idx", "k"],
-        block,
-        {"sent_idx": Run("sum", F.when(fresh, 1).otherwise(0).cast("long"))},
-    )
+        block_of(F.col("seg_idx"), block_rows),
+        {"sent_idx": Run("sum", ends_here, inclusive=False)},
+    ).withColumn("sent_idx", F.coalesce("sent_idx", F.lit(0).cast("long")))
     entry = F.struct("seg_idx", "k", "piece")
     return (
         pieces.groupBy("call_id", "sent_idx")
@@ -108,8 +117,13 @@ def _stitched(turns: DataFrame, breaks: str, ends: str | None, block_rows: int)
 
 
 def call_sentences(turns: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Sentences of a call's whole transcript, which may run across turns."""
-    all_sents = _stitched(turns, f"(?<={SENTENCE_END}){SPACE}+", SENTENCE_END, block_rows)
+    """Sentences of a call's whole transcript, which may run across turns.
+
+    They are used four times, so they are written to the shared folder once.
+    """
+    all_sents = materialize(
+        _stitched(turns, f"(?<={SENTENCE_END}){SPACE}+", SENTENCE_END, block_rows), "sentences"
+    )
     kept = all_sents.where(F.length("sentence") > MIN_CHARS)
     short = all_sents.groupBy("call_id").agg(F.max(F.length("sentence")).alias("m")).where(F.col("m") <= MIN_CHARS)
     short_turns = turns.join(short.select("call_id"), "call_id", "left_semi")

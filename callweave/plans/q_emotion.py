@@ -23,9 +23,9 @@ def polarity(expr: str) -> str:
     return f"CASE {senti(expr)} WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 ELSE 0.0 END::DOUBLE"
 
 
-def predictions(spark, d):
+def predictions(spark, d, seg=None):
     """Turns with a text side and an acoustic side; some turns lack one of them."""
-    rows = standins.emotions(standins.segments(spark, d))
+    rows = standins.emotions(standins.segments(spark, d) if seg is None else seg)
     text_side = rows.where("label <> 'surprise'").select(
         "call_id", "seg_idx", rules.emotion_of_label(F.col("label")).alias("emotion"), "confidence"
     )

@@ -12,6 +12,7 @@ from callweave.plans.oracle import DIAR, DOC, EMO, NWS, SEG, WS, grade_case, lit
 from callweave.plans.q_compliance import SEG_POLICY, SEG_VIO
 from callweave.plans.q_emotion import FUSE_SQL, predictions
 from callweave.plans.registry import query
+from callweave.session import materialize
 from callweave.sources import store
 
 
@@ -41,9 +42,9 @@ def ag2(spark, d):
 
 
 def scored_turns(spark, d):
-    """Turns with fused sentiment and violation counts."""
-    seg = standins.segments(spark, d)
-    fused = emotion.fuse_sides(*predictions(spark, d))
+    """Turns with fused sentiment and violation counts; the turn table is built once."""
+    seg = materialize(standins.segments(spark, d), "turns")
+    fused = emotion.fuse_sides(*predictions(spark, d, seg))
     flags = compliance.turn_flags(seg, compliance.violations(seg, SEG_POLICY))
     return (
         seg.join(fused.select("call_id", "seg_idx", "emotion", "sentiment", "confidence"), ["call_id", "seg_idx"], "left")
@@ -209,8 +210,7 @@ def ag12(spark, d):
     f"WITH {DOC}, {summary_sql('doc', 'd')} SELECT call_id, idx::BIGINT - 1 AS sent_idx FROM drk",
 )
 def tk1(spark, d):
-    docs = standins.documents(spark, d).select("call_id", notes.document_sentences(F.col("text")).alias("s"))
-    rows = docs.select("call_id", F.size("s").alias("n_docs"), F.posexplode("s").alias("sent_idx", "sentence"))
+    rows = notes.sentence_rows(notes.split_sentences(standins.documents(spark, d)))
     return notes.top_sentences(notes.sentence_scores(rows)).select("call_id", F.col("sent_idx").cast("long").alias("sent_idx"))
 
 
@@ -236,8 +236,8 @@ def ag12c(spark, d):
       'Recommended Action: ' || {ACTION}) AS note_text FROM n""",
 )
 def fx17(spark, d):
-    rows = scored_turns(spark, d)
-    seg = standins.segments(spark, d)
+    rows = materialize(scored_turns(spark, d), "scored")
+    seg = rows.select("call_id", "seg_idx", "speaker", "text")
     graded = scoring.grade_calls(scoring.component_scores(rows))
     flags = compliance.first_flags(compliance.violations(seg, SEG_POLICY))
     return notes.note_as_text(notes.crm_notes(graded, rows, flags, notes.summarize_calls(seg)))

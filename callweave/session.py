@@ -50,6 +50,16 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/callweave-{purpose}-{os.urandom(6).hex()}"
 
 
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate that several branches read to the shared folder, and read it back.
+
+    Branches do not recompute it, the plan stays short, and a lost executor costs nothing.
+    """
+    path = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_by_value() -> None:
     """Send this package's functions to Python workers with the code that uses them.
 
