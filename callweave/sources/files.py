@@ -110,7 +110,7 @@ def truth_rows(lines: DataFrame, **names) -> DataFrame:
 
 def truth_file(spark: SparkSession, path: str, **names) -> DataFrame:
     """Read ground-truth files. A file is one small hand-written table, split into lines in its task."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return truth_rows(lines, **names)
 
