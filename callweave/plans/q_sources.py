@@ -171,7 +171,7 @@ def jn13(spark, d):
 
 @query(
     "tk5_sorted_listing",
-    "SELECT source, row_number() OVER (ORDER BY source)::INTEGER AS place FROM (SELECT DISTINCT source FROM documents)",
+    "SELECT source, row_number() OVER (ORDER BY source) AS place FROM (SELECT DISTINCT source FROM documents)",
 )
 def tk5(spark, d):
     return files.sorted_listing(standins.table(spark, d, "documents"), "source")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions.text import clock_seconds, strip
 from callweave.model import ANNOTATIONS
+from callweave.operators.scans import numbered
 
 AUDIO_GLOB = "*.{wav,mp3,opus}"
 
@@ -124,6 +125,7 @@ def write_report_json(metrics: DataFrame, path: str) -> None:
 
 
 def sorted_listing(names: DataFrame, column: str) -> DataFrame:
-    """Distinct names with their place in sorted order, for display."""
-    rank = Window.orderBy(column)
-    return names.select(column).distinct().withColumn("place", F.row_number().over(rank))
+    """Distinct names with their place in sorted order, counted block by block of equal prefixes."""
+    distinct = names.select(column).distinct().withColumn("__all", F.lit(0))
+    placed = numbered(distinct, ["__all"], [column], F.left(F.col(column), F.lit(4)), "place")
+    return placed.select(column, (F.col("place") + 1).alias("place"))
