@@ -88,8 +88,8 @@ def _strength(children: DataFrame) -> DataFrame:
 
 
 def _shrunk(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Children with their parent's ``mean`` and the level's ``strength``."""
-    met = children.join(parents.select(key, "mean"), key)
+    """Children with their parent's ``mean`` and ``var`` and the level's ``strength``."""
+    met = children.join(parents.select(key, "mean", "var"), key)
     return met.withColumn("strength", _strength(met).scalar())
 
 
@@ -109,14 +109,16 @@ def reputations(outcomes: DataFrame, long_suffixes: Sequence[str] = (), depth: f
     suffixes = domains.groupBy("suffix").agg(*total)
     whole = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("mean"))
 
-    mean = (F.col("bad") + F.col("strength") * F.col("mean")) / (F.col("n") + F.col("strength"))
-    suffixes = suffixes.withColumn("mean", whole.scalar())
-    suffixes = suffixes.withColumn("strength", _strength(suffixes).scalar()).select("suffix", mean.alias("mean"))
-    domains = _shrunk(domains, suffixes, "suffix").select("domain", mean.alias("mean"))
-    hosts = _shrunk(hosts, domains, "domain").select("host", "n", "bad", mean.alias("mean"), (F.col("n") + F.col("strength")).alias("weight"))
-    m = F.col("mean")
-    lower = m - depth * F.sqrt(m * (1 - m) / (F.col("weight") + 1))
-    return hosts.select("host", "n", "bad", "mean", lower.alias("lower"))
+    weight = F.col("n") + F.col("strength")
+    mean = (F.col("bad") + F.col("strength") * F.col("mean")) / weight
+    # The variance of a level's own posterior, and what the parent's uncertainty adds where evidence is thin.
+    var = mean * (1 - mean) / (weight + 1) + F.pow(F.col("strength") / weight, F.lit(2.0)) * F.col("var")
+    posterior = [mean.alias("mean"), var.alias("var")]
+    suffixes = suffixes.withColumns({"mean": whole.scalar(), "var": F.lit(0.0)})
+    suffixes = suffixes.withColumn("strength", _strength(suffixes).scalar()).select("suffix", *posterior)
+    domains = _shrunk(domains, suffixes, "suffix").select("domain", *posterior)
+    hosts = _shrunk(hosts, domains, "domain").select("host", "n", "bad", *posterior)
+    return hosts.select("host", "n", "bad", "mean", (F.col("mean") - depth * F.sqrt("var")).alias("lower"))
 
 
 def judge(
@@ -163,22 +165,22 @@ WITH parsed AS (
 ), suffixes AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
 ), s1 AS (
-  SELECT s.*, w.mean FROM suffixes s, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS mean FROM suffixes) w
+  SELECT s.*, w.mean, 0.0::DOUBLE AS var FROM suffixes s, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS mean FROM suffixes) w
 ), s2 AS (
-  SELECT suffix, (bad + k * mean) / (n + k) AS mean FROM s1, (SELECT greatest({WEAKEST}, least({STRONGEST}, CASE WHEN r > 0 AND s / r > 0 THEN r / s - 1 ELSE {STRONGEST} END)) AS k
+  SELECT suffix, (bad + k * mean) / (n + k) AS mean, (bad + k * mean) / (n + k) * (1 - (bad + k * mean) / (n + k)) / (n + k + 1) + pow(k / (n + k), 2) * var AS var FROM s1, (SELECT greatest({WEAKEST}, least({STRONGEST}, CASE WHEN r > 0 AND s / r > 0 THEN r / s - 1 ELSE {STRONGEST} END)) AS k
     FROM (SELECT sum(n * pow(bad / n - mean, 2) - mean * (1 - mean)) AS s, sum((n - 1) * mean * (1 - mean)) AS r FROM s1 WHERE n > 0))
 ), d1 AS (
-  SELECT d.*, s2.mean FROM domains d JOIN s2 USING (suffix)
+  SELECT d.*, s2.mean, s2.var FROM domains d JOIN s2 USING (suffix)
 ), d2 AS (
-  SELECT domain, (bad + k * mean) / (n + k) AS mean FROM d1, (SELECT greatest({WEAKEST}, least({STRONGEST}, CASE WHEN r > 0 AND s / r > 0 THEN r / s - 1 ELSE {STRONGEST} END)) AS k
+  SELECT domain, (bad + k * mean) / (n + k) AS mean, (bad + k * mean) / (n + k) * (1 - (bad + k * mean) / (n + k)) / (n + k + 1) + pow(k / (n + k), 2) * var AS var FROM d1, (SELECT greatest({WEAKEST}, least({STRONGEST}, CASE WHEN r > 0 AND s / r > 0 THEN r / s - 1 ELSE {STRONGEST} END)) AS k
     FROM (SELECT sum(n * pow(bad / n - mean, 2) - mean * (1 - mean)) AS s, sum((n - 1) * mean * (1 - mean)) AS r FROM d1 WHERE n > 0))
 ), h1 AS (
-  SELECT h.*, d2.mean FROM hosts h JOIN d2 USING (domain)
+  SELECT h.*, d2.mean, d2.var FROM hosts h JOIN d2 USING (domain)
 ), h2 AS (
-  SELECT host, (bad + k * mean) / (n + k) AS mean, n + k AS weight FROM h1, (SELECT greatest({WEAKEST}, least({STRONGEST}, CASE WHEN r > 0 AND s / r > 0 THEN r / s - 1 ELSE {STRONGEST} END)) AS k
+  SELECT host, (bad + k * mean) / (n + k) AS mean, (bad + k * mean) / (n + k) * (1 - (bad + k * mean) / (n + k)) / (n + k + 1) + pow(k / (n + k), 2) * var AS var FROM h1, (SELECT greatest({WEAKEST}, least({STRONGEST}, CASE WHEN r > 0 AND s / r > 0 THEN r / s - 1 ELSE {STRONGEST} END)) AS k
     FROM (SELECT sum(n * pow(bad / n - mean, 2) - mean * (1 - mean)) AS s, sum((n - 1) * mean * (1 - mean)) AS r FROM h1 WHERE n > 0))
 ), bounds AS (
-  SELECT host, mean - {DEPTH}::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1)) AS lower FROM h2
+  SELECT host, mean - {DEPTH}::DOUBLE * sqrt(var) AS lower FROM h2
 )
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN lower >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged LEFT JOIN bounds USING (host)
