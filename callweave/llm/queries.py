@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from callweave.llm import mixing, urls
+from callweave.llm import language, lines, mixing, quality, urls
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op3_language": language.op3_language,
     "op4_url_filter": urls.op4_url_filter,
     "op9_mixing": mixing.op9_mixing,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 ORACLES = {
     "op4_url_filter": urls.SQL,
     "op9_mixing": mixing.SQL,
+    "op10_line_dedup": lines.SQL,
 }
