@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import word_count
+from callweave.llm.common import word_count, written
 
 SALTS = 64
 WEIGHTS = (3, 1, 2)
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
 def op9_mixing(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text")
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("n"))
+    narrow = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("n")), "sizes")
     return copies(narrow, F.col("n")).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
