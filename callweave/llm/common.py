@@ -11,8 +11,12 @@ from callweave.session import scratch_folder
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Shuffle files of a finished job are of no use to the next one, which reads the written table.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For the job that writes a step: its shuffle files are of no use to the next one, which reads the written
+#: table, and batches for Python are bounded in bytes, whatever the length of a text.
+STEP = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,12 +41,14 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_folder(spark, purpose)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in STEP}
     try:
+        for key, value in STEP.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
