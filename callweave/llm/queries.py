@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from callweave.llm import language, lines, mixing, near_dups, quality, urls
+from callweave.llm import fuzzy_lines, language, lines, mixing, near_dups, quality, urls
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_language": language.op3_language,
     "op4_url_filter": urls.op4_url_filter,
+    "op5_fuzzy_lines": fuzzy_lines.op5_fuzzy_lines,
     "op7_near_dups": near_dups.op7_near_dups,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 ORACLES = {
     "op4_url_filter": urls.SQL,
+    "op5_fuzzy_lines": fuzzy_lines.SQL,
     "op7_near_dups": near_dups.SQL,
     "op9_mixing": mixing.SQL,
     "op10_line_dedup": lines.SQL,
