@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from callweave.llm import fuzzy_lines, language, lines, mixing, near_dups, quality, urls
+from callweave.llm import decontaminate, fuzzy_lines, language, lines, mixing, near_dups, quality, urls
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
     "op3_language": language.op3_language,
     "op4_url_filter": urls.op4_url_filter,
