@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.llm import decontaminate, fuzzy_lines, language, lines, mixing, near_dups, quality, urls
+from callweave.llm import decontaminate, fingerprints, fuzzy_lines, language, lines, mixing, near_dups, quality, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": urls.op4_url_filter,
     "op5_fuzzy_lines": fuzzy_lines.op5_fuzzy_lines,
     "op7_near_dups": near_dups.op7_near_dups,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": lines.op10_line_dedup,
 }
