@@ -161,11 +161,17 @@ def dedup(docs: DataFrame, unit: str = "line", per_cent: int = PER_CENT) -> Data
 
 
 def dedup_texts(docs: DataFrame, unit: str = "line") -> DataFrame:
-    """The documents with their texts cut; documents that have nothing left but had a text go, all other columns stay."""
+    """The documents with their texts cut, other columns as they are.
+
+    ``n_chars``, where there is one, follows the text. Documents go if cutting leaves nothing but white space.
+    """
     cut = dedup(docs, unit)
-    text = F.when(F.col("row.text").isNotNull(), F.col("result.kept"))
-    left = cut.where((F.col("result.n_removed") == 0) | (F.trim("result.kept") != ""))
-    return left.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    changed = F.col("result.n_removed") > 0
+    left = cut.where(~changed | (F.trim(F.translate("result.kept", "\t\n\x0b\x0c\r", "     ")) != ""))
+    types = dict(docs.dtypes)
+    values = {"text": F.col("result.kept"), "n_chars": F.length("result.kept").cast(types.get("n_chars", "long"))}
+    own = lambda c: F.col("row").getField(c)
+    return left.select(*[(F.when(changed, values[c]).otherwise(own(c)) if c in values else own(c)).alias(c) for c in docs.columns])
 
 
 def op5_fuzzy_lines(spark, folder: str) -> DataFrame:
