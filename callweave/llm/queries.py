@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.llm import decontaminate, fingerprints, fuzzy_lines, language, lines, mixing, near_dups, quality, urls
+from callweave.llm import decontaminate, fingerprints, fuzzy_lines, language, lines, mixing, near_dups, quality, suffixes, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_url_filter": urls.op4_url_filter,
     "op5_fuzzy_lines": fuzzy_lines.op5_fuzzy_lines,
+    "op6_suffixes": suffixes.op6_suffixes,
     "op7_near_dups": near_dups.op7_near_dups,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
