@@ -4,6 +4,8 @@ These are data, not logic. They must equal the published values for results to a
 written out in their natural order.
 """
 
+from callweave.functions.text import SPACE
+
 # --- regulatory patterns (fixed values) -------------------------------------------------------
 RBI_PATTERNS = [
     r"(?i)(?:unauthorized\s+access|data\s+breach|confidential\s+information)",
@@ -210,8 +212,8 @@ STORE_CONFIG = {
 
 
 def java_pattern(pattern: str) -> str:
-    """Case folding in Java covers ASCII only unless asked for Unicode."""
-    return pattern.replace("(?i)", "(?iu)")
+    """A pattern for Java: Unicode case folding and white space, and a dot that stops at line feeds only."""
+    return "(?d)" + pattern.replace("(?i)", "(?iu)").replace(r"\s", SPACE)
 
 
 def needs_devanagari(pattern: str) -> bool:

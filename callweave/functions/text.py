@@ -50,9 +50,9 @@ def needs_translation(text: Column, script: str = DEVANAGARI) -> Column:
     return text.rlike(script)
 
 
-def scoring_text(text: Column, limit: int = 512) -> Column:
-    """What a text scorer sees: the first ``limit`` characters, never blank."""
-    head = F.left(text, F.lit(limit))
+def scoring_text(text: Column, limit: int | None = 512) -> Column:
+    """What a text scorer sees: the first ``limit`` characters (None: all), never blank."""
+    head = text if limit is None else F.left(text, F.lit(limit))
     return F.when(is_blank(head), F.lit("neutral")).otherwise(strip(head))
 
 

@@ -4,7 +4,7 @@ SEGMENTS = (
     "call_id string, seg_idx long, start_time_s double, end_time_s double, speaker string, text string"
 )
 WORDS = "call_id string, word_idx long, start double, end double, text string, probability double"
-SIGNAL_BLOCKS = "call_id long, block_idx long, sr int, samples array<double>"
+SIGNAL_BLOCKS = "call_id string, block_idx long, sr int, samples array<double>"
 FRAMES = (
     "call_id string, seg_idx long, frame_idx long, start_s double, energy double, rms double, zcr double, "
     "pitch_hz double"

@@ -151,20 +151,54 @@ def _direct_rows(policy: Policy) -> list[Column]:
         _as_rows(F.col("compound"), "ABUSIVE", "compound", COMPOUND),
         _as_rows(F.col("threat"), "THREAT", "threat", THREAT),
         *[
-            _as_rows(F.col(f"reg_{k}"), k, "pattern", REGULATORY, 1000 * i)
+            _as_rows(F.col(f"reg_{k}"), k, "pattern", REGULATORY, sum(len(ps) for ps in list(policy.regulatory.values())[:i]))
             for i, k in enumerate(policy.regulatory)
         ],
     ]
 
 
+def _near_keywords(token: Column, policy: Policy) -> Column:
+    """Keywords one or two edits from a token, in dictionary order: array of (keyword, distance).
+
+    A map literal from token length to the keywords that such a token can reach is part of the plan; only those are compared.
+    """
+    reach: dict[int, list[str]] = {}
+    for word, _, length in reachable_lengths(policy):
+        reach.setdefault(length, []).append(word)
+    if not reach:
+        return F.array().cast("array<struct<keyword:string,distance:bigint>>")
+    table = F.create_map(*[x for n, words in sorted(reach.items()) for x in (F.lit(n), F.array(*[F.lit(w) for w in words]))])
+    allowed = F.when(F.length(token) < 6, 1).otherwise(policy.max_distance)
+    scored = F.transform(
+        F.coalesce(F.element_at(table, F.length(token)), _strings([])),
+        lambda k: F.struct(k.alias("keyword"), F.levenshtein(token, k, policy.max_distance).cast("long").alias("distance")),
+    )
+    return F.filter(scored, lambda m: (m["distance"] >= 1) & (m["distance"] <= allowed))
+
+
 def _candidate_rows(policy: Policy, text: str) -> Column:
-    """Tokens that may be near misses: long enough and not taken by an earlier detector."""
+    """Near misses: tokens of a reachable length that no earlier detector has taken and some keyword is close to."""
     seen = F.concat("exact", "compound", "threat")
-    fresh = F.filter(
-        F.array_distinct(tokens_with_marks(F.coalesce(F.col(text), F.lit("")))),
-        lambda t: (F.length(t) >= policy.min_token) & ~F.array_contains(seen, t),
+    lengths = sorted({n for _, _, n in reachable_lengths(policy)})
+    innocent = list(dict.fromkeys(policy.innocent))
+    low, high = (lengths[0], lengths[-1]) if lengths else (1, 0)
+    fits = lambda t: F.length(t).between(low, high) & ~F.array_contains(seen, t)
+    tokens = F.array_distinct(tokens_with_marks(F.coalesce(F.col(text), F.lit(""))))
+    fresh = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.cast("long").alias("pos")))
+    fresh = F.filter(fresh, lambda r: fits(r["token"]) & (~r["token"].isin(innocent) if innocent else F.lit(True)))
+    near = F.transform(fresh, lambda r: F.struct(r["token"].alias("token"), r["pos"].alias("pos"), F.get(_near_keywords(r["token"], policy), F.lit(0)).alias("m")))
+    return F.transform(
+        F.filter(near, lambda r: r["m"].isNotNull()),
+        lambda r: F.struct(
+            F.lit("ABUSIVE").alias("category"),
+            r["m"]["keyword"].alias("keyword"),
+            r["token"].alias("matched"),
+            F.lit("fuzzy").alias("match_type"),
+            r["m"]["distance"].alias("distance"),
+            F.lit(FUZZY).alias("stage"),
+            r["pos"].alias("pos"),
+        ),
     )
-    return _as_rows(fresh, "ABUSIVE", "fuzzy", FUZZY)
 
 
 def direct_violations(scanned: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -187,77 +221,28 @@ def reachable_lengths(policy: Policy) -> list[tuple[str, int, int]]:
 def near_miss_dictionary(tokens: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """(token, keyword, distance) for distinct tokens one or two edits from a keyword.
 
-    The dictionary is expanded by token length, so the join has an equality key and every token
-    meets only keywords it can reach. The dictionary has a fixed size and is broadcast.
+    The keywords are part of the plan, by the token lengths that can reach them: no join.
     """
-    spark = tokens.sparkSession
-    entries = F.array(
-        *[
-            F.struct(F.lit(w).alias("keyword"), F.lit(p).alias("dict_pos"), F.lit(n).alias("tok_len"))
-            for w, p, n in reachable_lengths(policy)
-        ]
-    )
-    reach = spark.range(1).select(F.inline(entries))
-    innocent = spark.range(1).select(F.explode(_strings(list(dict.fromkeys(policy.innocent)))).alias("token"))
-    allowed = F.when(F.col("tok_len") < 6, 1).otherwise(policy.max_distance)
-    edits = F.levenshtein("token", "keyword", policy.max_distance)
-    return (
-        tokens.select("token")
-        .distinct()
-        .join(F.broadcast(innocent), "token", "left_anti")
-        .withColumn("tok_len", F.length("token"))
-        .join(F.broadcast(reach), "tok_len")
-        .withColumn("distance", edits)
-        .where((F.col("distance") >= 1) & (F.col("distance") <= allowed))
-        .groupBy("token")
-        .agg(F.min_by(F.struct("keyword", "distance"), "dict_pos").alias("m"))
-        .select("token", "m.keyword", F.col("m.distance").cast("long").alias("distance"))
-    )
-
-
-def vocabulary(turns: DataFrame, policy: Policy = DEFAULT_POLICY, text: str = "text") -> DataFrame:
-    """Distinct tokens worth comparing with the dictionary."""
-    longest = max((len(k) for k in policy.keywords), default=0) + policy.max_distance
-    tokens = turns.select(F.explode(tokens_with_marks(F.coalesce(F.col(text), F.lit("")))).alias("token"))
-    return tokens.where(F.length("token").between(policy.min_token, longest)).distinct()
-
-
-def _resolve(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """Keep found rows, and candidate tokens that the near-miss dictionary knows."""
-    near = near.select("token", F.col("keyword").alias("__kw"), F.col("distance").alias("__d"))
-    candidate = F.col("match_type") == "fuzzy"
-    joined = rows.join(near, candidate & (F.col("matched") == F.col("token")), "left")
-    return joined.where(~candidate | F.col("__kw").isNotNull()).select(
-        "call_id",
-        "seg_idx",
-        "speaker",
-        "category",
-        F.coalesce("__kw", "keyword").alias("keyword"),
-        "matched",
-        "match_type",
-        F.coalesce("__d", "distance").alias("distance"),
-        "stage",
-        "pos",
-    )
+    known = tokens.select("token").distinct()
+    if policy.innocent:
+        known = known.where(~F.col("token").isin(list(dict.fromkeys(policy.innocent))))
+    found = known.withColumn("m", F.get(_near_keywords(F.col("token"), policy), F.lit(0))).where("m is not null")
+    return found.select("token", "m.keyword", "m.distance")
 
 
 def near_misses(turns: DataFrame, policy: Policy = DEFAULT_POLICY, text: str = "text") -> DataFrame:
     """Tokens close to a keyword that no earlier detector has taken, in long form."""
-    rows = scan_columns(turns, policy, text).select("call_id", "seg_idx", "speaker", F.inline(_candidate_rows(policy, text)))
-    near = near_miss_dictionary(vocabulary(turns, policy, text), policy)
-    return _resolve(rows, near)
+    scanned = scan_columns(turns, policy, text)
+    return scanned.select("call_id", "seg_idx", "speaker", F.inline(_candidate_rows(policy, text))).select(VIOLATION_COLUMNS)
 
 
 def violations(turns: DataFrame, policy: Policy = DEFAULT_POLICY, text: str = "text") -> DataFrame:
     """All violations of all turns.
 
-    The texts are scanned once for everything a turn shows by itself and for candidate tokens, and
-    once more for the vocabulary that is compared with the dictionary. Matching tokens are few, so
-    the last join is normally a broadcast one; Spark decides by their size.
+    One scan of the texts finds everything, near misses included: there is neither a join nor a shuffle.
     """
-    found = F.concat(*_direct_rows(policy), _candidate_rows(policy, text))
-    rows = scan_columns(turns, policy, text).select("call_id", "seg_idx", "speaker", F.inline(found))
-    return _resolve(rows, near_miss_dictionary(vocabulary(turns, policy, text), policy))
+    rows = F.concat(*_direct_rows(policy), _candidate_rows(policy, text))
+    return scan_columns(turns, policy, text).select("call_id", "seg_idx", "speaker", F.inline(rows)).select(VIOLATION_COLUMNS)
 
 
 def first_of_kind(found: DataFrame) -> DataFrame:

@@ -19,12 +19,16 @@ FEATURES = ["pitch_mean", "rms_mean", "speaking_rate_zcr", "jitter", "pause_rati
 DELTAS = ["pitch_d", "energy_d", "rate_d", "jitter_d", "pause_r"]
 
 
-def score_text(turns: DataFrame, scorer: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+def score_text(
+    turns: DataFrame, scorer: Callable[[DataFrame], DataFrame], text: str = "text", limit: int | None = None
+) -> DataFrame:
     """Run a scorer over prepared text and map its labels.
 
+    Scorers get the whole text; ``limit`` is for models whose input has a greatest length.
+
     ``scorer`` gets the rows with ``scoring_text`` and adds ``label`` and ``confidence``.
     """
-    scored = scorer(turns.withColumn("scoring_text", scoring_text(F.coalesce(F.col(text), F.lit("")))))
+    scored = scorer(turns.withColumn("scoring_text", scoring_text(F.coalesce(F.col(text), F.lit("")), limit)))
     return scored.withColumns(
         {
             "emotion": emotion_of_label(F.col("label")),

@@ -116,8 +116,9 @@ def cohen_kappa(ratings: DataFrame, first: str, second: str) -> DataFrame:
 def majority_vote(ratings: DataFrame) -> DataFrame:
     """Most frequent label per utterance; the smaller label wins a tie. Adds the vote count."""
     votes = ratings.groupBy("utterance_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = votes.groupBy("utterance_id").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("t"))
-    return top.select("utterance_id", (-F.col("t.neg")).alias("label"), F.col("t.n").alias("votes"))
+    first = F.struct((-F.col("n")).alias("fewer"), "label")
+    top = votes.groupBy("utterance_id").agg(F.min_by(F.struct("label", "n"), first).alias("t"))
+    return top.select("utterance_id", "t.label", F.col("t.n").alias("votes"))
 
 
 def dialogue_split(dialogue_id: Column) -> Column:

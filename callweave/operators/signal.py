@@ -313,7 +313,7 @@ def band_power(
     parts = (
         blocks.join(plan, "call_id")
         .select("call_id", "block_idx", "samples", "n", "first", "count")
-        .mapInPandas(run, "call_id long, re array<double>, im array<double>")
+        .mapInPandas(run, f"call_id {_type_of_call(blocks)}, re array<double>, im array<double>")
     )
     bins = parts.select("call_id", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
     totals = bins.groupBy("call_id", "bin").agg(F.sum("z.re").alias("re"), F.sum("z.im").alias("im"))
@@ -468,22 +468,24 @@ def prosody_vector(stats: DataFrame, seconds: str = "duration_s") -> DataFrame:
 
 
 # --- frames from samples -----------------------------------------------------------------------
-def pitch_of(frame: np.ndarray, sr: int, low: float = 50.0, high: float = 500.0, voicing: float = 0.3) -> float:
-    """Fundamental frequency of one frame by autocorrelation, 0 when unvoiced."""
-    x = frame - frame.mean() if len(frame) else frame
-    if len(x) == 0 or float(np.mean(x * x)) < 1e-10:
-        return 0.0
-    shortest = int(np.floor(sr / high))
-    longest = min(int(np.ceil(sr / low)), len(x) - 1)
-    if not 0 < shortest < longest:
-        return 0.0
-    size = 1 << (2 * len(x) - 1).bit_length()
-    power = np.abs(np.fft.rfft(x, size)) ** 2
-    corr = np.fft.irfft(power, size)[: longest + 1]
-    if corr[0] <= 1e-10:
-        return 0.0
-    lag = shortest + int(np.argmax(corr[shortest:]))
-    return float(sr / lag) if corr[lag] / corr[0] >= voicing else 0.0
+def pitches(frames: np.ndarray, sr: int, low: float = 50.0, high: float = 500.0, voicing: float = 0.3) -> np.ndarray:
+    """Fundamental frequency of each row of ``frames``, 0 where it is unvoiced or silent.
+
+    A frame's pitch is sr / lag for the lag of its greatest autocorrelation between the periods of ``high`` and ``low``; the
+    frame is voiced if that is at least ``voicing`` of the energy. The products of all frames come from one transform, padded by the
+    longest lag so that nothing wraps around.
+    """
+    width = frames.shape[1]
+    lags = np.arange(int(sr // high), min(int(-(-sr // low)), width - 1) + 1)
+    if len(frames) == 0 or len(lags) < 2 or lags[0] < 1:
+        return np.zeros(len(frames))
+    centred = frames - frames.mean(axis=1, keepdims=True)
+    spectrum = np.fft.rfft(centred, width + lags[-1], axis=1)
+    products = np.fft.irfft(spectrum * spectrum.conj(), width + lags[-1], axis=1)
+    energy, candidates = products[:, 0], products[:, lags]
+    loud = (energy > 1e-10) & (energy >= 1e-10 * width)
+    voiced = loud & (candidates.max(axis=1) >= voicing * energy)
+    return np.where(voiced, sr / lags[candidates.argmax(axis=1)], 0.0)
 
 
 def _with_tail(blocks: DataFrame, halo: int) -> DataFrame:
@@ -496,6 +498,16 @@ def _with_tail(blocks: DataFrame, halo: int) -> DataFrame:
     )
 
 
+def _frames_fit(size: int, block_samples: int) -> None:
+    """A frame reaches into the next block at most; a longer one would not be seen."""
+    if block_samples < size:
+        raise ValueError(f"blocks of {block_samples} samples cannot hold frames of {size}")
+
+
+def _type_of_call(blocks: DataFrame) -> str:
+    return blocks.schema["call_id"].dataType.simpleString()
+
+
 def frame_features(
     blocks: DataFrame, sample_rate: int, block_samples: int, size_s: float = 0.03, stride_s: float = 0.01
 ) -> DataFrame:
@@ -505,32 +517,31 @@ def frame_features(
     ``block_samples`` samples. A frame belongs to the block in which it starts.
     """
     size, hop = int(round(size_s * sample_rate)), int(round(stride_s * sample_rate))
-    schema = "call_id long, frame_idx long, rms double, zcr double, pitch_hz double, peak double"
+    _frames_fit(size, block_samples)
+    schema = f"call_id {_type_of_call(blocks)}, frame_idx long, rms double, zcr double, pitch_hz double, peak double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for call, block, samples, tail in zip(pdf.call_id, pdf.block_idx, pdf.samples, pdf["__tail"], strict=True):
                 x = np.concatenate([np.asarray(samples, float), np.asarray(tail, float)])
                 if block == 0 and len(x) < size:
                     x = np.pad(x, (0, size - len(x)))
                 first = int(block) * block_samples
-                start = (-first) % hop
-                while start < len(samples) and start + size <= len(x):
-                    f = x[start : start + size]
-                    crossings = np.count_nonzero(np.diff(np.signbit(f).astype(np.int8)))
-                    rows.append(
-                        (
-                            call,
-                            (first + start) // hop,
-                            float(np.sqrt(np.mean(f * f))),
-                            crossings / size_s,
-                            pitch_of(f, sample_rate),
-                            float(np.abs(f).max()),
-                        )
-                    )
-                    start += hop
-            yield pd.DataFrame(rows, columns=["call_id", "frame_idx", "rms", "zcr", "pitch_hz", "peak"])
+                starts = np.arange((-first) % hop, len(samples), hop)
+                starts = starts[starts + size <= len(x)]
+                if len(starts) == 0:
+                    continue
+                f = np.lib.stride_tricks.sliding_window_view(x, size)[starts]
+                yield pd.DataFrame(
+                    {
+                        "call_id": [call] * len(starts),
+                        "frame_idx": (first + starts) // hop,
+                        "rms": np.sqrt((f * f).mean(axis=1)),
+                        "zcr": np.count_nonzero(np.diff(np.signbit(f), axis=1), axis=1) / size_s,
+                        "pitch_hz": pitches(f, sample_rate),
+                        "peak": np.abs(f).max(axis=1),
+                    }
+                )
 
     return _with_tail(blocks, size).select("call_id", "block_idx", "samples", "__tail").mapInPandas(run, schema)
 
@@ -541,7 +552,8 @@ def frame_spectra(
     """Power and Hann-windowed magnitudes per half-overlapping frame."""
     size = int(size_s * sample_rate)
     hop = size // 2
-    schema = "call_id long, frame_idx long, power double, mags array<double>"
+    _frames_fit(size, block_samples)
+    schema = f"call_id {_type_of_call(blocks)}, frame_idx long, power double, mags array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hann = np.hanning(size)

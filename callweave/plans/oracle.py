@@ -18,6 +18,11 @@ def strip(expr: str) -> str:
     return f"regexp_replace({expr}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+def spaced(pattern: str) -> str:
+    """A pattern whose white space is that of Unicode."""
+    return pattern.replace(r"\s", WS)
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -132,10 +137,11 @@ def violations_cte(source: str, policy, name: str = "vio") -> str:
     for i, p in enumerate(policy.threats):
         parts.append((i, "THREAT", "threat", 2, p))
     for r, (regulator, patterns) in enumerate(policy.regulatory.items()):
-        parts += [(1000 * r + i, regulator, "pattern", 4, p) for i, p in enumerate(patterns)]
+        first = sum(len(ps) for ps in list(policy.regulatory.values())[:r])
+        parts += [(first + i, regulator, "pattern", 4, p) for i, p in enumerate(patterns)]
     pattern_rows = " UNION ALL ".join(
-        f"SELECT call_id, seg_idx, speaker, {lit(c)} AS category, regexp_extract(text, {lit(p)}) AS keyword, "
-        f"{lit(t)} AS match_type, 0 AS distance, {stage} AS stage, {pos} AS pos FROM {source} WHERE regexp_matches(text, {lit(p)})"
+        f"SELECT call_id, seg_idx, speaker, {lit(c)} AS category, regexp_extract(text, {lit(spaced(p))}) AS keyword, "
+        f"{lit(t)} AS match_type, 0 AS distance, {stage} AS stage, {pos} AS pos FROM {source} WHERE regexp_matches(text, {lit(spaced(p))})"
         for pos, c, t, stage, p in parts
     )
     return f"""

@@ -8,7 +8,7 @@ from callweave.functions import rules
 from callweave.operators import compliance, evaluate, verdicts
 from callweave.operators.compliance import DEFAULT_POLICY, Policy
 from callweave.plans import standins
-from callweave.plans.oracle import DOC, SEG, rnd, violations_cte
+from callweave.plans.oracle import DOC, SEG, lit, rnd, spaced, violations_cte
 from callweave.plans.registry import query
 
 # Patterns that occur in the test tables, next to the fixed regulatory lists.
@@ -59,22 +59,32 @@ COMPOUND_POLICY = Policy(
 )
 
 
-@query(
-    "fx4_compound_phrases",
-    rf"""WITH {DOC}, m AS (SELECT call_id, list_filter(['the', 'and'], lambda k: contains(lower(text), k)) AS seen,
-      regexp_extract(text, 'of\s+[a-z]+') AS m1, regexp_extract(text, '[a-z]+\s+of\s+[a-z]+') AS m2, regexp_extract(text, 'with\s+[a-z]+') AS m3 FROM doc),
+def compound_sql(text: str) -> str:
+    """The three compound phrases over the documents with ``text`` as their text."""
+    one, two, three = (lit(spaced(p)) for p in COMPOUND_POLICY.compounds)
+    return f"""WITH {DOC}, m AS (SELECT call_id, list_filter(['the', 'and'], lambda k: contains(lower(x), k)) AS seen,
+      regexp_extract(x, {one}) AS m1, regexp_extract(x, {two}) AS m2, regexp_extract(x, {three}) AS m3 FROM (SELECT call_id, {text} AS x FROM doc)),
     k1 AS (SELECT *, m1 <> '' AND len(list_filter(seen, lambda s: contains(s, m1) OR contains(m1, s))) = 0 AS a FROM m),
     k2 AS (SELECT *, m2 <> '' AND len(list_filter(seen, lambda s: contains(s, m2) OR contains(m2, s))) = 0
       AND NOT (a AND (contains(m1, m2) OR contains(m2, m1))) AS b FROM k1),
     k3 AS (SELECT *, m3 <> '' AND len(list_filter(seen, lambda s: contains(s, m3) OR contains(m3, s))) = 0
       AND NOT (a AND (contains(m1, m3) OR contains(m3, m1))) AND NOT (b AND (contains(m2, m3) OR contains(m3, m2))) AS c FROM k2)
-    SELECT call_id, m1 AS matched FROM k3 WHERE a UNION ALL SELECT call_id, m2 FROM k3 WHERE b UNION ALL SELECT call_id, m3 FROM k3 WHERE c""",
-)
+    SELECT call_id, m1 AS matched FROM k3 WHERE a UNION ALL SELECT call_id, m2 FROM k3 WHERE b UNION ALL SELECT call_id, m3 FROM k3 WHERE c"""
+
+
+@query("fx4_compound_phrases", compound_sql("text"))
 def fx4c(spark, d):
     scanned = compliance.scan_columns(standins.documents(spark, d), COMPOUND_POLICY)
     return scanned.select("call_id", F.explode("compound").alias("matched"))
 
 
+@query("fx4_unicode_space", compound_sql("translate(text, ' ', chr(160))"))
+def fx4u(spark, d):
+    """The same where every space is a no-break space."""
+    docs = standins.documents(spark, d).withColumn("text", F.translate("text", " ", "\u00a0"))
+    return compliance.scan_columns(docs, COMPOUND_POLICY).select("call_id", F.explode("compound").alias("matched"))
+
+
 @query(
     "fx5_edit_distance",
     r"""WITH w AS (SELECT DISTINCT p_brand AS a, p_type AS b FROM part) SELECT a, b, levenshtein(a, b) AS distance FROM w""",

@@ -100,6 +100,18 @@ def ag26v(spark, d):
     return evaluate.majority_vote(_ratings(spark, d))
 
 
+@query(
+    "ag26_text_vote",
+    """SELECT doc_id // 5 AS utterance_id, lang AS label, count(*) AS votes FROM documents GROUP BY doc_id // 5, lang
+    QUALIFY row_number() OVER (PARTITION BY utterance_id ORDER BY votes DESC, label) = 1""",
+)
+def ag26t(spark, d):
+    """Text labels: five documents in a row vote on a language."""
+    docs = standins.table(spark, d, "documents")
+    ratings = docs.select(F.floor(F.col("doc_id") / 5).alias("utterance_id"), (F.col("doc_id") % 5).alias("annotator_id"), F.col("lang").alias("label"))
+    return evaluate.majority_vote(ratings)
+
+
 @query(
     "ag27_dialogue_split",
     """WITH b AS (SELECT conv_id, turn, ('0x' || left(md5(conv_id::VARCHAR), 8))::BIGINT % 100 AS b FROM conversations)

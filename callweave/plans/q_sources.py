@@ -48,9 +48,9 @@ def fx15(spark, d):
     "io9_store_lookup",
     f"""WITH s AS (SELECT sha1(text) AS h, lang, doc_id, doc_id % 3 <> 0 AS has_words, doc_id % 7 <> 0 AS right_config,
       TIMESTAMP '{NOW}' - to_days((doc_id % 60)::INT) AS created_at FROM documents),
-    u AS (SELECT h, lang, arg_max(doc_id, created_at) AS stored_doc, max(created_at) AS c FROM s WHERE has_words AND right_config
-      AND created_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAYS GROUP BY h, lang)
-    SELECT d.doc_id, u.h IS NOT NULL AS hit FROM documents d LEFT JOIN u ON sha1(d.text) = u.h AND d.lang = u.lang""",
+    o AS (SELECT *, has_words AND right_config AND created_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAYS AS ok FROM s),
+    u AS (SELECT h, lang, ok FROM o QUALIFY row_number() OVER (PARTITION BY h, lang ORDER BY created_at DESC, ok DESC) = 1)
+    SELECT d.doc_id, coalesce(u.ok, false) AS hit FROM documents d LEFT JOIN u ON sha1(d.text) = u.h AND d.lang = u.lang""",
 )
 def io9(spark, d):
     docs = standins.table(spark, d, "documents")

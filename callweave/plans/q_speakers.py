@@ -133,8 +133,8 @@ def pf14(spark, d):
 
 @query(
     "ag21_single_speaker",
-    f"""WITH {EMB}, f AS (SELECT call_id, seg_idx, unnest(range(0, 21)) AS i, embedding AS e FROM emb),
-    c AS (SELECT call_id, seg_idx, avg(CASE WHEN e[3 * i + 2] > e[3 * i + 3] THEN 1.0 ELSE 0.0 END) AS r0, avg(CASE WHEN e[3 * i + 3] > e[3 * i + 2] THEN 1.0 ELSE 0.0 END) AS r1 FROM f GROUP BY call_id, seg_idx),
+    f"""WITH {EMB}, f AS (SELECT call_id, seg_idx, unnest([least(3 * x, 61) FOR x IN range(0, 22)]) AS b, embedding AS e FROM emb),
+    c AS (SELECT call_id, seg_idx, avg(CASE WHEN e[b + 2] > e[b + 3] THEN 1.0 ELSE 0.0 END) AS r0, avg(CASE WHEN e[b + 3] > e[b + 2] THEN 1.0 ELSE 0.0 END) AS r1 FROM f GROUP BY call_id, seg_idx),
     s AS (SELECT call_id, min(CASE WHEN r0 > r1 THEN 0 ELSE 1 END) = max(CASE WHEN r0 > r1 THEN 0 ELSE 1 END) AS same, avg(greatest(r0, r1)) AS dom, count(*) AS n FROM c GROUP BY call_id)
     SELECT call_id, n >= 3 AND same AND dom > 0.9 AS is_single, {rnd("CASE WHEN n >= 3 THEN dom ELSE 0.5 END", 4)} AS dominance FROM s""",
 )
@@ -144,13 +144,13 @@ def ag21(spark, d):
 
 
 BOUNDARY = f"""{EMB}, sl AS (SELECT call_id, seg_idx AS chunk_idx, unnest(range(0, 3)) AS k, embedding AS e FROM emb),
-sv AS (SELECT call_id, chunk_idx, k, list_slice(e, k * 21 + 1, k * 21 + 21) AS v FROM sl),
+sv AS (SELECT call_id, chunk_idx, k, list_slice(e, k * 21 + 1, k * 21 + 22) AS v FROM sl),
 sp AS (SELECT c.call_id, c.chunk_idx, p.k AS i, c.k AS j, round(list_dot_product(p.v, c.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(c.v, c.v))), 12) AS sim,
   list_distance(p.v, c.v) AS l2, CASE WHEN p.k = c.k THEN list_avg(list_transform(list_zip(p.v, c.v), lambda z: abs(z[1] - z[2]))) END AS mad
   FROM sv c JOIN sv p ON p.call_id = c.call_id AND p.chunk_idx = c.chunk_idx - 1),
 sf AS (SELECT call_id, chunk_idx, max(sim) AS best_sim, min(sim) AS min_sim, avg(sim) AS mean_sim, first(l2 ORDER BY sim DESC, i, j) AS best_l2, avg(mad) AS mean_abs_diff FROM sp GROUP BY call_id, chunk_idx),
-ac AS (SELECT call_id, seg_idx AS chunk_idx, unnest(range(0, 21)) AS f, embedding AS e FROM emb),
-ap AS (SELECT call_id, chunk_idx, f, list_position([e[3 * f + 1], e[3 * f + 2], e[3 * f + 3]], greatest(e[3 * f + 1], e[3 * f + 2], e[3 * f + 3])) AS top, e[3 * f + 2] AS m1, e[3 * f + 3] AS m2 FROM ac),
+ac AS (SELECT call_id, seg_idx AS chunk_idx, unnest([least(3 * x, 61) FOR x IN range(0, 22)]) AS f, embedding AS e FROM emb),
+ap AS (SELECT call_id, chunk_idx, f, list_position([e[f + 1], e[f + 2], e[f + 3]], greatest(e[f + 1], e[f + 2], e[f + 3])) AS top, e[f + 2] AS m1, e[f + 3] AS m2 FROM ac),
 ad AS (SELECT c.call_id, c.chunk_idx, avg(CASE WHEN c.top <> p.top THEN 1.0 ELSE 0.0 END) AS change_ratio, abs(avg(c.m1 - p.m1)) AS mass_delta_1, abs(avg(c.m2 - p.m2)) AS mass_delta_2
   FROM ap c JOIN ap p ON p.call_id = c.call_id AND p.chunk_idx = c.chunk_idx - 1 AND p.f = c.f GROUP BY c.call_id, c.chunk_idx)"""
 
@@ -198,13 +198,13 @@ def wn12(spark, d):
     return speakers.decode_regions(items)
 
 
-DRIFT = f"""{EMB}, df AS (SELECT call_id, seg_idx, speaker, start_time_s, start_time_s + 2 * duration_s AS end_time_s, list_slice(embedding, 1, 21) AS a,
-  list_slice(embedding, 22, 42) AS b, list_slice(embedding, 43, 63) AS c FROM emb)"""
+DRIFT = f"""{EMB}, df AS (SELECT call_id, seg_idx, speaker, start_time_s, start_time_s + 2 * duration_s AS end_time_s, list_slice(embedding, 1, 22) AS a,
+  list_slice(embedding, 22, 43) AS b, list_slice(embedding, 43, 64) AS c FROM emb)"""
 
 
 def _drifts(spark, d):
     emb = standins.embeddings(spark, d)
-    a, b, c = (F.slice("embedding", i * 21 + 1, 21) for i in range(3))
+    a, b, c = (F.slice("embedding", i * 21 + 1, 22) for i in range(3))
     return emb.select(
         "call_id",
         "seg_idx",

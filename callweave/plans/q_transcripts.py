@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from callweave.functions import rules, text
 from callweave.operators import align, roles, turns
 from callweave.plans import standins
-from callweave.plans.oracle import DIAR, DOC, NWS, SEG, SIG, WORDS, rnd, strip
+from callweave.plans.oracle import DIAR, DOC, NWS, SEG, SIG, WORDS, rnd, spaced, strip
 from callweave.plans.registry import query
 
 TEST_AGENT_PHRASES = r"(?:that\s+of|le\s+la|und\s+der|de\s+la)"
@@ -186,7 +186,7 @@ def _heuristic_sql() -> str:
     early AS (SELECT * FROM diar QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY seg_idx) <= 12),
     said AS (SELECT call_id, speaker, string_agg(text, ' ' ORDER BY seg_idx) AS said FROM early
       WHERE speaker LIKE 'spk_%' AND text <> '' GROUP BY call_id, speaker),
-    hit AS (SELECT call_id, min(speaker) AS hit FROM said WHERE regexp_matches(said, '(?i){TEST_AGENT_PHRASES}') GROUP BY call_id),
+    hit AS (SELECT call_id, min(speaker) AS hit FROM said WHERE regexp_matches(said, '(?i){spaced(TEST_AGENT_PHRASES)}') GROUP BY call_id),
     ag AS (SELECT c.call_id, spk, CASE WHEN len(spk) >= 2 THEN coalesce(hit, spk[1]) ELSE spk[1] END AS agent,
       CASE WHEN len(spk) >= 2 AND hit IS NOT NULL THEN 'heuristic' ELSE 'fallback' END AS method
       FROM cast_ c LEFT JOIN hit h ON c.call_id = h.call_id),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from callweave.functions.lexicon import JOB_STAGES
 from callweave.functions.numeric import block_of
-from callweave.session import spread
 from callweave.operators.scans import Run, numbered, running
 
 WORD_S = 0.4
@@ -112,7 +111,7 @@ def emotions(seg: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """One document as a call of one turn; even documents are spoken by the agent."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select(
         F.col("doc_id").alias("call_id"),
         F.lit(0).cast("long").alias("seg_idx"),
@@ -139,16 +138,16 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_slots(spark: SparkSession, folder: str) -> DataFrame:
-    """Each vector as a chunk of three slots with 21 elements each."""
+    """Each vector as a chunk of three slots of 22 elements; neighbours share one, so all 64 are read."""
     emb = embeddings(spark, folder)
-    slots = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.slice("embedding", i * 21 + 1, 21))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.slice("embedding", i * 21 + 1, 22))
     return emb.select("call_id", F.col("seg_idx").alias("chunk_idx"), F.posexplode(slots).alias("class_idx", "embedding"))
 
 
 def activations(spark: SparkSession, folder: str) -> DataFrame:
-    """Each vector as 21 frames of three class activations."""
+    """Each vector as 22 frames of three class activations; the last one ends with the vector."""
     emb = embeddings(spark, folder)
-    frames = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.slice("embedding", i * 3 + 1, 3))
+    frames = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda i: F.slice("embedding", F.least(i * 3 + 1, F.lit(62)), 3))
     return emb.select("call_id", F.col("seg_idx").alias("chunk_idx"), F.posexplode(frames).alias("frame_idx", "probs"))
 
 

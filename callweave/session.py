@@ -71,11 +71,3 @@ def ship_by_value() -> None:
 
     cloudpickle.register_pickle_by_value(callweave)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for work that is heavy per row when the input has fewer splits than cores.
-
-    A large input has more splits than there are cores and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -33,14 +33,17 @@ def store_lookup(
     """Stored words per request (content_sha1, lang), or null.
 
     A hit has the same content, language and configuration, is not too old and holds a word list.
-    The newest usable entry of a key answers.
+    A newer entry of a key replaces the older ones, whether it is usable or not; of entries written at the same
+    moment a usable one counts.
     """
-    usable = store.where(
+    usable = F.coalesce(
         F.col("words").isNotNull()
         & ~is_expired(F.col("created_at"), now, days)
-        & (config_text(F.col("config")) == config_text(expected_config(F.col("lang"), settings)))
+        & (config_text(F.col("config")) == config_text(expected_config(F.col("lang"), settings))),
+        F.lit(False),
     )
-    newest = usable.groupBy("content_sha1", "lang").agg(F.max_by("words", "created_at").alias("words"))
+    answers = store.select("content_sha1", "lang", "created_at", usable.alias("__usable"), F.when(usable, F.col("words")).alias("words"))
+    newest = answers.groupBy("content_sha1", "lang").agg(F.max_by("words", F.struct("created_at", "__usable")).alias("words"))
     return requests.join(newest, ["content_sha1", "lang"], "left")
 
 

@@ -99,8 +99,8 @@ def test_silence_and_clipping(spark):
 
 def test_pitch():
     t = np.arange(800) / 16000
-    assert signal.pitch_of(np.sin(2 * np.pi * 200 * t), 16000) == pytest.approx(200, abs=5)
-    assert signal.pitch_of(np.zeros(800), 16000) == 0.0
+    assert signal.pitches(np.sin(2 * np.pi * 200 * t)[None, :], 16000)[0] == pytest.approx(200, abs=5)
+    assert signal.pitches(np.zeros((1, 800)), 16000)[0] == 0.0
 
 
 DELTAS = "call_id string, seg_idx long, pitch_d double, energy_d double, rate_d double, jitter_d double, pause_r double, hif0_section string"
@@ -310,3 +310,33 @@ def test_vector_has_32_finite_numbers(spark):
     load()
     rows = QUERIES["ud3_prosody_vector"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(len(r.vector) == 32 and all(math.isfinite(v) for v in r.vector) for r in rows)
+
+
+def test_signal_operators_take_text_call_ids(spark):
+    wave = [float(x) for x in np.sin(2 * np.pi * 200 * np.arange(1600) / 1600)]
+    blocks = spark.createDataFrame([("a", 0, wave[:800]), ("a", 1, wave[800:])], "call_id string, block_idx long, samples array<double>")
+    rows = signal.frame_features(blocks, 1600, 800).collect()
+    assert {r.call_id for r in rows} == {"a"} and len(rows) == 98
+    assert signal.band_power(blocks, 1600, 800).collect()[0].call_id == "a"
+    assert {r.call_id for r in signal.frame_spectra(blocks, 1600, 800).collect()} == {"a"}
+    with pytest.raises(ValueError):
+        signal.frame_features(blocks, 1600, 40)
+
+
+def test_a_newer_stored_entry_replaces_an_older_one(spark):
+    from pyspark.sql import functions as F
+
+    from callweave.sources import store
+
+    word = "array(named_struct('start', 0D, 'end', 1D, 'text', 'x', 'probability', 1D))"
+    rows = spark.createDataFrame([(10, "en"), (20, "xx")], "day int, config_lang string").select(
+        F.lit("h").alias("content_sha1"),
+        F.lit("en").alias("lang"),
+        store.expected_config(F.col("config_lang")).alias("config"),
+        F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)).alias("created_at"),
+        F.expr(word).alias("words"),
+    )
+    asked = spark.createDataFrame([("h", "en")], "content_sha1 string, lang string")
+    now = F.lit("2024-01-21").cast("timestamp")
+    assert store.store_lookup(asked, rows, now).first().words is None
+    assert store.store_lookup(asked, rows.where("day(created_at) = 10"), now).first().words is not None
