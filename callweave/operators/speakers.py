@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +21,15 @@ CALL = ["call_id"]
 
 
 def vector_sums(df: DataFrame, keys: Sequence[str], vector: str, name: str = "vec_sum") -> DataFrame:
-    """Element-wise sum and row count per group: keys, ``name``, ``n_vectors``."""
-    parts = (
-        df.select(*keys, F.posexplode(vector).alias("__dim", "__x"))
-        .groupBy(*keys, "__dim")
-        .agg(F.sum("__x").alias("__s"), F.count(F.lit(1)).alias("__n"))
-    )
-    # One entry per vector element, whatever the size of the group.
-    cells = F.array_sort(F.collect_list(F.struct("__dim", "__s")))
-    return parts.groupBy(*keys).agg(
-        F.transform(cells, lambda c: c["__s"]).alias(name), F.max("__n").alias("n_vectors")
+    """Element-wise sum and row count per group: keys, ``name``, ``n_vectors``.
+
+    A summarizer keeps one vector per group and task and merges those: no row per element is made.
+    """
+    total = Summarizer.metrics("sum", "count").summary(array_to_vector(F.col(vector)))
+    return (
+        df.groupBy(*keys)
+        .agg(total.alias("__t"))
+        .select(*keys, vector_to_array("__t.sum").alias(name), F.col("__t.count").alias("n_vectors"))
     )
 
 
