@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from callweave.plans import registry  # noqa: E402
-from callweave.session import local_session  # noqa: E402
+from callweave.session import INPUT_PARTITIONS, local_session  # noqa: E402
 
 HEADLINE = [
     "worst_calls_and_why",
@@ -40,7 +40,8 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     picks = os.environ.get("BENCH_QUERIES", "")
     registry.load()
-    spark = local_session(cores)
+    # The tables are single files of one row group.
+    spark = local_session(cores, **{INPUT_PARTITIONS: cores})
     names = [n for n in (picks.split(",") if picks else HEADLINE) if n in registry.QUERIES]
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     times: dict[str, float] = {}

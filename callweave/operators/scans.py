@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,15 @@ BLOCK = "__block"
 BLOCK_ROWS = 65_536
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Rows that two branches of a plan read: computed once and kept on the executors' disks.
+
+    Without it each scan would run its input twice, and scans over scans would double that again. A lost executor's part is
+    computed anew. Spark drops the rows with ``spark.catalog.clearCache()`` or the session.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 @dataclass(frozen=True)
 class Run:
     """A running aggregate: ``kind`` is sum, min, max, first or last (nulls are skipped)."""
@@ -67,7 +77,7 @@ def running(
     """
     keys, order = list(keys), list(order)
     rows = df.withColumn(BLOCK, block)
-    rows = rows.withColumns({f"__v_{n}": r.value for n, r in runs.items()})
+    rows = shared(rows.withColumns({f"__v_{n}": r.value for n, r in runs.items()}))
     totals = rows.groupBy(*keys, BLOCK).agg(
         *[_block_total(r.kind, F.col(f"__v_{n}"), order).alias(f"__t_{n}") for n, r in runs.items()]
     )
@@ -177,7 +187,7 @@ def expanding_moments(
     block and of everything before it are merged with the pairwise variance formula.
     """
     keys, order = list(keys), list(order)
-    rows = df.withColumn(BLOCK, block)
+    rows = shared(df.withColumn(BLOCK, block))
     totals = rows.groupBy(*keys, BLOCK).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.avg(v).alias(f"__m_{v}") for v in values],
@@ -261,7 +271,7 @@ def quantiles(
     for name, (p, rank) in (order_stats or {}).items():
         targets.append((name, p, rank.cast("double")))
     targets.sort(key=lambda t: t[1])
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
+    rows = shared(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x")))
     slack = 2.0 / accuracy
     edges = [e for _, p, _ in targets for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
     sketch = rows.groupBy(*keys).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callweave.functions.lexicon import JOB_STAGES
 from callweave.functions.numeric import block_of
 from callweave.operators.scans import Run, numbered, running
+from callweave.session import dealt
 
 WORD_S = 0.4
 WS = r"\s+"
@@ -111,7 +112,7 @@ def emotions(seg: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """One document as a call of one turn; even documents are spoken by the agent."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select(
         F.col("doc_id").alias("call_id"),
         F.lit(0).cast("long").alias("seg_idx"),

@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Session setting, off unless given: tasks that text-heavy inputs are dealt out to.
+INPUT_PARTITIONS = "spark.callweave.inputPartitions"
+
 
 def local_session(cores: int | str = 8, app: str = "callweave", **extra: str) -> SparkSession:
     ship_by_value()
@@ -36,6 +39,15 @@ def local_session(cores: int | str = 8, app: str = "callweave", **extra: str) ->
     return spark
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal rows out to as many tasks as the session asks for with INPUT_PARTITIONS; unset, the plan is left as it is.
+
+    For machines with more cores than the input has splits, such as a small file of one row group.
+    """
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df if wanted is None else df.repartition(int(wanted))
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
