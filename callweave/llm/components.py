@@ -7,11 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import written
+from callweave.llm.shingles import jaccard_counts
+
+#: A block of members that are compared with another block: rows, and bytes of their sets.
+BLOCK_ROWS = 400
+BLOCK_BYTES = 8_000_000
 
 
 def _forest(links: DataFrame) -> DataFrame:
@@ -67,28 +73,109 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     return nodes.unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) whose sets (id, hashes: sorted 64-bit hashes) are at least ``per_cent`` similar."""
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("hashes").alias(f"h{side}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fine = []
+            for x, y in zip(batch["ha"], batch["hb"]):
+                both, either = jaccard_counts(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                fine.append(100 * both >= per_cent * either)
+            yield batch.loc[fine, ["a", "b"]]
+
+    return met.mapInPandas(check, "a long, b long")
+
+
+def shared_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all intersections, as products of a 0/1 matrix in strips of its columns."""
+    sizes = np.array([len(x) for x in sets])
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.full(len(values), -1)
+    several = np.flatnonzero(counts > 1)
+    rank[several] = np.arange(len(several))
+    column, row = rank[inverse], np.repeat(np.arange(len(sets)), sizes)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    for begin in range(0, len(several), columns):
+        low, high = np.searchsorted(column, [begin, begin + columns])
+        strip = np.zeros((len(sets), columns), np.float32)
+        strip[row[low:high], column[low:high] - begin] = 1
+        total += strip @ strip.T
+    return total
+
+
+def _rest(left: DataFrame, sets: DataFrame, per_cent: int, purpose: str) -> DataFrame:
+    """Links between different components that share a bucket of ``left`` (bucket, id, component, hub).
+
+    Buckets that overlap form a cluster. Its members are dealt into blocks, and every pair of blocks is one group of bounded size, in which
+    all intersections come from one matrix product. A group returns the links that connect its components: fewer than it has rows.
+    """
+    edges = left.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).where("a <> b").distinct()
+    clusters = components(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), purpose).withColumnRenamed("component", "cluster")
+    members = left.select("id", "component").distinct().join(clusters, "id").join(sets, "id")
+    members = written(members, purpose)
+    sizes = members.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("cluster", "id", "component", "hashes", "block", other)
+    placed = placed.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component", "hashes")
+
+    def connect(group: pd.DataFrame) -> pd.DataFrame:
+        names = group["component"].to_numpy()
+        out: list[tuple] = []
+        if len(set(names.tolist())) > 1:
+            found = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
+            both = shared_counts(found)
+            size = np.array([len(f) for f in found])
+            fits = (100 * both >= per_cent * (size[:, None] + size[None, :] - both)) & (names[:, None] != names[None, :])
+            up: dict = {}
+
+            def root(x):
+                while up.setdefault(x, x) != x:
+                    x = up[x]
+                return x
+
+            ids = group["id"].to_numpy()
+            for i, j in zip(*np.nonzero(np.triu(fits))):
+                x, y = root(names[i]), root(names[j])
+                if x != y:
+                    up[x] = y
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return placed.groupBy("cluster", "low", "high").applyInPandas(connect, "a long, b long")
+
+
 def linked(
     members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[[DataFrame], DataFrame],
+    per_cent: int,
     *,
-    prepare: Callable[[DataFrame], None] | None = None,
+    near: Callable[[DataFrame], DataFrame] | None = None,
     stars: int = 2,
     purpose: str = "links",
-) -> tuple[DataFrame, DataFrame]:
-    """Connect all members that some bucket brings together and ``verify`` confirms.
+) -> DataFrame:
+    """(id, component) of all members that some bucket brings together and whose sets are ``per_cent`` similar.
 
     ``members`` has (bucket, id). In each of the star rounds every bucket names one of its members as hub, and
-    only (member, hub) pairs whose components still differ are verified. What is left after the stars are the
-    buckets that hold more than one component: there, all pairs of different components that are not yet
-    verified are, so no connection is lost. Copies of one text never come here: they are one member.
-
-    ``prepare`` is called once with the distinct ids that share a bucket with another. ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links.
+    only (member, hub) pairs whose components still differ are confirmed, after the cheaper test ``near``. What is left after the stars are the
+    buckets that hold more than one component; there, blocks of members are compared with each other (``_rest``), so no connection is
+    lost and no list of pairs is made. Copies of one text never come here: they are one member.
 
-    Returns (links, components of linked ids). Links within a component are enough to connect it, not all.
+    ``sets_of`` is called once with the distinct ids that share a bucket with another and gives their sets (id, hashes).
     """
-    found = None
-    tried = None
-    nodes = None
+    found = sets = nodes = None
+    # One exchange serves both the count and the rows; buckets with a single member end here.
+    dealt = members.repartition("bucket")
+    several = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = written(dealt.join(several, "bucket", "left_semi"), purpose)
     for step in range(stars + 1):
         if nodes is None:
             placed = members.withColumn("component", F.col("id"))
@@ -101,20 +188,15 @@ def linked(
         ).where(F.col("low") != F.col("high"))
         placed = written(placed.join(per.select("bucket", "hub"), "bucket"), purpose)
         members = placed.select("bucket", "id")  # the other buckets are done with
-        if prepare is not None and step == 0:
-            prepare(placed.select("id").distinct())
+        if sets is None:
+            sets = written(sets_of(placed.select("id").distinct()), purpose)
         if step < stars:
             raw = placed.where(F.col("component") != F.col("hub.component")).select(F.col("id").alias("x"), F.col("hub.id").alias("y"))
+            pairs = raw.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            links = confirmed(pairs if near is None else near(pairs), sets, per_cent)
         else:
-            left = placed.select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-            right = placed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
-            raw = left.join(right, "bucket").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))).select("x", "y")
-        pairs = raw.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, purpose)
-        links = written(verify(pairs), purpose)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+            links = _rest(placed, sets, per_cent, purpose)
+        links = written(links, purpose)
         found = links if found is None else found.unionByName(links)
         nodes = components(found, purpose)
-    return found, nodes
+    return nodes

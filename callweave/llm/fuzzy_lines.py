@@ -3,7 +3,7 @@
 Every distinct normalised line (as in ``units.normal``) has a MinHash signature of its character shingles, made in the
 same pass that cuts the documents; a line that repeats within a batch is signed once. BANDS bands of ROWS_PER_BAND values
 bring together lines of similarity 0.8 with probability 0.998, more similar ones with more. The members of a band key are
-connected by stars and rests (``components.linked``), never by all pairs, and confirmed by the exact Jaccard similarity of
+connected by stars and by blocks (``components.linked``), never by a list of all pairs, and confirmed by the exact Jaccard similarity of
 their shingle sets. Of each component the earliest line in the order (doc_id, text hash, place) stays.
 
 Defined cases: lines without words always stay; a line shorter than a shingle is a shingle of its own; null and empty
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from callweave.llm.common import written
 from callweave.llm.components import linked
-from callweave.llm.shingles import _mixed, jaccard_counts
+from callweave.llm.shingles import _mixed
 from callweave.llm.units import digest, keyed, normal, remove_units, spans
 
 SHINGLE = 8
@@ -120,30 +120,20 @@ def later_lines(keys: DataFrame, unit: str = "line", per_cent: int = PER_CENT) -
     )
     # The number is fixed by writing it.
     lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "lines")
-    known: dict[str, DataFrame] = {}
 
-    def prepare(ids: DataFrame) -> None:
+    def sets_of(ids: DataFrame) -> DataFrame:
         places = lines.join(ids.withColumnRenamed("id", "node"), "node").select("node", "first.id", "first.mark", "first.start", "first.end")
         texts = keys.select("id", "mark", "text").join(places, ["id", "mark"])
-        body = F.expr("substring(text, start + 1, end - start)")
-        known["texts"] = written(texts.select("node", body.alias("body")).dropDuplicates(["node"]), "texts")
+        bodies = texts.select("node", F.expr("substring(text, start + 1, end - start)").alias("body"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda side: known["texts"].select(F.col("node").alias(side), F.col("body").alias(f"t{side}"))
-        met = pairs.join(of("a"), "a").join(of("b"), "b")
-
-        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                fine = []
-                for x, y in zip(batch["ta"], batch["tb"]):
-                    a, b = (np.unique(shingle_hashes([normal(t)])[0]) for t in (x, y))
-                    both, either = jaccard_counts(a, b)
-                    fine.append(100 * both >= per_cent * either)
-                yield batch.loc[fine, ["a", "b"]]
+                sets = [np.unique(shingle_hashes([normal(t)])[0]).tobytes() for t in batch["body"]]
+                yield pd.DataFrame({"id": batch["node"].to_numpy(), "hashes": sets})
 
-        return met.mapInPandas(check, "a long, b long")
+        return bodies.mapInPandas(hashes, "id long, hashes binary").dropDuplicates(["id"])
 
-    _, nodes = linked(_band_members(lines), verify, stars=1, prepare=prepare, purpose="lines")
+    nodes = linked(_band_members(lines), sets_of, per_cent, stars=1, purpose="lines")
     placed = lines.select("digest", "first", "n", "node").join(nodes.withColumnRenamed("id", "node"), "node", "left")
     linked_lines = placed.where(F.col("component").isNotNull())
     firsts = linked_lines.groupBy("component").agg(F.min("first").alias("least"))

@@ -7,8 +7,8 @@ CHUNKS chunks with 2 x CHUNKS > DISTANCE, so by the pigeonhole principle two sig
 most one symbol of some chunk. For every chunk the keys enumerate that one error: the chunk with each of its
 symbols left out in turn. All pairs within DISTANCE therefore share a key.
 
-Members of a key are connected by stars and rests (``components.linked``), never by all pairs; pairs within DISTANCE
-are confirmed on the full shingle sets. Buckets and links are shuffled by hash, all steps are written to the shared
+Members of a key are connected by stars and by blocks (``components.linked``), never by a list of all pairs; star pairs within DISTANCE
+and all pairs of a block are confirmed on the full shingle sets. Buckets and links are shuffled by hash, all steps are written to the shared
 folder, and copies of one set are a single member.
 
 Defined cases: null texts and texts without words have no shingles and stand alone; rows with equal id and text are
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from callweave.llm.common import written
 from callweave.llm.components import linked
-from callweave.llm.shingles import _mixed, jaccard_counts, minima, shingle_sets
+from callweave.llm.shingles import _mixed, minima, shingle_sets
 
 SHINGLE = 5
 SYMBOLS = 64
@@ -100,21 +100,6 @@ def _within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.mapInPandas(near, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"h{side}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fine = []
-            for x, y in zip(batch["ha"], batch["hb"]):
-                both, either = jaccard_counts(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                fine.append(100 * both >= per_cent * either)
-            yield batch.loc[fine, ["a", "b"]]
-
-    return met.mapInPandas(check, "a long, b long")
-
-
 def groups(keys: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """(id, mark, n_shingles, first_id, first_mark) for each distinct document of ``keys`` (id, mark, text).
 
@@ -125,9 +110,8 @@ def groups(keys: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     classes = full.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("signature").alias("signature"))
     # The number is fixed by writing it.
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    known: dict[str, DataFrame] = {}
 
-    def prepare(ids: DataFrame) -> None:
+    def sets_of(ids: DataFrame) -> DataFrame:
         firsts = classes.join(ids.withColumnRenamed("id", "node"), "node").select("node", "first.id", "first.mark")
         texts = keys.join(firsts, ["id", "mark"]).select("node", "text")
 
@@ -136,16 +120,13 @@ def groups(keys: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
                 for begin in range(0, len(batch), ROWS):
                     part = batch.iloc[begin : begin + ROWS]
                     sets = shingle_sets(part["text"].tolist(), SHINGLE)
-                    yield pd.DataFrame({"node": part["node"].to_numpy(), "hashes": [s.tobytes() for s in sets]})
+                    yield pd.DataFrame({"id": part["node"].to_numpy(), "hashes": [s.tobytes() for s in sets]})
 
         # Rows with equal id and text make the same set more than once.
-        made = texts.mapInPandas(hashes, "node long, hashes binary").dropDuplicates(["node"])
-        known["sets"] = written(made, "sets")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return _confirmed(_within_distance(pairs, classes), known["sets"], per_cent)
+        return texts.mapInPandas(hashes, "id long, hashes binary").dropDuplicates(["id"])
 
-    _, nodes = linked(chunk_keys(classes), verify, prepare=prepare, purpose="near")
+    near = lambda pairs: _within_distance(pairs, classes)
+    nodes = linked(chunk_keys(classes), sets_of, per_cent, near=near, purpose="near")
     placed = classes.select("digest", "first", "node").join(nodes.withColumnRenamed("id", "node"), "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     firsts = placed.groupBy("component").agg(F.min("first").alias("first"))
