@@ -7,8 +7,8 @@ A suffix array sorted to a depth of SPAN bytes, made only where it can matter:
    its 68 bytes (a hash), names are dealt out and sorted, and neighbours in the order are compared. Places whose name is unique
    belong to no repeated string. The sample is 12 of 133 places.
 2. Recurse on what is left: stretches of text within reach of a sampled place whose name repeats (132 bytes before it to SPAN after it).
-3. Merge the remaining suffixes. Every place of the stretches gets the name of its SPAN bytes (80 bits), names are dealt out
-   and sorted, and neighbours are compared: equal ones are the places that start a repeated string.
+3. Merge the remaining suffixes. Every place of the stretches gets the name of its SPAN bytes (80 bits), names are dealt out by parts of
+   their range and sorted, and neighbours are compared: equal ones are the places that start a repeated string.
 4. The strings that start there cover the bytes that go.
 
 Names replace ranks, since only equality to a depth of SPAN is asked for, not the order of suffixes; so no global numbering is needed.
@@ -40,6 +40,8 @@ WINDOW = SPAN - MODULUS + 1
 #: Bytes hashed at once, and places whose names are compared before they are sent.
 PIECE = 1_000_000
 PLACES = 3_000_000
+#: Bytes of stretches to a part of the range of names: what one group compares.
+PART_BYTES = 4_000_000
 
 _rng = np.random.default_rng(2024)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -175,49 +177,64 @@ def _stretches(texts: DataFrame) -> DataFrame:
     return texts.select("key", "text", "found").mapInPandas(cut, "key long, start int, body binary, near long")
 
 
-def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of consecutive numbers."""
-    first = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+def _runs(at: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Firsts and lengths of runs of consecutive sorted numbers on one line."""
+    first = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(lines) != 0)])
     return at[first], np.diff(np.r_[first, len(at)])
 
 
-def _all_places(stretches: DataFrame) -> DataFrame:
-    """(name, more, key, place, n, sure): names of SPAN bytes, once per batch, and runs of places that repeat within it."""
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, which compresses where the upper ones are alike."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
-    def flush(batch_keys, batch_starts, raw) -> Iterator[pd.DataFrame]:
-        columns = ["name", "more", "key", "place", "n", "sure"]
-        found, more, owner, where = [], [], [], []
-        for part, begins, buf in _pieces(raw, SPAN):
+
+def _from_planes(raw: bytes, kind, n: int) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+#: Kinds of rows: the stretches of a batch, its places that are known to repeat, and names to be compared.
+HEADER, SURE, NAMES = 0, 1, 2
+ROW = "part int, batch long, kind int, n int, body binary"
+
+
+def _all_places(stretches: DataFrame, parts: int) -> DataFrame:
+    """Names of SPAN bytes, once per batch, packed by the part of the names' range (see ROW).
+
+    Places of a batch are numbered through; its header says which stretch a number is in.
+    """
+
+    def flush(keys: np.ndarray, starts: np.ndarray, raw: list[bytes]) -> Iterator[pd.DataFrame]:
+        found, more = [], []
+        counts = np.array([len(r) - SPAN + 1 for r in raw])
+        for _, begins, buf in _pieces(raw, SPAN):
             every = names(buf, SPAN)
             sizes = np.diff(np.r_[begins, len(buf)])
             of = np.repeat(np.arange(len(begins)), sizes)[: len(every)]
-            place = np.arange(len(every)) - begins[of]
-            at = np.flatnonzero(place + SPAN <= sizes[of])
+            at = np.flatnonzero(np.arange(len(every)) - begins[of] + SPAN <= sizes[of])
             found.append(every[at])
             # 16 more bits, from bytes named at another width.
-            tail = names(buf, SPAN - 1)[at + 1] >> np.uint64(7)
-            more.append((tail & np.uint64(0x7FFF)).astype(np.int16))
-            owner.append(part[of[at]].astype(np.int32))
-            where.append(place[at].astype(np.int32))
-        if not found:
-            return
-        name, extra, of, place = (np.concatenate(x) for x in (found, more, owner, where))
-        _, first, inverse, counts = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-        repeats = counts[inverse] > 1
+            more.append((names(buf, SPAN - 1)[at + 1] >> np.uint64(7)).astype(np.uint16))
+        name, extra = np.concatenate(found), np.concatenate(more)
+        batch = int.from_bytes(hashlib.blake2b(keys.tobytes() + starts.tobytes(), digest_size=8).digest(), "little", signed=True)
+        header = np.concatenate([keys, starts, counts]).astype(np.int64).tobytes()
+        away = -1 - (batch & 0xFFFF)
+        out = [(away, batch, HEADER, len(keys), header)]
+        unique, first, inverse, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        repeats = np.flatnonzero((times > 1)[inverse])
         del inverse
-        keys, starts = batch_keys[of], batch_starts[of] + place
-        for begin in range(0, len(first), 200_000):
-            f = first[begin : begin + 200_000]
-            yield pd.DataFrame({"name": name[f].view(np.int64), "more": extra[f], "key": keys[f], "place": starts[f].astype(np.int32), "n": np.int32(1), "sure": np.int8(0)})
-        at = np.flatnonzero(repeats)
-        if len(at):
-            # Places of one stretch are consecutive here, and a new stretch begins a new run.
-            line = at + of[at].astype(np.int64) * SPAN
-            head = np.flatnonzero(np.r_[True, np.diff(line) != 1])
-            size = np.diff(np.r_[head, len(at)])
-            yield pd.DataFrame(
-                {"name": name[at[head]].view(np.int64), "more": extra[at[head]], "key": keys[at[head]], "place": starts[at[head]].astype(np.int32), "n": size.astype(np.int32), "sure": np.int8(1)}
-            )[columns]
+        if len(repeats):
+            heads, lengths = _runs(repeats, np.zeros(len(repeats)))
+            out.append((away, batch, SURE, len(heads), np.concatenate([heads, lengths]).astype(np.int64).tobytes()))
+        part = ((unique >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        edges = np.searchsorted(part, np.arange(parts + 1))
+        for i in range(parts):
+            low, high = edges[i], edges[i + 1]
+            if high > low:
+                own = unique[low:high]
+                body = _planes(np.diff(own, prepend=np.uint64(0))) + _planes(extra[first[low:high]]) + _planes(first[low:high].astype(np.uint32))
+                out.append((i, batch, NAMES, high - low, body))
+        yield pd.DataFrame(out, columns=["part", "batch", "kind", "n", "body"])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, starts, raw, size = [], [], [], 0
@@ -233,7 +250,52 @@ def _all_places(stretches: DataFrame) -> DataFrame:
         if raw:
             yield from flush(np.array(keys), np.array(starts), raw)
 
-    return stretches.select("key", "start", "body").mapInPandas(each, "name long, more short, key long, place int, n int, sure byte")
+    return stretches.select("key", "start", "body").mapInPandas(each, ROW)
+
+
+def _compare(group: pd.DataFrame) -> pd.DataFrame:
+    """Places of a part whose name another batch has too; other rows as they are."""
+    group = group.sort_values(["batch", "kind"], kind="stable")
+    packed = group[group["kind"] == NAMES]
+    out = group[group["kind"] != NAMES]
+    if len(packed) < 2:
+        return out
+    found, extras, numbers = [], [], []
+    for n, body in zip(packed["n"].tolist(), packed["body"]):
+        found.append(np.cumsum(_from_planes(body[: 8 * n], np.uint64, n), dtype=np.uint64))
+        extras.append(_from_planes(body[8 * n : 10 * n], np.uint16, n))
+        numbers.append(_from_planes(body[10 * n :], np.uint32, n))
+    of = np.repeat(np.arange(len(packed)), packed["n"].to_numpy())
+    name, extra, number = np.concatenate(found), np.concatenate(extras), np.concatenate(numbers)
+    del found, extras, numbers
+    order = np.lexsort((extra, name))
+    same = (name[order][1:] == name[order][:-1]) & (extra[order][1:] == extra[order][:-1])
+    hit = order[np.r_[same, False] | np.r_[False, same]]
+    rows = []
+    for i, batch in enumerate(packed["batch"].tolist()):
+        own = np.sort(number[hit[of[hit] == i]])
+        if len(own):
+            heads, lengths = _runs(own.astype(np.int64), np.zeros(len(own)))
+            rows.append((0, batch, SURE, len(heads), np.concatenate([heads, lengths]).astype(np.int64).tobytes()))
+    return pd.concat([out, pd.DataFrame(rows, columns=list(group.columns))])
+
+
+def _decode(group: pd.DataFrame) -> pd.DataFrame:
+    """(key, place, n): runs of places that start a repeated string, from the header and the runs of a batch."""
+    head = group[group["kind"] == HEADER].iloc[0]
+    n = int(head["n"])
+    keys, starts, counts = np.frombuffer(head["body"], np.int64).reshape(3, n)
+    ends = np.cumsum(counts)
+    marked = np.zeros(int(ends[-1]) + 1, np.int8)
+    for size, body in zip(group.loc[group["kind"] == SURE, "n"].tolist(), group.loc[group["kind"] == SURE, "body"]):
+        heads, lengths = np.frombuffer(body, np.int64).reshape(2, size)
+        places = np.repeat(heads - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(int(lengths.sum()))
+        marked[places] = 1
+    at = np.flatnonzero(marked)
+    line = np.searchsorted(ends, at, side="right")
+    first, size = _runs(at, line) if len(at) else (at, at)
+    of = np.searchsorted(ends, first, side="right")
+    return pd.DataFrame({"key": keys[of], "place": (first - (ends - counts)[of] + starts[of]).astype(np.int32), "n": size.astype(np.int32)})
 
 
 def _covered(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -284,8 +346,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = rows.select("key", "text").join(places, "key")
     # Repeated rows make a stretch more than once.
     stretches = written(_stretches(texts).dropDuplicates(["key", "start"]), "stretches")
-    # Stretches with equal least names are mostly copies of each other: together they send each name once.
-    starts = _repeated(_all_places(stretches.repartition("near")), ["name", "more"], ["key", "place", "n"])
+    total = stretches.agg(F.sum(F.length("body"))).first()[0] or 0
+    # Stretches with equal least names are mostly copies of each other: together they send each name once. Sorted, they make
+    # the same batches whenever a task is run again.
+    ordered = stretches.repartition("near").sortWithinPartitions("near", "key", "start")
+    packed = _all_places(ordered, 1 + total // PART_BYTES)
+    compared = packed.groupBy("part").applyInPandas(_compare, ROW)
+    starts = compared.groupBy("batch").applyInPandas(_decode, "key long, place int, n int")
     runs = written(starts.groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("runs")), "runs")
     marks = runs.join(copied.select("key", F.lit(True).alias("whole")), "key", "full")
     met = rows.join(marks, "key", "left")
