@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,29 +66,67 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return rows.select("filename", "stage_id", "seq", "started_at", "event_time", steady(seconds, 6).alias("elapsed_s"))
 
 
-def stage_durations_stream(events: DataFrame, within: str = "1 hour") -> DataFrame:
-    """The same on a stream, as a join of starts and ends at most ``within`` apart."""
-    starts = (
-        events.where("status = 'running'")
-        .select(F.col("filename").alias("f"), F.col("stage_id").alias("g"), F.col("event_time").alias("started_at"))
-        .withWatermark("started_at", WATERMARK)
-    )
-    ends = events.where("status = 'done'").withWatermark("event_time", WATERMARK)
-    near = F.expr(
-        "filename = f AND stage_id = g AND event_time >= started_at "
-        f"AND event_time <= started_at + INTERVAL {within}"
-    )
-    seconds = (F.unix_micros("event_time") - F.unix_micros("started_at")) / 1e6
-    return ends.join(starts, near).select(
-        "filename", "stage_id", "started_at", "event_time", steady(seconds, 6).alias("elapsed_s")
+DURATION = "filename string, stage_id string, seq long, started_at timestamp, event_time timestamp, elapsed_s double"
+
+
+def pair_events(last: tuple | None, chunk: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+    """Pair every ``done`` of a chunk with the ``running`` right before it; ``last`` is what came before the chunk.
+
+    Returns the chunk's last event as (status, event_time) and the pairs.
+    """
+    rows = chunk[chunk["status"].isin(["running", "done"])].sort_values(["event_time", "seq"])
+    if not len(rows):
+        return last, rows.assign(started_at=pd.NaT)
+    status, when = rows["status"].shift(), rows["event_time"].shift()
+    if last is not None:
+        status.iloc[0], when.iloc[0] = last
+    paired = rows.assign(started_at=when)[(rows["status"] == "done") & (status == "running")]
+    return (rows["status"].iloc[-1], rows["event_time"].iloc[-1]), paired
+
+
+def stage_durations_stream(events: DataFrame) -> DataFrame:
+    """The same on a stream: the last event of each (filename, stage_id) is the state, whatever time passes until the next.
+
+    Events of a key are put in order within a micro-batch; an event that arrives in a later one counts as later.
+    Needs the RocksDB state store provider.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Durations(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._last = handle.getValueState("last", "status string, event_time timestamp")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            last = tuple(self._last.get()) if self._last.exists() else None
+            # The events that one job has for one stage within a micro-batch.
+            last, out = pair_events(last, pd.concat(list(rows)))
+            if last is not None:
+                self._last.update((last[0], pd.Timestamp(last[1]).to_pydatetime()))
+            if len(out):
+                began, ended = pd.to_datetime(out["started_at"]), pd.to_datetime(out["event_time"])
+                yield pd.DataFrame(
+                    {
+                        "filename": key[0],
+                        "stage_id": key[1],
+                        "seq": out["seq"].to_numpy(),
+                        "started_at": began.to_numpy(),
+                        "event_time": ended.to_numpy(),
+                        "elapsed_s": ((ended - began) / pd.Timedelta(seconds=1)).to_numpy(),
+                    }
+                )
+
+        def close(self) -> None:
+            pass
+
+    return events.groupBy("filename", "stage_id").transformWithStateInPandas(
+        Durations(), outputStructType=DURATION, outputMode="append", timeMode="none"
     )
 
 
-def new_calls(arrivals: DataFrame, key: str = "content_sha1") -> DataFrame:
-    """Each content once, even if it is delivered again within the watermark."""
-    if not arrivals.isStreaming:
-        return arrivals.dropDuplicates([key])
-    return arrivals.withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark([key])
+def new_calls(arrivals: DataFrame, known: DataFrame | None = None, key: str = "content_sha1") -> DataFrame:
+    """Each content of a batch once, unless ``known`` (what has been processed, however long ago) has it."""
+    fresh = arrivals.dropDuplicates([key])
+    return fresh if known is None else fresh.join(known.select(key), key, "left_anti")
 
 
 def use_rocksdb(spark: SparkSession) -> None:

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from callweave.sources.store import upsert
+from callweave.streaming.metrics import new_calls
 
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
@@ -67,3 +69,23 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str):
         .trigger(availableNow=True)
         .start()
     )
+
+
+def append_new_stream(rows: DataFrame, path: str, checkpoint: str, key: str = "content_sha1"):
+    """Append rows whose key the table does not hold yet, until all input is consumed.
+
+    Every micro-batch writes a part named by its number, so a batch that is replayed replaces its own part.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            known = spark.read.option("basePath", path).parquet(path).where(F.col("__batch") != batch_id)
+        except AnalysisException:  # no table yet
+            known = None
+        fresh = new_calls(batch, known, key)
+        fresh.write.mode("overwrite").parquet(f"{path}/__batch={batch_id}")
+
+    return (
+        rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    )
