@@ -17,6 +17,7 @@ character counts as a space; repeated items and rows give repeated results; an e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,15 +28,15 @@ from pyspark.sql import functions as F
 
 BLOCK = 5_000
 #: Window length and the words from one looked-up window to the next.
-CLASSES = ((48, 4), (24, 2), (12, 1), (6, 1), (1, 1))
-REPEATS = 12
-PLACES = 9
+CLASSES = ((48, 2), (24, 2), (12, 1), (6, 1), (1, 1))
+REPEATS = 20
+PLACES = 13
 #: Edits allowed, as a share of the item's length.
 EDITS = 0.1
 BITS = 16
 SEED = 5
 RESULT = "array<struct<item_id:long,distance:int,start:int,end:int>>"
-SPACES = str.maketrans({c: " " for c in map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])})
+OTHER_SPACE = re.compile(r"[^\S ]")
 
 
 def normal(text: str) -> str:
@@ -43,7 +44,7 @@ def normal(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return low.translate(SPACES)
+    return OTHER_SPACE.sub(" ", low)
 
 
 def _points(text: str) -> np.ndarray:
@@ -115,9 +116,9 @@ def masks(pattern: str) -> dict[str, int]:
     return out
 
 
-def best_substring(pattern: str, text: str) -> tuple[int, int]:
+def best_substring(pattern: str, text: str, of: dict[str, int] | None = None) -> tuple[int, int]:
     """Least edit distance of the pattern to a substring of the text, and where the first such substring ends."""
-    of, n = masks(pattern), len(pattern)
+    of, n = masks(pattern) if of is None else of, len(pattern)
     full, top = (1 << n) - 1, 1 << (n - 1)
     up, down, distance = full, 0, n
     best, end = n, 0
@@ -146,6 +147,7 @@ class Finder:
     def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS):
         self.items = [(key, normal(text)) for key, text in items if text and not text.isspace()]
         self.edits = [int(edits * len(t)) for _, t in self.items]
+        self.masks = [masks(t) for _, t in self.items]
         self.embeddings: dict[int, Embedding] = {}
         self.indexes: list[Index] = []
         groups: dict[int, list[int]] = {}
@@ -227,7 +229,7 @@ class Finder:
                     continue
                 low, high = max(0, low - k), high + k
                 seen.setdefault((t, i), []).append((low, high))
-                distance, stop = best_substring(pattern, text[low:high])
+                distance, stop = best_substring(pattern, text[low:high], self.masks[i])
                 if distance <= k and distance < best.get((t, i), (k + 1,))[0]:
                     back = best_substring(pattern[::-1], text[low : low + stop][::-1][: len(pattern) + distance])
                     best[t, i] = (distance, low + stop - back[1], low + stop)
