@@ -115,7 +115,7 @@ evt AS (
               WHEN event_type = 'view' THEN 'running' WHEN event_type = 'click' THEN 'done'
               WHEN event_type = 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'error' END
               ELSE CASE WHEN event_id % 3 = 0 THEN 'finished' ELSE 'running' END END AS status,
-         value AS time_s, ts AS event_time, event_id AS seq
+         value AS time_s, CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'E' || event_id END AS error, ts AS event_time, event_id AS seq
   FROM events)"""
 
 DOC = """

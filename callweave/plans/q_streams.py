@@ -28,11 +28,13 @@ sg AS (SELECT filename, stage_id, arg_max(status, (event_time, seq)) AS s, arg_m
 dn AS (SELECT filename, count(*) FILTER (s = 'done') AS n_done, string_agg(stage_id || ':' || s || ':' || coalesce(t, 0.0), ',' ORDER BY stage_id || ':' || s || ':' || coalesce(t, 0.0)) AS stages FROM sg GROUP BY filename),
 fs AS (SELECT filename, arg_max(status, (event_time, seq)) FILTER (status IN ('created', 'running', 'finished', 'failed')) AS s,
   arg_max(status, (event_time, seq)) FILTER (status IN ('created', 'running', 'done', 'error', 'finished')) AS p,
-  arg_max(stage_id, (event_time, seq)) FILTER (status IN ('running', 'done', 'error')) AS current_stage FROM lv GROUP BY filename),
+  arg_max(stage_id, (event_time, seq)) FILTER (status IN ('running', 'done', 'error')) AS current_stage,
+  arg_max(coalesce(error, ''), (event_time, seq)) FILTER (status IN ('created', 'running', 'finished', 'failed')) AS e, arg_max(time_s, (event_time, seq)) FILTER (status IN ('created', 'running', 'finished', 'failed')) AS ts FROM lv GROUP BY filename),
 pg AS (SELECT f.filename, CASE s WHEN 'created' THEN 'queued' WHEN 'running' THEN 'running' WHEN 'finished' THEN 'completed' ELSE 'error' END AS status,
   coalesce(current_stage, '') AS current_stage, (CASE WHEN p = 'finished' THEN 100 ELSE round(coalesce(n_done, 0) / {len(JOB_STAGES)} * 100) END)::BIGINT AS percent,
-  coalesce(n_done, 0) AS n_done, coalesce(stages, '') AS stages FROM fs f LEFT JOIN dn ON f.filename = dn.filename)"""
-COLS = ["filename", "status", "current_stage", "percent", "n_done", "stages"]
+  coalesce(n_done, 0) AS n_done, coalesce(stages, '') AS stages,
+  CASE WHEN s = 'failed' THEN e END AS error, CASE WHEN s IN ('finished', 'failed') THEN ts END AS time_s FROM fs f LEFT JOIN dn ON f.filename = dn.filename)"""
+COLS = ["filename", "status", "current_stage", "percent", "n_done", "stages", "error", "time_s"]
 
 
 @query("st1_job_progress", f"WITH {PROGRESS} SELECT * FROM pg")

@@ -212,6 +212,7 @@ def stage_events(ev: DataFrame) -> DataFrame:
         F.get(stages, (F.col("event_id") % 9).cast("int")).alias("stage_id"),
         kind.alias("status"),
         F.col("value").alias("time_s"),
+        F.when(kind == "failed", F.concat(F.lit("E"), F.col("event_id"))).alias("error"),
         F.col("ts").cast("timestamp").alias("event_time"),
         F.col("event_id").alias("seq"),
     )

@@ -1,6 +1,6 @@
 """Job progress: one small state per file, updated by stage events in any order.
 
-Events are rows (filename, stage_id, status, time_s, event_time, seq). ``status`` is ``created``
+Events are rows (filename, stage_id, status, time_s, error, event_time, seq). ``status`` is ``created``
 (resets the job), ``running`` / ``done`` / ``error`` for a stage, or ``finished`` / ``failed`` for the
 job; ``seq`` breaks ties of ``event_time``. Events before the first ``created`` are ignored.
 
@@ -21,7 +21,10 @@ from callweave.functions.lexicon import JOB_STAGES, JOB_TTL_SECONDS
 from callweave.functions.rules import percent_done
 
 STAGE_STATUS = ("running", "done", "error")
-SNAPSHOT = "filename string, status string, current_stage string, percent long, n_done long, stages string, as_of timestamp, as_of_seq long"
+SNAPSHOT = (
+    "filename string, status string, current_stage string, percent long, n_done long, stages string, error string, "
+    "time_s double, as_of timestamp, as_of_seq long"
+)
 
 
 def _at() -> Column:
@@ -49,14 +52,14 @@ def progress_batch(events: DataFrame, n_stages: int = len(JOB_STAGES)) -> DataFr
     sets_status = F.col("status").isin("created", "running", "finished", "failed")
     sets_percent = is_stage | (F.col("status") == "finished") | (F.col("status") == "created")
     per_file = live.groupBy("filename").agg(
-        F.max_by(F.when(sets_status, F.col("status")), F.when(sets_status, _at())).alias("s"),
+        F.max_by(F.when(sets_status, F.struct("status", "error", "time_s")), F.when(sets_status, _at())).alias("last"),
         F.max_by(F.when(sets_percent, F.col("status")), F.when(sets_percent, _at())).alias("p"),
         F.max_by(F.when(is_stage, F.col("stage_id")), F.when(is_stage, _at())).alias("current_stage"),
     )
     names = {"created": "queued", "running": "running", "finished": "completed", "failed": "error"}
     status = F.lit(None).cast("string")
     for k, v in names.items():
-        status = F.when(F.col("s") == k, v).otherwise(status)
+        status = F.when(F.col("last.status") == k, v).otherwise(status)
     n_done = F.coalesce("n_done", F.lit(0).cast("long"))
     return per_file.join(done, "filename", "left").select(
         "filename",
@@ -65,6 +68,8 @@ def progress_batch(events: DataFrame, n_stages: int = len(JOB_STAGES)) -> DataFr
         F.when(F.col("p") == "finished", F.lit(100).cast("long")).otherwise(percent_done(n_done, n_stages)).alias("percent"),
         n_done.alias("n_done"),
         F.coalesce("stages", F.lit("")).alias("stages"),
+        F.when(F.col("last.status") == "failed", F.col("last.error")).alias("error"),
+        F.when(F.col("last.status").isin("finished", "failed"), F.col("last.time_s")).alias("time_s"),
     )
 
 
@@ -75,22 +80,31 @@ def fold_events(state: dict, chunk: pd.DataFrame) -> dict:
         if key not in slot or slot[key][0] <= at:
             slot[key] = [at, value]
 
-    for status, stage, seconds, when, seq in zip(
-        chunk.status, chunk.stage_id, chunk.time_s, chunk.event_time, chunk.seq, strict=True
-    ):
-        at = [pd.Timestamp(when).value, int(seq)]
-        put(state, "seen", at, None)
-        if status == "created":
-            put(state, "created", at, None)
-        if status in ("created", "running", "finished", "failed"):
-            put(state, "status", at, status)
-        if status in (*STAGE_STATUS, "finished", "created"):
-            put(state, "percent", at, status)
-        if status in STAGE_STATUS:
-            put(state, "stage", at, stage)
-            put(state.setdefault("stages", {}), stage, at, status)
-            if status == "done":
-                put(state.setdefault("times", {}), stage, at, float(seconds))
+    def at(row) -> list:
+        return [pd.Timestamp(row.event_time).value, int(row.seq)]
+
+    def newest(rows: pd.DataFrame, key: str, value) -> None:
+        if len(rows):
+            row = rows.iloc[-1]
+            put(state, key, at(row), value(row))
+
+    text = lambda x: None if pd.isna(x) else x
+    rows = chunk.sort_values(["event_time", "seq"])
+    status = rows["status"]
+    newest(rows, "seen", lambda r: None)
+    newest(rows[status == "created"], "created", lambda r: None)
+    newest(
+        rows[status.isin(["created", "running", "finished", "failed"])],
+        "status",
+        lambda r: [r.status, text(r.error), None if pd.isna(r.time_s) else float(r.time_s)],
+    )
+    newest(rows[status.isin([*STAGE_STATUS, "finished", "created"])], "percent", lambda r: r.status)
+    of_stages = rows[status.isin(STAGE_STATUS)]
+    newest(of_stages, "stage", lambda r: r.stage_id)
+    for row in of_stages.drop_duplicates("stage_id", keep="last").itertuples():
+        put(state.setdefault("stages", {}), row.stage_id, at(row), row.status)
+    for row in of_stages[of_stages["status"] == "done"].drop_duplicates("stage_id", keep="last").itertuples():
+        put(state.setdefault("times", {}), row.stage_id, at(row), float(row.time_s))
     return state
 
 
@@ -107,10 +121,12 @@ def snapshot(filename: str, state: dict, n_stages: int = len(JOB_STAGES)) -> dic
     current = state.get("stage")
     return {
         "filename": filename,
-        "status": names[state["status"][1]],
+        "status": names[state["status"][1][0]],
         "current_stage": current[1] if current and current[0] >= since else "",
         "percent": 100 if state["percent"][1] == "finished" else round(n_done / n_stages * 100),
         "n_done": n_done,
+        "error": state["status"][1][1] if state["status"][1][0] == "failed" else None,
+        "time_s": state["status"][1][2] if state["status"][1][0] in ("finished", "failed") else None,
         "stages": ",".join(sorted(f"{k}:{v}:{times.get(k, 0.0)}" for k, v in stages.items())),
         "as_of": pd.Timestamp(state["seen"][0][0]),
         "as_of_seq": state["seen"][0][1],

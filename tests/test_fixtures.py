@@ -246,12 +246,12 @@ def test_upsert_and_slices(spark, tmp_path):
     assert (r.duration_s, r.denoise_metrics) == (None, None)
 
 
-EVENTS = "filename string, stage_id string, status string, time_s double, event_time timestamp, seq long"
+EVENTS = "filename string, stage_id string, status string, time_s double, event_time timestamp, seq long, error string"
 
 
 def stage_events(spark, rows):
     base = pd.Timestamp("2026-01-01")
-    return spark.createDataFrame([("f", s, k, t, (base + pd.Timedelta(minutes=i)).to_pydatetime(), i) for i, (s, k, t) in enumerate(rows)], EVENTS)
+    return spark.createDataFrame([("f", s, k, t, (base + pd.Timedelta(minutes=i)).to_pydatetime(), i, "no disk" if k == "failed" else None) for i, (s, k, t) in enumerate(rows)], EVENTS)
 
 
 def test_progress_states(spark):
@@ -259,21 +259,23 @@ def test_progress_states(spark):
     got = [progress.progress_batch(stage_events(spark, steps[:n])).first() for n in (1, 2, 3)]
     assert [(g.status, g.percent) for g in got] == [("queued", 0), ("running", 0), ("running", 11)]
     assert got[2].stages == "denoise:done:1.5"
-    done = progress.progress_batch(stage_events(spark, [*steps, (None, "finished", 0.0)])).first()
+    done = progress.progress_batch(stage_events(spark, [*steps, (None, "finished", 9.5)])).first()
     failed = progress.progress_batch(stage_events(spark, [*steps, (None, "failed", 0.0)])).first()
     assert (done.status, done.percent, failed.status, failed.percent) == ("completed", 100, "error", 11)
+    assert (done.error, done.time_s, failed.error) == (None, 9.5, "no disk") and got[2].time_s is None
     assert progress.progress_batch(stage_events(spark, steps[1:])).count() == 0
 
 
 def test_folding_is_order_free():
     base = pd.Timestamp("2026-01-01")
     kinds = [("x", "done"), (None, "created"), ("denoise", "running"), ("denoise", "done"), ("stt", "running"), (None, "failed")]
-    pdf = pd.DataFrame([(s, k, 2.0, base + pd.Timedelta(minutes=i), i) for i, (s, k) in enumerate(kinds)], columns=["stage_id", "status", "time_s", "event_time", "seq"])
+    pdf = pd.DataFrame([(s, k, 2.0, base + pd.Timedelta(minutes=i), i, "no disk" if k == "failed" else None) for i, (s, k) in enumerate(kinds)], columns=["stage_id", "status", "time_s", "event_time", "seq", "error"])
     straight = progress.snapshot("f", progress.fold_events({}, pdf))
     state = {}
     for i in (5, 2, 0, 4, 3, 1):
         state = json.loads(json.dumps(progress.fold_events(state, pdf.iloc[[i]])))
     assert progress.snapshot("f", state) == straight
+    assert straight["error"] == "no disk" and straight["time_s"] == 2.0
     assert straight["status"] == "error" and straight["n_done"] == 1 and straight["current_stage"] == "stt"
 
 
@@ -281,7 +283,7 @@ def test_late_events_are_dropped_by_the_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     hours = [(0, "2026-03-01"), (1, "2026-03-02"), (2, "2026-03-03"), (3, "2026-01-01")]
     for i, day in hours:
-        rows = [("f", "stt", "done", 1.0, pd.Timestamp(day).to_pydatetime(), i)]
+        rows = [("f", "stt", "done", 1.0, pd.Timestamp(day).to_pydatetime(), i, None)]
         spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(src)
     sinks.append_stream(metrics.stage_latency(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(90)
@@ -340,3 +342,56 @@ def test_a_newer_stored_entry_replaces_an_older_one(spark):
     now = F.lit("2024-01-21").cast("timestamp")
     assert store.store_lookup(asked, rows, now).first().words is None
     assert store.store_lookup(asked, rows.where("day(created_at) = 10"), now).first().words is not None
+
+
+def event_rows(spark, rows, path):
+    """Append (filename, stage_id, status, minute, seq) as stage events."""
+    base = pd.Timestamp("2026-01-01")
+    out = [(f, g, k, 1.0, (base + pd.Timedelta(minutes=m)).to_pydatetime(), q, None) for f, g, k, m, q in rows]
+    spark.createDataFrame(out, EVENTS).coalesce(1).write.mode("append").parquet(path)
+
+
+def run_snapshots(spark, src, out, ckpt, ttl_s):
+    from callweave.streaming import metrics, sinks
+
+    metrics.use_rocksdb(spark)
+    snaps = progress.progress_stream(spark.readStream.schema(EVENTS).parquet(src), ttl_s)
+    sinks.upsert_stream(snaps, out, ckpt, ["filename"], ["as_of", "as_of_seq"]).awaitTermination()
+    return {r.filename: r for r in store.read_results(spark, out).collect()}
+
+
+def test_job_state_expires_after_its_last_change(spark, tmp_path):
+    import time
+
+    for ttl_s, expected in ((1, "queued"), (3600, "running")):
+        src, out, ckpt = (str(tmp_path / f"{n}{ttl_s}") for n in ("in", "out", "ckpt"))
+        event_rows(spark, [("f", None, "created", 0, 0)], src)
+        assert run_snapshots(spark, src, out, ckpt, ttl_s)["f"].status == "queued"
+        time.sleep(2)
+        # A stage of a job that is forgotten is unknown and changes nothing.
+        event_rows(spark, [("f", "stt", "running", 1, 1)], src)
+        assert run_snapshots(spark, src, out, ckpt, ttl_s)["f"].status == expected
+
+
+def test_durations_span_micro_batches(spark, tmp_path):
+    from callweave.streaming import metrics, sinks
+
+    metrics.use_rocksdb(spark)
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    for rows in ([("f", "stt", "running", 0, 0)], [("f", "stt", "done", 600, 1), ("f", "stt", "done", 610, 2)]):
+        event_rows(spark, rows, src)
+        stream = metrics.stage_durations_stream(spark.readStream.schema(EVENTS).parquet(src))
+        sinks.append_stream(stream, out, ckpt).awaitTermination()
+    assert [(r.seq, r.elapsed_s) for r in spark.read.parquet(out).collect()] == [(1, 36000.0)]
+
+
+def test_a_call_is_new_only_once(spark, tmp_path):
+    from callweave.streaming import sinks
+
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema = "content_sha1 string, event_time timestamp"
+    for day, names in ((1, "aab"), (20, "bc"), (90, "ac")):
+        rows = [(n, (pd.Timestamp(2026, 1, 1) + pd.Timedelta(days=day)).to_pydatetime()) for n in names]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        sinks.append_new_stream(spark.readStream.schema(schema).parquet(src), out, ckpt).awaitTermination()
+    assert sorted(r.content_sha1 for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
