@@ -20,7 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.llm.common import written
+
 SAMPLES = 16
+#: Samples computed in one row.
+STRIP = 4
 BLOCK_BITS = 8
 #: Blocks are put into groups of 4096: the order of groups is made in one task, of one row for a million ids.
 GROUP_BITS = 12
@@ -38,43 +42,56 @@ def _gamma(bits: Column) -> Column:
 
 
 def samples(terms: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFrame:
-    """``samples`` (array of n longs) per group of ``keys``, from rows with ``term`` (long, null: none).
+    """``samples`` (array of n longs) per group of ``keys``, from rows with ``term`` (long, null: none) and its ``times``.
 
-    The upper half of a packed long orders by a, the lower is a hash of the sampled term and t.
+    Each row becomes n / STRIP rows of STRIP samples, so that the generated code stays small enough for the JVM to compile. The upper half
+    of a packed long orders by a, the lower is a hash of the sampled term and t.
     """
-    weighed = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("times"))
-    rows = weighed.select(*keys, "term", F.log(F.col("times").cast("double")).alias("lnw"))
-    here = [*keys, "term", "lnw"]
-    rows = rows.select(*here, *[F.xxhash64("term", F.lit(3 * k + i)).alias(f"h{k}_{i}") for k in range(n) for i in range(3)])
+    strips = terms.select(*keys, "term", F.log(F.col("times").cast("double")).alias("lnw"), F.explode(F.array(*[F.lit(g) for g in range(n // STRIP)])).alias("g"))
+    here = [*keys, "g", "term", "lnw"]
+    each = range(STRIP)
+    number = lambda k: F.col("g") * STRIP + k
+    rows = strips.select(*here, *[F.xxhash64("term", number(k) * 3 + i).alias(f"h{k}_{i}") for k in each for i in range(3)])
     rows = rows.select(
         *here,
-        *[_gamma(F.col(f"h{k}_0")).alias(f"r{k}") for k in range(n)],
-        *[_gamma(F.col(f"h{k}_1")).alias(f"c{k}") for k in range(n)],
-        *[_uniform(F.col(f"h{k}_2")).alias(f"b{k}") for k in range(n)],
+        *[_gamma(F.col(f"h{k}_0")).alias(f"r{k}") for k in each],
+        *[_gamma(F.col(f"h{k}_1")).alias(f"c{k}") for k in each],
+        *[_uniform(F.col(f"h{k}_2")).alias(f"b{k}") for k in each],
     )
     rows = rows.select(
-        *here,
-        *[F.floor(F.col("lnw") / F.col(f"r{k}") + F.col(f"b{k}")).alias(f"t{k}") for k in range(n)],
-        *[F.col(f"{x}{k}") for x in "rcb" for k in range(n)],
+        *here, *[F.floor(F.col("lnw") / F.col(f"r{k}") + F.col(f"b{k}")).alias(f"t{k}") for k in each], *[F.col(f"{x}{k}") for x in "rcb" for k in each]
     )
 
     def packed(k: int) -> Column:
         lna = F.log(F.col(f"c{k}")) - F.col(f"r{k}") * (F.col(f"t{k}") - F.col(f"b{k}") + 1)
         # ln a lies within a few hundred of 0: r is below 45 and t is bounded by ln(weight) / r.
         order = F.greatest(F.lit(0), F.least(F.lit(2**31 - 1), ((lna + 256) * 2**21).cast("long")))
-        name = F.xxhash64("term", f"t{k}", F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF))
+        name = F.xxhash64("term", f"t{k}", number(k)).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.when(F.col("term").isNotNull(), F.shiftleft(order, 32).bitwiseOR(name))
 
-    out = rows.groupBy(*keys).agg(*[F.min(packed(k)).alias(f"m{k}") for k in range(n)])
-    low = [F.coalesce(F.col(f"m{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for k in range(n)]
-    return out.select(*keys, F.array(*low).alias("samples"))
+    out = rows.groupBy(*keys, "g").agg(*[F.min(packed(k)).alias(f"m{k}") for k in each])
+    low = [F.coalesce(F.col(f"m{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for k in each]
+    # n / STRIP entries for each group.
+    strip = F.struct("g", F.array(*low).alias("part"))
+    joined = F.flatten(F.transform(F.sort_array(F.collect_list(strip)), lambda x: x["part"]))
+    return out.groupBy(*keys).agg(joined.alias("samples"))
 
 
 def term_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row (keys, term) per word of ``text``; a single null term if there is none."""
+    """One row (keys, term, times) per distinct term of ``text``; a single null term if there is none.
+
+    A text's terms are hashed, sorted and counted as runs within its row.
+    """
     words = texts.select(*keys, F.split(F.trim(F.regexp_replace("text", GAP, " ")), " ").alias("w"))
-    both = words.select(*keys, F.explode(F.arrays_zip(F.col("w").alias("one"), F.expr("slice(w, 2, size(w))").alias("two"))).alias("p"))
-    return both.select(*keys, F.when(F.col("p.one") != "", F.xxhash64("p.one", "p.two")).alias("term"))
+    both = F.arrays_zip(F.col("w").alias("one"), F.expr("slice(w, 2, size(w))").alias("two"))
+    hashed = words.select(*keys, F.when(F.get("w", F.lit(0)) != "", F.sort_array(F.transform(both, lambda p: F.xxhash64(p["one"], p["two"])))).alias("s"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    runs = hashed.select(*keys, "s", F.when(F.col("s").isNotNull(), begins).alias("begin"))
+    runs = runs.select(
+        *keys, F.size("s").alias("n"), F.transform("begin", lambda i: F.get("s", i)).alias("term"), "begin", F.expr("slice(begin, 2, size(begin))").alias("next")
+    )
+    rows = runs.select(*keys, "n", F.explode_outer(F.arrays_zip("term", "begin", "next")).alias("x"))
+    return rows.select(*keys, F.col("x.term").alias("term"), (F.coalesce("x.next", "n") - F.col("x.begin")).alias("times"))
 
 
 def fingerprint(packed: Column) -> Column:
@@ -125,7 +142,8 @@ def followed(docs: DataFrame) -> DataFrame:
     firsts = rows.groupBy("block").agg(F.max(F.struct("id", "mark")).alias("first"))
     after = _followers(firsts)
     after = after.select(F.col("block").alias("to"), F.col("next").alias("from"))
-    leads = firsts.join(after, F.col("block").eqNullSafe(F.col("from"))).select("to", "first.id", "first.mark")
+    # Written, its size is known when the join with the texts is planned.
+    leads = written(firsts.join(after, F.col("block").eqNullSafe(F.col("from"))).select("to", "first.id", "first.mark"), "leads")
     met = rows.select("id", "mark", "text").alias("a").join(leads.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")))
     # Repeated rows of a first document would give more than one border row: one of them is meant.
     border = met.select(F.col("b.to").alias("block"), F.col("a.id").alias("id"), F.col("a.mark").alias("mark"), F.col("a.text").alias("text")).dropDuplicates(["block"])
@@ -146,17 +164,16 @@ def op8_fingerprints(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     rows = followed(docs)
     changed = edited(F.col("text"), F.col("follower"))
-    key = ["block", "place"]
-    versions = rows.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text")), F.struct(F.lit(1).alias("v"), changed.alias("text")))).alias("x"))
-    found = samples(term_rows(versions.select(*key, "x.v", "x.text"), [*key, "v"]), [*key, "v"])
-    both = found.groupBy(*key).agg(*[F.max(F.when(F.col("v") == v, F.col("samples"))).alias(name) for v, name in ((0, "own"), (1, "changed"))])
+    facts = ["block", "place", "border", "doc_id", "n_chars", "edited_sha256"]
+    rows = rows.select(
+        "block", "place", "border", F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "text", changed.alias("changed")
+    ).withColumn("edited_sha256", F.sha2(F.col("changed").cast("binary"), 256))
+    version = lambda v, text: F.struct(F.lit(v).alias("v"), F.col(text).alias("text"))
+    versions = rows.select(*facts, F.explode(F.array(version(0, "text"), version(1, "changed"))).alias("x"))
+    found = samples(term_rows(versions.select(*facts, "x.v", "x.text"), [*facts, "v"]), [*facts, "v"])
+    both = found.groupBy(*facts).agg(*[F.max(F.when(F.col("v") == v, F.col("samples"))).alias(name) for v, name in ((0, "own"), (1, "changed"))])
     following = Window.partitionBy("block").orderBy("place")
-    both = both.withColumn("next", F.lead("own").over(following))
-    facts = rows.where(~F.col("border")).select(
-        *key, F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2(changed.cast("binary"), 256).alias("edited_sha256")
-    )
-    # Null ids make a null block: the join is null-safe.
-    met = facts.alias("f").join(both.alias("s"), F.col("f.block").eqNullSafe(F.col("s.block")) & (F.col("f.place") == F.col("s.place")))
+    met = both.withColumn("next", F.lead("own").over(following)).where(~F.col("border"))
     return met.select(
         "doc_id",
         "n_chars",

@@ -141,7 +141,7 @@ def test_repeated_strings_against_brute_force(spark):
         assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (len(r), sum(gone), runs, hashlib.sha256(kept).hexdigest())
 
 
-def test_repeats_at_every_offset(spark):
+def test_repeats_at_every_offset(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
     passage, almost = word(260), word(199)
@@ -149,6 +149,9 @@ def test_repeats_at_every_offset(spark):
     rows += [(i, word(40 + i) + almost + word(30)) for i in range(20, 25)] + [(30, "ab" * 150), (31, "x" * 500)]
     docs = {k: t.encode() for k, t in rows}
     counts = collections.Counter(r[i : i + 200] for r in docs.values() for i in range(len(r) - 199))
+    # Several batches and several parts of the range of names.
+    monkeypatch.setattr(suffixes, "PLACES", 900)
+    monkeypatch.setattr(suffixes, "PART_BYTES", 1500)
     out = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     for r in out:
         raw = docs[r.row.doc_id]
@@ -188,8 +191,8 @@ def test_collision_rate_is_generalised_jaccard(spark):
     a = [w for i, w in enumerate(words[:45]) for _ in range(1 + i % 5)]
     b = [w for i, w in enumerate(words) if i > 14 for _ in range(1 + i % 3)]
     bags = [collections.Counter(x) for x in (a, b)]
-    rows = [(i, fingerprints_term(w)) for i, x in enumerate((a, b)) for w in x]
-    found = {r.k: r.samples for r in fingerprints.samples(spark.createDataFrame(rows, "k long, term long"), ["k"], 128).collect()}
+    rows = [(i, fingerprints_term(w), n) for i, x in enumerate(bags) for w, n in x.items()]
+    found = {r.k: r.samples for r in fingerprints.samples(spark.createDataFrame(rows, "k long, term long, times long"), ["k"], 128).collect()}
     share = np.mean([x == y for x, y in zip(found[0], found[1])])
     assert abs(share - alike(*bags)) < 0.13
 
@@ -227,8 +230,10 @@ def test_components_against_union_find(spark):
     assert {r.id: r.component for r in found.collect()} == union_find(pairs)
 
 
-def test_near_dups_in_chains_and_large_groups(spark):
-    """A hub with many near copies, a chain whose ends are far apart, and exact copies."""
+@pytest.mark.parametrize("block", [400, 7])
+def test_near_dups_in_chains_and_large_groups(spark, monkeypatch, block):
+    """A hub with many near copies, a chain whose ends are far apart, and exact copies; in one block of members or many."""
+    monkeypatch.setattr(components, "BLOCK_ROWS", block)
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
     rows = []
