@@ -125,7 +125,10 @@ def write_report_json(metrics: DataFrame, path: str) -> None:
 
 
 def sorted_listing(names: DataFrame, column: str) -> DataFrame:
-    """Distinct names with their place in sorted order, counted block by block of equal prefixes."""
-    distinct = names.select(column).distinct().withColumn("__all", F.lit(0))
-    placed = numbered(distinct, ["__all"], [column], F.left(F.col(column), F.lit(4)), "place")
+    """Distinct names with their place in sorted order.
+
+    Names are dealt out by range, so that tasks hold equal shares whatever the names have in common, and are counted range by range.
+    """
+    dealt = names.select(column).distinct().repartitionByRange(column).withColumns({"__all": F.lit(0), "__range": F.spark_partition_id()})
+    placed = numbered(dealt, ["__all"], [column], F.col("__range"), "place")
     return placed.select(column, (F.col("place") + 1).alias("place"))
