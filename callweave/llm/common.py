@@ -49,7 +49,18 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete tables that ``written`` has made and that no later step reads."""
+    for df in frames:
+        if df is not None and "_written_at" in df.__dict__:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(df._written_at)
+            where.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(where, True)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

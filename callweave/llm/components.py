@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import written
+from callweave.llm.common import discard, written
 from callweave.llm.shingles import jaccard_counts
 
 #: A block of members that are compared with another block: rows, and bytes of their sets.
@@ -64,13 +64,16 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         foot = down.groupBy("a").agg(F.min("b").alias("least"))
         small = down.join(foot, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(foot.select("a", F.col("least").alias("b")))
-        links = written(small.where("a <> b").distinct(), purpose)
+        links, old = written(small.where("a <> b").distinct(), purpose), links
+        discard(old)
         n = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if before == (n["n"], n["s"]):
             break
         before = (n["n"], n["s"])
     nodes = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return nodes.unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    nodes = written(nodes.unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), purpose)
+    discard(links)
+    return nodes
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -116,9 +119,11 @@ def _rest(left: DataFrame, sets: DataFrame, per_cent: int, purpose: str) -> Data
     all intersections come from one matrix product. A group returns the links that connect its components: fewer than it has rows.
     """
     edges = left.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).where("a <> b").distinct()
-    clusters = components(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), purpose).withColumnRenamed("component", "cluster")
-    members = left.select("id", "component").distinct().join(clusters, "id").join(sets, "id")
-    members = written(members, purpose)
+    clusters = components(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), purpose)
+    members = left.select("id", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id")
+    members, old = written(members, purpose), clusters
+    discard(old)
+    members = members.join(sets, "id")
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int").alias("blocks")
     )
@@ -172,10 +177,11 @@ def linked(
     ``sets_of`` is called once with the distinct ids that share a bucket with another and gives their sets (id, hashes).
     """
     found = sets = nodes = None
+    passing: list[DataFrame] = []
     # One exchange serves both the count and the rows; buckets with a single member end here.
     dealt = members.repartition("bucket")
     several = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = written(dealt.join(several, "bucket", "left_semi"), purpose)
+    members = before = written(dealt.join(several, "bucket", "left_semi"), purpose)
     for step in range(stars + 1):
         if nodes is None:
             placed = members.withColumn("component", F.col("id"))
@@ -187,16 +193,23 @@ def linked(
             F.max("component").alias("high"),
         ).where(F.col("low") != F.col("high"))
         placed = written(placed.join(per.select("bucket", "hub"), "bucket"), purpose)
+        discard(before)
+        before = placed
         members = placed.select("bucket", "id")  # the other buckets are done with
         if sets is None:
             sets = written(sets_of(placed.select("id").distinct()), purpose)
         if step < stars:
             raw = placed.where(F.col("component") != F.col("hub.component")).select(F.col("id").alias("x"), F.col("hub.id").alias("y"))
             pairs = raw.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            links = confirmed(pairs if near is None else near(pairs), sets, per_cent)
+            # Numbers only: the sets of a pair come in with the step that compares them.
+            pairs = written(pairs if near is None else near(pairs), purpose)
+            links = written(confirmed(pairs, sets, per_cent), purpose)
+            discard(pairs)
         else:
-            links = _rest(placed, sets, per_cent, purpose)
-        links = written(links, purpose)
+            links = written(_rest(placed, sets, per_cent, purpose), purpose)
         found = links if found is None else found.unionByName(links)
+        discard(nodes)
         nodes = components(found, purpose)
+        passing.append(links)
+    discard(before, sets, *passing)
     return nodes

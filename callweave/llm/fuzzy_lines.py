@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import written
+from callweave.llm.common import discard, written
 from callweave.llm.components import linked
 from callweave.llm.shingles import _mixed
 from callweave.llm.units import digest, keyed, normal, remove_units, spans
@@ -120,6 +120,8 @@ def later_lines(keys: DataFrame, unit: str = "line", per_cent: int = PER_CENT) -
     )
     # The number is fixed by writing it.
     lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "lines")
+    units, old = written(units.drop("bands"), "units"), units
+    discard(old)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         places = lines.join(ids.withColumnRenamed("id", "node"), "node").select("node", "first.id", "first.mark", "first.start", "first.end")
@@ -134,13 +136,15 @@ def later_lines(keys: DataFrame, unit: str = "line", per_cent: int = PER_CENT) -
         return bodies.mapInPandas(hashes, "id long, hashes binary").dropDuplicates(["id"])
 
     nodes = linked(_band_members(lines), sets_of, per_cent, stars=1, purpose="lines")
+    lines, old = written(lines.drop("bands"), "lines"), lines
+    discard(old)
     placed = lines.select("digest", "first", "n", "node").join(nodes.withColumnRenamed("id", "node"), "node", "left")
     linked_lines = placed.where(F.col("component").isNotNull())
     firsts = linked_lines.groupBy("component").agg(F.min("first").alias("least"))
     # Lines that stay everywhere are left out: they occur once and are like no other.
     some = linked_lines.join(firsts, "component").select("digest", F.col("least").alias("first"))
     some = some.unionByName(placed.where(F.col("component").isNull() & (F.col("n") > 1)).select("digest", "first"))
-    met = units.drop("bands").join(some, "digest")
+    met = units.join(some, "digest")
     return met.where(rank != F.struct("first.id", "first.mark", "first.place")).select("id", "mark", "start", "end")
 
 

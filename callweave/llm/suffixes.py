@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import written
+from callweave.llm.common import discard, written
 
 SPAN = 200
 MODULUS = 133
@@ -353,7 +353,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     packed = _all_places(ordered, 1 + total // PART_BYTES)
     compared = packed.groupBy("part").applyInPandas(_compare, ROW)
     starts = compared.groupBy("batch").applyInPandas(_decode, "key long, place int, n int")
+    # The stretches are read until here.
     runs = written(starts.groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("runs")), "runs")
+    discard(places, stretches)
     marks = runs.join(copied.select("key", F.lit(True).alias("whole")), "key", "full")
     met = rows.join(marks, "key", "left")
     return met.select("row", _without(F.col("text"), F.coalesce("whole", F.lit(False)), F.col("runs")).alias("result"))
