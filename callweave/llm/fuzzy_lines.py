@@ -126,14 +126,15 @@ def later_lines(keys: DataFrame, unit: str = "line", per_cent: int = PER_CENT) -
     def sets_of(ids: DataFrame) -> DataFrame:
         places = lines.join(ids.withColumnRenamed("id", "node"), "node").select("node", "first.id", "first.mark", "first.start", "first.end")
         texts = keys.select("id", "mark", "text").join(places, ["id", "mark"])
-        bodies = texts.select("node", F.expr("substring(text, start + 1, end - start)").alias("body"))
+        # Repeated rows give a line more than once. The short lines are shuffled for that, not their sets.
+        bodies = texts.select("node", F.expr("substring(text, start + 1, end - start)").alias("body")).dropDuplicates(["node"])
 
         def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 sets = [np.unique(shingle_hashes([normal(t)])[0]).tobytes() for t in batch["body"]]
                 yield pd.DataFrame({"id": batch["node"].to_numpy(), "hashes": sets})
 
-        return bodies.mapInPandas(hashes, "id long, hashes binary").dropDuplicates(["id"])
+        return bodies.mapInPandas(hashes, "id long, hashes binary")
 
     nodes = linked(_band_members(lines), sets_of, per_cent, stars=1, purpose="lines")
     lines, old = written(lines.drop("bands"), "lines"), lines
