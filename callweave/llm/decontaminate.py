@@ -8,6 +8,12 @@ class. Every window of an item that starts at a word is in the index; of a docum
 item, so the alignment of both is known and the whole item is verified there: Myers' bit-parallel algorithm gives the exact
 edit distance of the item to the best substring.
 
+The walk needs windows, of which short items and items in text without spaces have few or none, and it finds by chance. So every
+item is also cut into one piece more than it may have edits. The pieces go in pairs; k edits cannot break each pair twice and a last
+single piece once, so a piece stands unchanged beside its other half with at most one edit (or is the single one). Pieces are looked
+up at every character of a document, and such places are verified as well: no passage within the allowed edits is missed. One
+case is left to the walk: an item of several words under SHORT characters inside an unbroken run of characters.
+
 The index of a block of at most BLOCK items goes to the tasks; more items make more blocks, all applied in the same scan
 of the documents. There is no shuffle.
 
@@ -34,6 +40,11 @@ PLACES = 13
 #: Edits allowed, as a share of the item's length.
 EDITS = 0.1
 BITS = 16
+#: Longest piece that is looked up, and the bits of its hash that are tried first.
+WIDEST = 16
+PIECE_BITS = 20
+#: Items of several words and fewer characters are not looked up by pieces where no space is near.
+SHORT = 12
 SEED = 5
 RESULT = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 OTHER_SPACE = re.compile(r"[^\S ]")
@@ -59,6 +70,7 @@ def _word_starts(points: np.ndarray, space: int) -> np.ndarray:
 
 
 SPACE = int(_points(" ")[0])
+POWERS = np.random.default_rng(SEED).integers(1, 2**63, WIDEST, dtype=np.uint64) | np.uint64(1)
 
 
 class Embedding:
@@ -109,6 +121,30 @@ class Index:
     maybe: list[np.ndarray]
 
 
+@dataclass
+class Pieces:
+    """Pieces of ``width`` characters: hash, item, offset in it, and offset of the other half of the pair (-1: none)."""
+
+    width: int
+    keys: np.ndarray
+    owners: np.ndarray
+    offsets: np.ndarray
+    others: np.ndarray
+    maybe: np.ndarray
+
+
+def _one_edit(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether each row of ``pattern`` is a beginning of the same row of ``text`` (one longer) but for one edit at most."""
+    width = pattern.shape[1]
+    at = np.arange(width)
+    same = pattern == text[:, :width]
+    first = np.where(same.all(axis=1), width, same.argmin(axis=1))[:, None]
+    replaced = same.sum(axis=1) >= width - 1
+    added = ((pattern == text[:, 1:]) | (at < first)).all(axis=1)
+    lost = ((pattern[:, 1:] == text[:, : width - 1]) | (at[1:] <= first)).all(axis=1)
+    return replaced | added | lost
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -157,6 +193,79 @@ class Finder:
         for size, stride in CLASSES:
             if size in groups:
                 self.indexes.append(self._index(size, stride, groups[size]))
+        self.points = [_points(t) for _, t in self.items]
+        lengths = np.array([len(p) for p in self.points], np.int64)
+        self.begins = np.cumsum(lengths) - lengths
+        self.points = np.concatenate(self.points) if self.items else np.zeros(0, np.uint8)
+        self.lengths, self.pieces = lengths, self._pieces()
+        self.short = np.array([len(t) < SHORT and " " in t for _, t in self.items], bool)
+
+    def _pieces(self) -> list[Pieces]:
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        for i, (_, t) in enumerate(self.items):
+            n = self.edits[i] + 1
+            step = len(t) // n
+            width = min(step, WIDEST)
+            for piece in range(n if step else 0):
+                # In a pair the halves touch: the first is taken from its end.
+                other = piece ^ 1
+                starts = [p * step + (step - width if p % 2 == 0 and p + 1 < n else 0) for p in (piece, other)]
+                rows.setdefault(width, []).append((i, starts[0], starts[1] if other < n else -1))
+        out = []
+        for width, members in sorted(rows.items()):
+            owners, offsets, others = np.array(members, np.int64).T
+            cut = self.points[(self.begins[owners] + offsets)[:, None] + np.arange(width)].astype(np.uint64)
+            with np.errstate(over="ignore"):
+                keys = (cut * POWERS[:width]).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(keys, kind="stable")
+            maybe = np.zeros(1 << PIECE_BITS, bool)
+            maybe[(keys >> np.uint64(64 - PIECE_BITS)).astype(np.int64)] = True
+            out.append(Pieces(width, keys[order], owners[order], offsets[order], others[order], maybe))
+        return out
+
+    def _beside(self, pieces: Pieces, row: np.ndarray, at: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Whether the other half of each piece ``row`` found at ``at`` stands beside it with one edit at most."""
+        width, out = pieces.width, pieces.others[row] < 0
+        step = np.arange(width + 1)
+        for after in (True, False):
+            of = np.flatnonzero(~out & ((pieces.others[row] > pieces.offsets[row]) == after))
+            if len(of):
+                base = self.begins[pieces.owners[row[of]]] + pieces.others[row[of]]
+                # What lies before the piece is compared backwards.
+                half = base[:, None] + (step[:width] if after else width - 1 - step[:width])
+                text = at[of][:, None] + (width + step if after else -1 - step)
+                inside = (text >= 0) & (text < len(points))
+                out[of] = _one_edit(self.points[half], np.where(inside, points[np.where(inside, text, 0)], 0))
+        return out
+
+    def _pieces_in(self, points: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, place) where a piece and the other half of its pair fit."""
+        hashes = np.zeros(len(points), np.uint64)
+        wide = points.astype(np.uint64)
+        done = 0
+        for pieces in self.pieces:
+            with np.errstate(over="ignore"):
+                for i in range(done, min(pieces.width, len(points))):
+                    hashes[: len(points) - i] += wide[i:] * POWERS[i]
+            done = pieces.width
+            at = np.flatnonzero(pieces.maybe[(hashes >> np.uint64(64 - PIECE_BITS)).astype(np.int64)])
+            low, high = np.searchsorted(pieces.keys, hashes[at], "left"), np.searchsorted(pieces.keys, hashes[at], "right")
+            at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+            sums = np.cumsum(n)
+            # As many places at a time as their pieces fill some MB.
+            for begin in range(0, int(sums[-1]) if len(n) else 0, 65_536):
+                each = np.arange(begin, min(begin + 65_536, int(sums[-1])))
+                of = np.searchsorted(sums, each, side="right")
+                row, where = low[of] + each - (sums - n)[of], at[of]
+                text = np.searchsorted(begins, where, side="right") - 1
+                fine = np.flatnonzero(where + pieces.width <= begins[text] + sizes[text])
+                fine = fine[self._beside(pieces, row[fine], where[fine], points)]
+                row, where, text = row[fine], where[fine], text[fine]
+                if self.short.any():
+                    owner, first = pieces.owners[row], where - pieces.offsets[row]
+                    fine = [not self.short[i] or bool((points[max(0, a - 1) : a + self.lengths[i] + 1] == SPACE).any()) for i, a in zip(owner, first)]
+                    row, where, text = row[fine], where[fine], text[fine]
+                yield from zip(text.tolist(), pieces.owners[row].tolist(), (where - begins[text] - pieces.offsets[row]).tolist())
 
     def _index(self, size: int, stride: int, members: list[int]) -> Index:
         walk = self.embeddings[size] = Embedding(size)
@@ -206,6 +315,7 @@ class Finder:
                 for h, a, b in zip(hit[high > low], low[high > low], high[high > low]):
                     for i, offset in zip(index.owners[repeat][a:b].tolist(), index.offsets[repeat][a:b].tolist()):
                         found.add((int(of[h]), i, int(starts[h] - begins[of[h]]) - offset))
+        found.update(self._pieces_in(points, begins, sizes))
         yield from sorted(found)
 
     def find(self, raw: list[str | None]) -> list[list[dict]]:

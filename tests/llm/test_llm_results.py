@@ -270,3 +270,14 @@ def test_pigeonhole_keys_cover_the_distance():
         differ = np.zeros(near_dups.SYMBOLS, bool)
         differ[rng.choice(near_dups.SYMBOLS, near_dups.DISTANCE, replace=False)] = True
         assert min(differ[c].sum() for c in near_dups.CUTS) <= 1
+
+
+@pytest.mark.parametrize("length", [10, 20, 36, 45, 72, 90, 120, 150, 250])
+def test_short_items_at_the_full_share_of_edits(length):
+    """Items of every length, with one edit in ten characters, in the middle of a text."""
+    rng = random.Random(length)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") if rng.random() > 0.16 else " " for _ in range(n)).strip().ljust(n, "q")
+    items = [(i, prose(length)) for i in range(60)]
+    docs = [f"{prose(300)} {edited(rng, text, length // 10)} {prose(300)}" for _, text in items]
+    for i, found in enumerate(decontaminate.Finder(items).find(docs)):
+        assert i in [m["item_id"] for m in found]
