@@ -281,3 +281,23 @@ def test_short_items_at_the_full_share_of_edits(length):
     docs = [f"{prose(300)} {edited(rng, text, length // 10)} {prose(300)}" for _, text in items]
     for i, found in enumerate(decontaminate.Finder(items).find(docs)):
         assert i in [m["item_id"] for m in found]
+
+
+@pytest.mark.parametrize("length", [8, 20, 60, 200])
+def test_items_in_texts_without_spaces(length):
+    """Exact and edited passages in the middle of a text that has no space."""
+    rng = random.Random(length)
+    run = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    items = [(i, run(length)) for i in range(40)]
+    finder = decontaminate.Finder(items)
+    for edits in (0, length // 10):
+        docs = [run(301) + edited(rng, text, edits) + run(300) for _, text in items]
+        for i, found in enumerate(finder.find(docs)):
+            assert i in [m["item_id"] for m in found]
+
+
+def test_leaks_go_from_documents_without_spaces(spark):
+    text = "一二三四五六七八九十百千万億兆京垓天地玄黄宇宙洪荒日月盈昃辰宿列張"
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "寒来暑往秋収冬蔵" * 20 + text + "閏余成歳律呂調陽" * 20), (2, "寒来暑往秋収冬蔵" * 40)], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.remove_leaks(docs, items).collect()] == [2]
