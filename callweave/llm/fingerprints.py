@@ -1,10 +1,13 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document is a bag of terms, each a word with the word after it (the last word alone), weighted by how often it occurs. For each
-of SAMPLES samples every term draws two Gamma(2, 1) numbers r and c and a uniform b from a hash of (sample, term). With
+of SAMPLES samples every term draws two Gamma(2, 1) numbers r and c and a uniform b from two hashes of (sample, term). With
 t = floor(ln(weight) / r + b) and a = c / exp(r (t - b) + r), the term with the least a is the sample, together with t. Two documents
 agree in a sample with a probability that is their generalised Jaccard similarity: the sum of the lesser weights over the sum of
-the greater. Likeness is the share of samples that agree.
+the greater. Likeness is the share of samples that agree; its standard error is 0.0625 at most.
+
+r is the sum of two exponential numbers e1 and e2, and b = e2 / r is uniform and independent of r. For a term that occurs once, t is 0
+and a = c exp(-e1): two logarithms in all.
 
 Everything is DataFrame functions. Documents that follow each other in descending id are brought together by blocks of 256 ids, which
 are shuffled once by hash; a block also gets the first document of the next lower block, found through a table with one row per block.
@@ -22,9 +25,9 @@ from pyspark.sql import functions as F
 
 from callweave.llm.common import written
 
-SAMPLES = 16
-#: Samples computed in one row.
-STRIP = 4
+SAMPLES = 64
+#: Samples computed in one row. With 4 the generated code is too long for the JVM to compile.
+STRIP = 2
 BLOCK_BITS = 8
 #: Blocks are put into groups of 4096: the order of groups is made in one task, of one row for a million ids.
 GROUP_BITS = 12
@@ -36,11 +39,6 @@ def _uniform(bits: Column) -> Column:
     return (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / 4294967296.0
 
 
-def _gamma(bits: Column) -> Column:
-    """Gamma(2, 1) from the two halves of a 64-bit hash."""
-    return -F.log(_uniform(bits) * _uniform(F.shiftrightunsigned(bits, 32)))
-
-
 def samples(terms: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFrame:
     """``samples`` (array of n longs) per group of ``keys``, from rows with ``term`` (long, null: none) and its ``times``.
 
@@ -51,23 +49,29 @@ def samples(terms: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFrame:
     here = [*keys, "g", "term", "lnw"]
     each = range(STRIP)
     number = lambda k: F.col("g") * STRIP + k
-    rows = strips.select(*here, *[F.xxhash64("term", number(k) * 3 + i).alias(f"h{k}_{i}") for k in each for i in range(3)])
-    rows = rows.select(
-        *here,
-        *[_gamma(F.col(f"h{k}_0")).alias(f"r{k}") for k in each],
-        *[_gamma(F.col(f"h{k}_1")).alias(f"c{k}") for k in each],
-        *[_uniform(F.col(f"h{k}_2")).alias(f"b{k}") for k in each],
-    )
-    rows = rows.select(
-        *here, *[F.floor(F.col("lnw") / F.col(f"r{k}") + F.col(f"b{k}")).alias(f"t{k}") for k in each], *[F.col(f"{x}{k}") for x in "rcb" for k in each]
-    )
+    rows = strips.select(*here, *[F.xxhash64("term", number(k) * 2 + i).alias(f"h{k}_{i}") for k in each for i in range(2)])
+    once = F.col("lnw") == 0
+    high = lambda h: F.shiftrightunsigned(F.col(h), 32)
+
+    def drawn(k: int) -> list[Column]:
+        u = _uniform(F.col(f"h{k}_0"))
+        c = -F.log(_uniform(F.col(f"h{k}_1")) * _uniform(high(f"h{k}_1")))
+        e2 = -F.log(_uniform(high(f"h{k}_0")))
+        r = e2 - F.log(u)
+        t = F.floor((F.col("lnw") + e2) / r)
+        # ln a; r (t - b + 1) is r (t + 1) - e2.
+        lna = F.when(once, F.log(c * u)).otherwise(F.log(c) - r * (t + 1) + e2)
+        # The upper half of the first hash is free of a where t is 0.
+        name = high(f"h{k}_0").bitwiseXOR(F.col(f"h{k}_1")).bitwiseAND(F.lit(0xFFFFFFFF))
+        name = F.when(once, name).otherwise(name.bitwiseXOR(F.when(t == 0, F.lit(0)).otherwise(F.xxhash64(t))).bitwiseAND(F.lit(0xFFFFFFFF)))
+        return [lna.alias(f"a{k}"), name.alias(f"n{k}")]
+
+    rows = rows.select(*here, *[c for k in each for c in drawn(k)])
 
     def packed(k: int) -> Column:
-        lna = F.log(F.col(f"c{k}")) - F.col(f"r{k}") * (F.col(f"t{k}") - F.col(f"b{k}") + 1)
         # ln a lies within a few hundred of 0: r is below 45 and t is bounded by ln(weight) / r.
-        order = F.greatest(F.lit(0), F.least(F.lit(2**31 - 1), ((lna + 256) * 2**21).cast("long")))
-        name = F.xxhash64("term", f"t{k}", number(k)).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.when(F.col("term").isNotNull(), F.shiftleft(order, 32).bitwiseOR(name))
+        order = F.greatest(F.lit(0), F.least(F.lit(2**31 - 1), ((F.col(f"a{k}") + 256) * 2**21).cast("long")))
+        return F.when(F.col("term").isNotNull(), F.shiftleft(order, 32).bitwiseOR(F.col(f"n{k}")))
 
     out = rows.groupBy(*keys, "g").agg(*[F.min(packed(k)).alias(f"m{k}") for k in each])
     low = [F.coalesce(F.col(f"m{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for k in each]

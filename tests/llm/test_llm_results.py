@@ -301,3 +301,17 @@ def test_leaks_go_from_documents_without_spaces(spark):
     items = spark.createDataFrame([(1, text)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "寒来暑往秋収冬蔵" * 20 + text + "閏余成歳律呂調陽" * 20), (2, "寒来暑往秋収冬蔵" * 40)], "doc_id long, text string")
     assert [r.doc_id for r in decontaminate.remove_leaks(docs, items).collect()] == [2]
+
+
+def test_likeness_of_single_pairs(spark):
+    """Pairs that are neither far apart nor alike, where the error is greatest."""
+    docs = texts_of(spark)
+    errors = []
+    for r in queries.QUERIES["op8_fingerprints"](spark, FOLDER).collect():
+        text = docs[r.doc_id] or ""
+        half = len(text) // 2
+        other = docs[max((k for k in docs if k < r.doc_id), default=max(docs))] or ""
+        true = alike(bag(text), bag(text[: len(text) - half] + other[:half]))
+        if 0.2 < true < 0.9:
+            errors.append(r.near_edited - true)
+    assert len(errors) > 50 and np.sqrt(np.mean(np.square(errors))) < 0.08
