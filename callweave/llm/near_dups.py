@@ -150,6 +150,15 @@ def keep_one(docs: DataFrame, per_cent: int = 80) -> DataFrame:
     return keys.join(firsts, ["id", "mark"], "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
+def keep_one_row(docs: DataFrame, per_cent: int = 80) -> DataFrame:
+    """One row of each component: of rows with equal id and text, and of null ids with equal texts, a single one stays."""
+    kept = written(keep_one(docs, per_cent).withColumn("row_number__", F.monotonically_increasing_id()), "kept")
+    keys = kept.select("row_number__", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
+    # The sums before the exchange leave one row per key and task.
+    ones = keys.groupBy("id", "mark").agg(F.min("row_number__").alias("row_number__"))
+    return kept.join(ones.select("row_number__"), "row_number__", "left_semi").drop("row_number__")
+
+
 def op7_near_dups(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     found = groups(keyed(docs))

@@ -23,8 +23,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
-    return near_dups.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, in one row."""
+    return near_dups.keep_one_row(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

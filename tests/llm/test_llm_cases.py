@@ -208,3 +208,12 @@ def test_pipeline_on_a_table(spark):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_near_stage_keeps_one_row(spark):
+    """A shard loaded twice and null ids with one text: a single row of each text stays."""
+    rows = [(1, "a text that is loaded twice with all its words"), (2, "another text that is quite unlike the first of them")]
+    nulls = [(None, "texts without ids are copies of each other here")] * 5
+    docs = spark.createDataFrame([*rows, *rows, *nulls], "doc_id long, text string").repartition(5)
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted({t for _, t in [*rows, *nulls]})
