@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.llm import decontaminate, fingerprints, fuzzy_lines, language, lines, merkle, mixing, near_dups, quality, suffixes, urls
+from callweave.llm import decontaminate, fingerprints, fuzzy_lines, language, lines, merkle, mixing, near_dups, packing, quality, suffixes, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_packing": packing.op11_packing,
     "op12_manifest": merkle.op12_manifest,
 }
 ORACLES = {
