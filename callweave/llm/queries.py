@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.llm import decontaminate, fingerprints, fuzzy_lines, language, lines, merkle, mixing, near_dups, packing, quality, suffixes, urls
+from callweave.llm import decontaminate, fingerprints, fuzzy_lines, importance, language, lines, merkle, mixing, near_dups, packing, quality, suffixes, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_packing": packing.op11_packing,
     "op12_manifest": merkle.op12_manifest,
+    "op13_importance": importance.op13_importance,
 }
 ORACLES = {
     "op4_url_filter": urls.SQL,
