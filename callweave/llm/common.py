@@ -33,17 +33,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a step's result to the shared folder and read it back.
+def written(df: DataFrame, purpose: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Write a step's result to the shared folder and read it back; ``settings`` hold for this step.
 
     It cuts the lineage: a lost executor costs no earlier step. The shuffle files of the step go as
     soon as it has ended.
     """
+    step = {**STEP, **(settings or {})}
     spark = df.sparkSession
     path = scratch_folder(spark, purpose)
-    before = {key: spark.conf.get(key) for key in STEP}
+    before = {key: spark.conf.get(key) for key in step}
     try:
-        for key, value in STEP.items():
+        for key, value in step.items():
             spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
@@ -72,3 +73,14 @@ def need(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {missing}")
+
+#: DuckDB: one row with the CRC-32 table, made from the polynomial, as ``tab``.
+CRC_TABLE_SQL = """SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k:
+         CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a text's UTF-8 bytes, with ``tab`` in scope."""
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INTEGER + 1, 2))::BIGINT)"
+    step = "xor(c // 256, tab[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {step}), 4294967295)"

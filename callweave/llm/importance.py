@@ -5,7 +5,7 @@ words; a feature's bucket is the CRC-32 of its words joined by spaces, modulo ``
 the target's features over its share among all documents' features; a document's weight is the sum of its features' gains. A Gumbel
 number, made from a hash of the id, is added: the highest sums are a sample without replacement, in proportion to the exponential of the weights.
 
-The dictionary holds the DICTIONARY most frequent words of all texts, counted over whole tables. Each word stands between delimiters and carries its CRC
+The dictionary holds the most frequent words of all texts, counted over whole tables, DICTIONARY at most. Each word stands between delimiters and carries its CRC
 and its length as payload. Every task builds an automaton of it and scans texts, which it has lower-cased and whose delimiters it has made single
 spaces; the automaton finds all words in one pass and emits their payloads. Where the lengths show a gap between two matches, words stand there that the
 dictionary lacks; they are cut out and hashed, so any size of the dictionary gives the same result. The CRC of a run follows
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import discard, need, written
+from callweave.llm.common import CRC_TABLE_SQL, crc_sql, discard, need, written
 from callweave.llm.ranks import ranked
 
 BUCKETS = 10_000
@@ -144,9 +144,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def dictionary(texts: DataFrame, size: int = DICTIONARY) -> list[bytes]:
-    """The ``size`` most frequent words: at most size x LONGEST bytes."""
-    short = word_counts(texts).where(F.length("word") <= LONGEST)
-    return [bytes(r["word"]) for r in short.orderBy(F.col("n").desc(), "word").limit(size).collect()]
+    """The most frequent words, at most ``size`` of at most LONGEST bytes.
+
+    The least count that is taken is a power of two, found by a histogram of one row for each power, so that no more than ``size`` words leave the tasks.
+    """
+    short = written(word_counts(texts).where(F.length("word") <= LONGEST), "words")
+    log2 = F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int").alias("log2")
+    left, least = size, None
+    for power, n in sorted(((r["log2"], r["n"]) for r in short.groupBy(log2).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = 2**power
+    found = [] if least is None else [bytes(r["word"]) for r in short.where(F.col("n") >= least).select("word").collect()]
+    discard(short)
+    return sorted(found)
 
 
 def bucket_counts(texts: DataFrame, listed: list[bytes], runs: int = RUNS, buckets: int = BUCKETS) -> DataFrame:
@@ -228,3 +240,41 @@ def resampled(
 def op13_importance(spark, folder: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     return resampled(read("documents"), read("benchmark"))
+
+SQL = rf"""
+WITH crct AS (
+  {CRC_TABLE_SQL}
+), docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+         row_number() OVER () AS id FROM documents
+), target AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), own AS (
+  SELECT id, unnest(w) AS word FROM docs
+), theirs AS (
+  SELECT unnest(w) AS word FROM target
+), distinct_words AS (
+  SELECT DISTINCT word FROM (SELECT word FROM own UNION ALL SELECT word FROM theirs)
+), coded AS (
+  SELECT word, {crc_sql("word")} % 10000 AS bucket FROM distinct_words, crct
+), s AS (
+  SELECT bucket, count(*) AS s FROM own JOIN coded USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM theirs JOIN coded USING (word) GROUP BY bucket
+), totals AS (
+  SELECT (SELECT count(*) FROM own)::DOUBLE AS all_s, (SELECT count(*) FROM theirs)::DOUBLE AS all_t
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)) / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket), totals
+), weights AS (
+  SELECT id, sum(gain) AS weight FROM own JOIN coded USING (word) JOIN gains USING (bucket) GROUP BY id
+), scored AS (
+  SELECT d.id, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM docs d LEFT JOIN weights USING (id)
+), summed AS (
+  SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM summed
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END::BIGINT AS rank FROM placed
+"""

@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import discard, lower_ascii, need, written
+from callweave.llm.common import CRC_TABLE_SQL, crc_sql, discard, lower_ascii, need, written
 from callweave.llm.ranks import ranked
 
 #: Children of a node, a power of two.
@@ -167,3 +167,48 @@ def op12_manifest(spark, folder: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("segments")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+SQL = rf"""
+WITH RECURSIVE crct AS (
+  {CRC_TABLE_SQL}
+), coded AS (
+  SELECT d.*, {crc_sql("doc_id::VARCHAR")} AS crc FROM documents d, crct
+), parts AS (
+  SELECT *, concat_ws('', {", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in FIELDS[:-1])}) AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS body,
+         coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS lowered FROM coded
+), digests AS (
+  SELECT doc_id, source, sha256(head || body) AS leaf, CASE WHEN crc % 5 = 0 THEN sha256(head || lowered) END AS changed FROM parts
+), leaves AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM digests
+), nodes(source, level, place, n, digest) AS (
+  SELECT source, 0, place, n, leaf FROM leaves
+  UNION ALL
+  SELECT source, level + 1, place // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY source, level, place // 16
+), tops AS (
+  SELECT source, level, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+), above(level, place, n, digest) AS (
+  SELECT 0, place, n, subroot FROM tops
+  UNION ALL
+  SELECT level + 1, place // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM above WHERE n > 1 GROUP BY level, place // 16
+), around AS (
+  SELECT l.id, x.level AS step, (l.place // (16 ** x.level)::BIGINT) AS own, x.place, x.digest FROM leaves l JOIN nodes x
+    ON x.source IS NOT DISTINCT FROM l.source AND x.n > 1 AND x.place // 16 = l.place // (16 ** (x.level + 1))::BIGINT
+  UNION ALL
+  SELECT l.id, t.level + x.level, t.place // (16 ** x.level)::BIGINT, x.place, x.digest FROM leaves l JOIN tops t ON t.source IS NOT DISTINCT FROM l.source
+    JOIN above x ON x.n > 1 AND x.place // 16 = t.place // (16 ** (x.level + 1))::BIGINT
+), segments AS (
+  SELECT id, step, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place < own), '') AS lhs, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place > own), '') AS rhs
+  FROM around GROUP BY id, step
+), folds(id, step, digest) AS (
+  SELECT id, 0, coalesce(changed, leaf) FROM leaves
+  UNION ALL
+  SELECT f.id, f.step + 1, sha256(s.lhs || f.digest || s.rhs) FROM folds f JOIN segments s ON s.id = f.id AND s.step = f.step
+), folded AS (
+  SELECT id, arg_max(digest, step) AS folded_root FROM folds GROUP BY id
+), proofs AS (
+  SELECT id, sha256(string_agg(lhs || rhs, '' ORDER BY step)) AS proof_sha256 FROM segments GROUP BY id
+)
+SELECT l.doc_id, l.leaf, t.subroot, a.digest AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = a.digest AS verified
+FROM leaves l JOIN tops t ON t.source IS NOT DISTINCT FROM l.source JOIN above a ON a.n = 1 JOIN folded f ON f.id = l.id LEFT JOIN proofs p ON p.id = l.id
+"""

@@ -25,4 +25,6 @@ ORACLES = {
     "op7_near_dups": near_dups.SQL,
     "op9_mixing": mixing.SQL,
     "op10_line_dedup": lines.SQL,
+    "op12_manifest": merkle.SQL,
+    "op13_importance": importance.SQL,
 }
