@@ -22,9 +22,9 @@ BLOCK_ROWS = 65_536
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """Rows that two branches of a plan read: computed once and kept on the executors' disks.
+    """Rows that many branches of a plan read: computed once and kept on the executors' disks.
 
-    Without it each scan would run its input twice, and scans over scans would double that again. A lost executor's part is
+    Scans never do this by themselves; operators of several scans do it for what those have in common. A lost executor's part is
     computed anew. Spark drops the rows with ``spark.catalog.clearCache()`` or the session.
     """
     return df.persist(StorageLevel.DISK_ONLY)
@@ -77,7 +77,7 @@ def running(
     """
     keys, order = list(keys), list(order)
     rows = df.withColumn(BLOCK, block)
-    rows = shared(rows.withColumns({f"__v_{n}": r.value for n, r in runs.items()}))
+    rows = rows.withColumns({f"__v_{n}": r.value for n, r in runs.items()})
     totals = rows.groupBy(*keys, BLOCK).agg(
         *[_block_total(r.kind, F.col(f"__v_{n}"), order).alias(f"__t_{n}") for n, r in runs.items()]
     )
@@ -187,7 +187,7 @@ def expanding_moments(
     block and of everything before it are merged with the pairwise variance formula.
     """
     keys, order = list(keys), list(order)
-    rows = shared(df.withColumn(BLOCK, block))
+    rows = df.withColumn(BLOCK, block)
     totals = rows.groupBy(*keys, BLOCK).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.avg(v).alias(f"__m_{v}") for v in values],
@@ -254,76 +254,76 @@ def quantiles(
     order_stats: Mapping[str, tuple[float, Column]] | None = None,
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Exact quantiles per key with linear interpolation, plus ``n_values``.
-
-    ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable sketch
-    first brackets each wanted rank; rows outside the brackets are only counted, and the exact
-    ranks are read off the few values inside. Keys small enough for the sketch to be needless are
-    bracketed by their minimum and maximum.
+    """Exact quantiles of one column per key with linear interpolation, plus ``n_values``; see ``column_quantiles``.
 
     ``order_stats`` maps a name to (approximate fraction, zero-based rank as an expression of
     ``n_values``) for the value at an exact rank.
     """
-    keys = list(keys)
-    targets: list[tuple[str, float, Column]] = []
-    for name, p in (wanted or {}).items():
-        targets.append((name, p, F.lit(p) * (F.col("n_values") - 1)))
-    for name, (p, rank) in (order_stats or {}).items():
-        targets.append((name, p, rank.cast("double")))
-    targets.sort(key=lambda t: t[1])
-    rows = shared(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x")))
+    targets = [(name, value, p, F.lit(p) * (F.col("n_values") - 1)) for name, p in (wanted or {}).items()]
+    targets += [(name, value, p, rank.cast("double")) for name, (p, rank) in (order_stats or {}).items()]
+    out = _ranked_values(df, list(keys), [value], targets, accuracy)
+    return out.select(*keys, F.col(f"__n_{value}").alias("n_values"), *[name for name, *_ in targets])
+
+
+def column_quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Mapping[str, float]], accuracy: int = 10_000
+) -> DataFrame:
+    """Exact quantiles of several columns per key: ``wanted`` maps a column to names and fractions. Columns without values give nulls.
+
+    ``percentile`` keeps every distinct value of a group in one buffer. Here three scans of the columns do, whatever the data, and all columns and
+    fractions share them. A mergeable sketch gives a bracket around every fraction. The brackets and the gaps between them are cells, which are
+    counted; a rank lies in exactly one cell, so the counts tell which cells are read, and how far into them. Only the values of those go through
+    a window: of n values about 4 n / accuracy for each fraction, or, where a bracket is narrower than a rank, a gap of at most about accuracy values.
+    Should a sketch be off, another cell is read; the result is exact all the same.
+    """
+    targets = [(name, c, p, F.lit(p) * (F.col("n_values") - 1)) for c, names in wanted.items() for name, p in names.items()]
+    out = _ranked_values(df, list(keys), list(wanted), targets, accuracy)
+    return out.select(*keys, *[name for name, *_ in targets])
+
+
+def _ranked_values(
+    df: DataFrame, keys: list[str], columns: list[str], targets: list[tuple[str, str, float, Column]], accuracy: int
+) -> DataFrame:
+    """One row per key: ``__n_<column>`` and the targets (name, column, fraction, rank as an expression of ``n_values``)."""
+    double = lambda c: F.col(c).cast("double")
+    if len(columns) == 1:
+        rows = df.select(*keys, F.lit(0).alias("__c"), double(columns[0]).alias("__x"))
+    else:
+        each = F.array(*[F.struct(F.lit(i).alias("c"), double(c).alias("x")) for i, c in enumerate(columns)])
+        rows = df.select(*keys, F.explode(each).alias("__e")).select(*keys, F.col("__e.c").alias("__c"), F.col("__e.x").alias("__x"))
+    rows = rows.where(F.col("__x").isNotNull())
+    own = [*keys, "__c"]
+    fractions = sorted({p for _, _, p, _ in targets})
     slack = 2.0 / accuracy
-    edges = [e for _, p, _ in targets for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.min("__x").alias("__min"),
-        F.max("__x").alias("__max"),
-        F.percentile_approx("__x", edges, accuracy).alias("__edges"),
-    )
-    small = F.col("n_values") <= 4 * accuracy
-    brackets = []
-    for i, (_, p, _) in enumerate(targets):
-        lo = F.when(small | F.lit(p - slack <= 0), F.col("__min")).otherwise(F.col("__edges")[2 * i])
-        hi = F.when(small | F.lit(p + slack >= 1), F.col("__max")).otherwise(F.col("__edges")[2 * i + 1])
-        brackets.append((lo, hi))
-    ranges = sketch.select(
-        *keys,
-        "n_values",
-        *[lo.alias(f"__lo{i}") for i, (lo, _) in enumerate(brackets)],
-        *[hi.alias(f"__hi{i}") for i, (_, hi) in enumerate(brackets)],
-    )
-    x = F.col("__x")
-    # Stage = first bracket that ends at or after x; inside it the value counts, before it it is a gap.
-    stage, kept = F.lit(len(targets)), F.lit(None).cast("double")
-    for i in reversed(range(len(targets))):
-        ends_here = x <= F.col(f"__hi{i}")
-        stage = F.when(ends_here, F.lit(i)).otherwise(stage)
-        kept = F.when(ends_here, F.when(x >= F.col(f"__lo{i}"), x)).otherwise(kept)
-    counted = (
-        rows.join(ranges, keys)
-        .withColumns({"__stage": stage, "__kept": kept})
-        .groupBy(*keys, "__stage", "__kept", "n_values")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    upto = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("__stage"), F.col("__kept").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = counted.withColumn("__cum", F.sum("__c").over(upto))
-    # Rank r (zero-based) belongs to the first row whose cumulative count exceeds r. If that row is
-    # a gap, the bracket missed and the job must not go on with a wrong value.
-    aggs, out = [], []
-    for i, (name, _, rank) in enumerate(targets):
-        low, high = F.floor(rank), F.ceil(rank)
-        for tag, r in (("a", low), ("b", high)):
-            hit = (F.col("__cum") > r) & (F.col("__cum") - F.col("__c") <= r)
-            aggs.append(F.max(F.when(hit, F.col("__kept"))).alias(f"__{tag}{i}"))
-        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
-        missed = a.isNull() | b.isNull()
-        out.append(
-            F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-            .otherwise(a + (b - a) * (rank - F.floor(rank)))
-            .alias(name)
-        )
-    return ranked.groupBy(*keys, "n_values").agg(*aggs).select(*keys, "n_values", *out)
+    edges = [e for p in fractions for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    ranges = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n_values"), F.percentile_approx("__x", edges, accuracy).alias("__edges"))
+    # Cells in order: before the first edge, then up to and with each lower and upper edge in turn; a bracket has both of its edges.
+    cell = F.lit(len(edges))
+    for i in reversed(range(len(edges))):
+        edge, x = F.get("__edges", F.lit(i)), F.col("__x")
+        cell = F.when(x < edge if i % 2 == 0 else x <= edge, i).otherwise(cell)
+    placed = rows.join(ranges, own).select(*own, "__x", cell.alias("__cell"))
+    counts = placed.groupBy(*own, "__cell").agg(F.count(F.lit(1)).alias("__m"))
+    whole = Window.partitionBy(*own)
+    upto = whole.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"n_values": F.sum("__m").over(whole), "__upto": F.sum("__m").over(upto)})
+    before = F.col("__upto") - F.col("__m")
+    picks = []
+    for i, (_, c, _, rank) in enumerate(targets):
+        for side, r in enumerate((F.floor(rank), F.ceil(rank))):
+            hit = (F.col("__c") == columns.index(c)) & (r >= before) & (r < F.col("__upto"))
+            picks.append(F.when(hit, F.struct(F.lit(2 * i + side).alias("pick"), (r - before).cast("long").alias("place"))))
+    chosen = counts.select(*own, "__cell", F.array_compact(F.array(*picks)).alias("__picks")).where(F.size("__picks") > 0)
+    values = placed.join(chosen, [*own, "__cell"]).groupBy(*own, "__cell", "__x").agg(F.count(F.lit(1)).alias("__m"), F.first("__picks").alias("__picks"))
+    along = Window.partitionBy(*own, "__cell").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("__upto", F.sum("__m").over(along))
+    inside = F.filter("__picks", lambda p: (p["place"] >= F.col("__upto") - F.col("__m")) & (p["place"] < F.col("__upto")))
+    found = values.select(*keys, "__x", F.explode(inside).alias("__p")).select(*keys, "__x", "__p.pick")
+    sizes = counts.groupBy(*keys).agg(*[F.max(F.when(F.col("__c") == i, F.col("n_values"))).alias(f"__n_{c}") for i, c in enumerate(columns)])
+    got = found.groupBy(*keys).agg(*[F.max(F.when(F.col("pick") == i, F.col("__x"))).alias(f"__q{i}") for i in range(2 * len(targets))])
+    out = got.join(sizes, keys)
+    for i, (name, c, _, rank) in enumerate(targets):
+        out = out.withColumn("n_values", F.col(f"__n_{c}"))
+        a, b = F.col(f"__q{2 * i}"), F.col(f"__q{2 * i + 1}")
+        out = out.withColumn(name, a + (b - a) * (rank - F.floor(rank)))
+    return out

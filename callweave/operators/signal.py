@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from callweave.functions.numeric import block_of, decibels, steady
 from callweave.functions.rules import peak_section
 from callweave.functions.vectors import total
-from callweave.operators.scans import BLOCK, BLOCK_ROWS, Run, previous, quantiles, quiet_runs, running, with_halo
+from callweave.operators.monoid import chained
+from callweave.operators.scans import BLOCK, BLOCK_ROWS, column_quantiles, previous, quantiles, quiet_runs, shared, with_halo
 
 CALL = ["call_id"]
 
@@ -64,13 +65,8 @@ def speech_regions(
     gap_frames = max(1, round(gap_s / frame_s))
     block = block_of(F.col("frame_idx"), block_rows)
     active = flagged.where("speech").select("call_id", "frame_idx")
-    active = running(
-        active, CALL, ["frame_idx"], block, {"__prev": Run("last", F.col("frame_idx"), inclusive=False)}
-    )
     opens = F.col("__prev").isNull() | (F.col("frame_idx") - F.col("__prev") > gap_frames + 1)
-    active = running(
-        active, CALL, ["frame_idx"], block, {"region": Run("sum", F.when(opens, 1).otherwise(0).cast("long"))}
-    )
+    active = chained(active, CALL, ["frame_idx"], block, {"__prev": "frame_idx"}, opens, "region")
     spans = active.groupBy("call_id", "region").agg(
         F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame")
     )
@@ -161,6 +157,7 @@ def snr_by_spectrum(spectra: DataFrame) -> DataFrame:
     ``spectra`` has (call_id, frame_idx, power, mags array). Noise is the mean square of each bin's
     5th percentile; speech is the mean power of frames from the 60th percentile.
     """
+    spectra = shared(spectra)
     bins = spectra.select("call_id", F.posexplode("mags").alias("bin", "mag"))
     floors = quantiles(bins, ["call_id", "bin"], "mag", {"floor": 0.05})
     noise = floors.groupBy("call_id").agg(F.avg(F.col("floor") * F.col("floor")).alias("noise"))
@@ -179,7 +176,8 @@ def snr_by_spectrum(spectra: DataFrame) -> DataFrame:
 
 def snr(frames: DataFrame, spectra: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """SNR per call; calls without sustained silence use their spectra."""
-    silence = sustained_silence(frames, block_rows=block_rows)
+    frames = shared(frames)
+    silence = shared(sustained_silence(frames, block_rows=block_rows))
     gated = snr_by_silence(frames, silence)
     if spectra is None:
         return gated
@@ -419,8 +417,8 @@ def prosody(frames: DataFrame, peak: str = "rms", block_rows: int = BLOCK_ROWS)
         F.max(F.when(voiced, F.struct("pitch_hz", (-F.col("frame_idx")).alias("neg")))).alias("top"),
         F.max(F.abs(peak)).alias("peak_val"),
     )
-    pq = quantiles(frames.where(voiced), TURN, "pitch_hz", {"pitch_p25": 0.25, "pitch_p75": 0.75}).drop("n_values")
-    rq = quantiles(frames, TURN, "rms", {"rms_p25": 0.25, "rms_p75": 0.75}).drop("n_values")
+    both = frames.select(*TURN, pitch.alias("pitch"), "rms")
+    quartiles = column_quantiles(both, TURN, {"pitch": {"pitch_p25": 0.25, "pitch_p75": 0.75}, "rms": {"rms_p25": 0.25, "rms_p75": 0.75}})
     limit = F.greatest(F.lit(1e-4), 0.05 * F.col("rms_max"))
     pauses = (
         frames.select(*TURN, "rms")
@@ -429,8 +427,7 @@ def prosody(frames: DataFrame, peak: str = "rms", block_rows: int = BLOCK_ROWS)
         .agg(F.avg(F.when(F.col("rms") < limit, 1.0).otherwise(0.0)).alias("pause_ratio"))
     )
     out = (
-        base.join(pq, TURN, "left")
-        .join(rq, TURN)
+        base.join(quartiles, TURN)
         .join(pauses, TURN)
         .join(irregularity(frames, block_rows), TURN)
     )

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from callweave.functions.numeric import block_of, steady
 from callweave.functions.vectors import argmax, cosine_distance, cosine_similarity, dot, norm, scale, subtract, unit
-from callweave.operators.scans import BLOCK_ROWS, Run, islands, quantiles, running
+from callweave.operators.monoid import carried_maximum, island_parts
+from callweave.operators.scans import BLOCK_ROWS, Run, quantiles, running, shared
 
 CALL = ["call_id"]
 
@@ -198,17 +199,17 @@ def low_separability_regions(
     curve: DataFrame, fraction: float = 0.25, pad_s: float = 2.0, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Stretches of windows at or below the call's 25th percentile, merged and padded."""
+    curve = shared(curve)
     cut = quantiles(curve, CALL, "separability", {"cut": fraction}).drop("n_values")
     low = curve.join(cut, "call_id").where(steady(F.col("separability"), 9) <= steady(F.col("cut"), 9))
     block = block_of(F.col("win"), block_rows)
-    low = running(low, CALL, ["win"], block, {"__end": Run("max", F.col("end_s"), inclusive=False)})
+    # All windows are one stretch.
+    low = carried_maximum(low.withColumn("__all", F.lit(0)), CALL, ["win"], block, "__all", "end_s", "__end")
     apart = F.col("__end").isNull() | (F.col("start_s") > F.col("__end") + 1.0)
-    low = islands(low, CALL, ["win"], block, apart, "region")
+    parts = {"a": F.min("start_s"), "b": F.max("end_s"), "min_separability": F.min("separability")}
+    whole = {"a": F.min("a"), "b": F.max("b"), "min_separability": F.min("min_separability")}
     return (
-        low.groupBy("call_id", "region")
-        .agg(
-            F.min("start_s").alias("a"), F.max("end_s").alias("b"), F.min("separability").alias("min_separability")
-        )
+        island_parts(low, CALL, ["win"], apart, "region", parts, whole)
         .select(
             "call_id",
             (F.col("region") - 1).alias("region"),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from callweave.functions.numeric import block_of
 from callweave.functions.text import is_blank, strip, word_count
-from callweave.operators.scans import BLOCK_ROWS, Run, islands, previous, running
+from callweave.operators.monoid import carried_maximum, chained, island_parts
+from callweave.operators.scans import BLOCK_ROWS
 
 TURN_KEY = ["call_id"]
 
@@ -38,31 +39,27 @@ def merge_adjacent(
     The end of the merged turn is the largest end seen, so the gap is measured against the running
     maximum inside the speaker's run. ``carry`` columns come from the first turn.
     """
-    block = _turn_block(block_rows)
-    rows = previous(turns, TURN_KEY, ["seg_idx"], block, {"__prev_speaker": "speaker"})
-    changed = F.col("__prev_speaker").isNull() | (F.col("__prev_speaker") != F.col("speaker"))
-    rows = islands(rows, TURN_KEY, ["seg_idx"], block, changed, "__run")
-    rows = running(
+    rows = carried_maximum(turns, TURN_KEY, ["seg_idx"], _turn_block(block_rows), "speaker", "end_time_s", "__end")
+    apart = F.col("__end").isNull() | (F.col("start_time_s") - F.col("__end") > max_gap)
+    first = ["seg_idx", "speaker", "start_time_s", *carry]
+    merged = island_parts(
         rows,
-        [*TURN_KEY, "__run"],
+        TURN_KEY,
         ["seg_idx"],
-        block,
-        {"__end": Run("max", F.col("end_time_s"), inclusive=False)},
+        apart,
+        "__island",
+        {"__first": F.min_by(F.struct(*first), "seg_idx"), "__end": F.max("end_time_s"), "__n": F.count(F.lit(1))},
+        {"__first": F.min_by("__first", "__first.seg_idx"), "end_time_s": F.max("__end"), "n_turns": F.sum("__n")},
     )
-    apart = F.col("__end").isNull() | (F.col("start_time_s") - F.col("__end") > max_gap)
-    rows = islands(rows, TURN_KEY, ["seg_idx"], block, apart, "__island")
-    return (
-        rows.groupBy("call_id", "__island")
-        .agg(
-            F.min("seg_idx").alias("first_seg"),
-            F.min_by("speaker", "seg_idx").alias("speaker"),
-            F.min_by("start_time_s", "seg_idx").alias("start_time_s"),
-            F.max("end_time_s").alias("end_time_s"),
-            F.count(F.lit(1)).alias("n_turns"),
-            *[F.min_by(c, "seg_idx").alias(c) for c in carry],
-        )
-        .withColumn("seg_idx", F.col("__island") - 1)
-        .drop("__island")
+    return merged.select(
+        "call_id",
+        F.col("__first.seg_idx").alias("first_seg"),
+        "__first.speaker",
+        "__first.start_time_s",
+        "end_time_s",
+        "n_turns",
+        *[f"__first.{c}" for c in carry],
+        (F.col("__island") - 1).alias("seg_idx"),
     )
 
 
@@ -80,15 +77,13 @@ def merge_false_splits(
         )
     block = _turn_block(block_rows)
     sizes = turns.groupBy("call_id").agg(F.count(F.lit(1)).alias("__turns"))
-    rows = previous(turns, TURN_KEY, ["seg_idx"], block, {"__prev_speaker": "speaker"})
-    rows = rows.join(sizes, "call_id")
     boundary = (
         F.col("__prev_speaker").isNull()
         | (F.col("__prev_speaker") != F.col("speaker"))
         | (F.col("boundary_score") >= threshold)
         | (F.col("__turns") < 3)
     )
-    rows = islands(rows, TURN_KEY, ["seg_idx"], block, boundary, "__island")
+    rows = chained(turns.join(sizes, "call_id"), TURN_KEY, ["seg_idx"], block, {"__prev_speaker": "speaker"}, boundary, "__island")
     return (
         rows.groupBy("call_id", "__island")
         .agg(
@@ -180,9 +175,8 @@ def turn_boundaries(
 
     ``pause`` may use ``prev_at`` (the previous row's first order column).
     """
-    rows = previous(df, keys, order, block, {"prev_at": order[0], "__prev_speaker": speaker})
     starts = F.col("prev_at").isNull() | (F.col("__prev_speaker") != F.col(speaker)) | pause
-    return islands(rows, keys, order, block, starts, "turn_no").drop("__prev_speaker")
+    return chained(df, keys, order, block, {"prev_at": order[0], "__prev_speaker": speaker}, starts, "turn_no").drop("__prev_speaker")
 
 
 def speaker_override(turns: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.functions.numeric import block_of
-from callweave.operators import notes, scans, signal, speakers, turns
+from callweave.operators import monoid, notes, scans, signal, speakers, turns
 
 
 def sequence(spark, rows, schema):
@@ -163,3 +163,82 @@ def test_band_power_equals_fft(spark):
     freqs = np.fft.rfftfreq(2000, 1 / 400)
     want = float(np.sum(np.abs(np.fft.rfft(x)[(freqs >= 48) & (freqs <= 52)]) ** 2))
     assert signal.band_power(df, 400.0, 300).first().band_power == pytest.approx(want, rel=1e-9)
+
+
+def adversarial(n=4000):
+    rng = np.random.default_rng(9)
+    yield "sorted", np.arange(n, dtype=float)
+    yield "reversed", np.arange(n, dtype=float)[::-1]
+    yield "zigzag", np.where(np.arange(n) % 2 == 0, np.arange(n), -np.arange(n)).astype(float)
+    yield "powers", 2.0 ** rng.integers(-1000, 1000, n)
+    yield "two values", np.where(np.arange(n) < n * 0.1 - 1, -1.0, 1.0)
+    yield "one value", np.full(n, 3.25)
+    yield "outlier", np.r_[np.full(n - 1, 5.0), 1e300]
+    for few in (1, 2, 3, 7):
+        yield f"{few} rows", rng.normal(0, 1, few)
+
+
+@pytest.mark.parametrize("accuracy", [3, 50, 10_000])
+def test_quantiles_of_adversarial_data(spark, accuracy):
+    """Exact for any accuracy of the sketch: a sketch that is off only reads another cell."""
+    data = dict(adversarial())
+    df = sequence(spark, [(k, float(v), -float(v)) for k, vs in data.items() for v in vs], "k string, v double, w double").repartition(6)
+    wanted = {"v": {"v0": 0.0, "v10": 0.1, "v999": 0.999}, "w": {"w50": 0.5, "w100": 1.0}}
+    out = {r.k: r for r in scans.column_quantiles(df, ["k"], wanted, accuracy=accuracy).collect()}
+    assert set(out) == set(data)
+    for k, v in data.items():
+        for name, column, p in (("v0", v, 0), ("v10", v, 10), ("v999", v, 99.9), ("w50", -v, 50), ("w100", -v, 100)):
+            assert out[k][name] == pytest.approx(np.percentile(column, p), rel=1e-12, abs=1e-300), (k, name)
+
+
+def test_quantiles_of_missing_columns(spark):
+    df = sequence(spark, [("a", 1.0, None), ("a", 3.0, None), ("b", None, None)], "k string, v double, w double")
+    out = scans.column_quantiles(df, ["k"], {"v": {"x": 0.5}, "w": {"y": 0.5}}).collect()
+    assert [tuple(r) for r in out] == [("a", 2.0, None)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_per_operator(spark, tmp_path):
+    """Three scans for quantiles of any number of columns, two for a chain of islands; nothing is cached."""
+    rows = spark.range(100).select((F.col("id") % 3).alias("call_id"), F.col("id").alias("seg_idx"), F.lit("a").alias("speaker"), F.rand(1).alias("start_time_s"), F.rand(2).alias("end_time_s"))
+    rows.write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    many = scans.column_quantiles(df, ["call_id"], {"start_time_s": {"a": 0.1, "b": 0.9}, "end_time_s": {"c": 0.5}})
+    merged = turns.merge_adjacent(df)
+    starts = F.col("p").isNull() | (F.col("p") > F.col("start_time_s"))
+    chain = monoid.chained(df, ["call_id"], ["seg_idx"], F.lit(0), {"p": "end_time_s"}, starts, "n")
+    for plan, most in ((plan_of(many), 9), (plan_of(merged), 4), (plan_of(chain), 2)):
+        assert "InMemoryTableScan" not in plan and "CartesianProduct" not in plan
+        assert plan.count("FileScan") <= most
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 1000])
+def test_chains_match_a_loop(spark, block):
+    rng = random.Random(block)
+    rows = [(k, i, rng.choice("ab"), rng.choice([0, 1, 5])) for k in ("x", "y") for i in sorted(rng.sample(range(60), 30))]
+    df = sequence(spark, rows, "k string, i long, who string, gap int").repartition(3)
+    starts = F.col("before").isNull() | (F.col("before") != F.col("who")) | (F.col("gap") > 3) | (F.col("i") - F.col("last") > 4)
+    out = monoid.chained(df, ["k"], ["i"], block_of(F.col("i"), block), {"before": "who", "last": "i"}, starts, "n").collect()
+    got = {(r.k, r.i): (r.before, r.last, r.n) for r in out}
+    for k in ("x", "y"):
+        last, n = None, 0
+        for _, i, who, gap in [r for r in rows if r[0] == k]:
+            n += last is None or last[1] != who or gap > 3 or i - last[0] > 4
+            assert got[k, i] == (last and last[1], last and last[0], n)
+            last = (i, who)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_merge_of_one_long_speaker(spark, block):
+    """A monologue over many blocks: one long turn reaches over pauses of later ones, in other blocks."""
+    rng = random.Random(block)
+    rows, t = [], 0.0
+    for i in range(40):
+        t = round(t + rng.choice([0.2, 0.7, 2.0]), 3)
+        rows.append((1, i, "a" if i not in (20, 33) else "b", t, round(t + rng.choice([0.1, 0.1, 6.0]), 3)))
+    df = sequence(spark, rows, "call_id long, seg_idx long, speaker string, start_time_s double, end_time_s double")
+    got = [(r.speaker, r.start_time_s, r.end_time_s) for r in turns.merge_adjacent(df, block_rows=block).orderBy("seg_idx").collect()]
+    assert got == merge_loop([r[2:] for r in rows])
