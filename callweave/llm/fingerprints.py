@@ -6,12 +6,14 @@ t = floor(ln(weight) / r + b) and a = c / exp(r (t - b) + r), the term with the
 agree in a sample with a probability that is their generalised Jaccard similarity: the sum of the lesser weights over the sum of
 the greater. Likeness is the share of samples that agree; its standard error is 0.0625 at most.
 
-r is the sum of two exponential numbers e1 and e2, and b = e2 / r is uniform and independent of r. For a term that occurs once, t is 0
-and a = c exp(-e1): two logarithms in all.
+r is the sum of two exponential numbers e1 and e2, and b = e2 / r is uniform and independent of r. With u = exp(-e1), c is split into x = c u and
+c - x, which are exponential and independent as well: a term draws x = -ln v, c - x and e2. If it occurs once, t is 0 and a is x, so the least a is
+the greatest v, which is a hash as it stands; no logarithm is taken. Terms that occur more often are compared by v = exp(-a). Terms that a text
+and its edited text have equally often are drawn once for both.
 
-Everything is DataFrame functions. Documents that follow each other in descending id are brought together by blocks of 256 ids, which
-are shuffled once by hash; a block also gets the first document of the next lower block, found through a table with one row per block.
-Terms are aggregated where the block is, without another shuffle. No task sees more than its blocks.
+Everything is DataFrame functions. Documents that follow each other in descending id are brought together by blocks of 256 ids (rows without
+an id: by the upper bits of the hash of their text), which are shuffled once by hash; a block also gets the first document of the next lower
+block, found through a table with one row per block. Terms are aggregated where the block is, without another shuffle. No task sees more than its blocks.
 
 Defined cases: a null text is empty; a text without words has a fingerprint of its own, equal for all such texts; null ids come last in
 descending order; rows with equal ids go by a hash of the text; repeated rows count as documents of their own; an only document follows
@@ -24,61 +26,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.llm.common import written
+from callweave.llm.ranks import ranked
 
 SAMPLES = 64
-#: Samples computed in one row. With 4 the generated code is too long for the JVM to compile.
-STRIP = 2
+#: Samples computed in one row: of a term that occurs once, and of others. The JVM must compile what they become.
+STRIP, WEIGHTED = 8, 2
 BLOCK_BITS = 8
-#: Blocks are put into groups of 4096: the order of groups is made in one task, of one row for a million ids.
-GROUP_BITS = 12
+#: Rows without an id are put into blocks by this many upper bits of the hash of their text.
+NULL_BITS = 16
 GAP = r"[\x20\x09-\x0D]+"
+#: A packed sample: v in fixed point above, a hash of the term and t below.
+NAME_BITS, ORDER_BITS = 28, 35
+NAME = (1 << NAME_BITS) - 1
 
 
-def _uniform(bits: Column) -> Column:
-    """(0, 1) from the low 32 bits."""
-    return (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / 4294967296.0
+def _uniform(bits: str, width: int = 32) -> str:
+    """(0, 1) from the low bits."""
+    return f"((({bits}) & {(1 << width) - 1}L) + 0.5D) * {2.0**-width}D"
+
+
+def _single(k: int | str) -> str:
+    """Sample g + k of a term that occurs once: the hash but for its sign. The upper bits are v, the lower ones the name."""
+    return f"shiftrightunsigned(xxhash64(term, g + {k}), 1)"
 
 
 def samples(terms: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFrame:
-    """``samples`` (array of n longs) per group of ``keys``, from rows with ``term`` (long, null: none) and its ``times``.
+    """``samples`` (array of n longs, null entries for no term) per group of ``keys``, from rows with ``term`` (long, null: none) and its ``times``.
 
-    Each row becomes n / STRIP rows of STRIP samples, so that the generated code stays small enough for the JVM to compile. The upper half
-    of a packed long orders by a, the lower is a hash of the sampled term and t.
+    A term that occurs once becomes n / STRIP rows of STRIP samples. The rarer ones that occur more often become rows of WEIGHTED samples,
+    which take logarithms. What is kept of each sample is the greatest long.
     """
-    strips = terms.select(*keys, "term", F.log(F.col("times").cast("double")).alias("lnw"), F.explode(F.array(*[F.lit(g) for g in range(n // STRIP)])).alias("g"))
-    here = [*keys, "g", "term", "lnw"]
-    each = range(STRIP)
-    number = lambda k: F.col("g") * STRIP + k
-    rows = strips.select(*here, *[F.xxhash64("term", number(k) * 2 + i).alias(f"h{k}_{i}") for k in each for i in range(2)])
-    once = F.col("lnw") == 0
-    high = lambda h: F.shiftrightunsigned(F.col(h), 32)
-
-    def drawn(k: int) -> list[Column]:
-        u = _uniform(F.col(f"h{k}_0"))
-        c = -F.log(_uniform(F.col(f"h{k}_1")) * _uniform(high(f"h{k}_1")))
-        e2 = -F.log(_uniform(high(f"h{k}_0")))
-        r = e2 - F.log(u)
-        t = F.floor((F.col("lnw") + e2) / r)
-        # ln a; r (t - b + 1) is r (t + 1) - e2.
-        lna = F.when(once, F.log(c * u)).otherwise(F.log(c) - r * (t + 1) + e2)
-        # The upper half of the first hash is free of a where t is 0.
-        name = high(f"h{k}_0").bitwiseXOR(F.col(f"h{k}_1")).bitwiseAND(F.lit(0xFFFFFFFF))
-        name = F.when(once, name).otherwise(name.bitwiseXOR(F.when(t == 0, F.lit(0)).otherwise(F.xxhash64(t))).bitwiseAND(F.lit(0xFFFFFFFF)))
-        return [lna.alias(f"a{k}"), name.alias(f"n{k}")]
-
-    rows = rows.select(*here, *[c for k in each for c in drawn(k)])
-
-    def packed(k: int) -> Column:
-        # ln a lies within a few hundred of 0: r is below 45 and t is bounded by ln(weight) / r.
-        order = F.greatest(F.lit(0), F.least(F.lit(2**31 - 1), ((F.col(f"a{k}") + 256) * 2**21).cast("long")))
-        return F.when(F.col("term").isNotNull(), F.shiftleft(order, 32).bitwiseOR(F.col(f"n{k}")))
-
-    out = rows.groupBy(*keys, "g").agg(*[F.min(packed(k)).alias(f"m{k}") for k in each])
-    low = [F.coalesce(F.col(f"m{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for k in each]
-    # n / STRIP entries for each group.
-    strip = F.struct("g", F.array(*low).alias("part"))
-    joined = F.flatten(F.transform(F.sort_array(F.collect_list(strip)), lambda x: x["part"]))
-    return out.groupBy(*keys).agg(joined.alias("samples"))
+    light = F.array(*[F.lit(g) for g in range(0, n, STRIP)])
+    heavy = F.array(*[F.lit(g) for g in range(0, n, WEIGHTED)])
+    rows = terms.select(*keys, "term", "times", F.explode(F.when(F.col("times") > 1, heavy).otherwise(light)).alias("g"))
+    each = range(WEIGHTED)
+    add = lambda prefix, of: rows.select("*", *[F.expr(f"if(times > 1, {of(k)}, NULL)").alias(f"{prefix}{k}") for k in each])
+    rows = add("h", _single)
+    rows = add("o", lambda k: f"xxhash64(term, g + {k}, 1)")
+    rows = add("x", lambda k: f"-ln({_uniform(f'shiftright(h{k}, {NAME_BITS})', ORDER_BITS)})")
+    rows = add("c", lambda k: f"x{k} - ln({_uniform(f'o{k}')})")
+    rows = add("e", lambda k: f"-ln({_uniform(f'shiftrightunsigned(o{k}, 32)')})")
+    rows = add("r", lambda k: f"e{k} - ln(x{k} / c{k})")
+    rows = add("t", lambda k: f"floor((ln(cast(times AS double)) + e{k}) / r{k})")
+    # r (t - b + 1) is r (t + 1) - e2. Where t is 0, the sample is that of a single occurrence.
+    order = lambda k: f"cast(exp(-c{k} * exp(e{k} - r{k} * (t{k} + 1))) * {(1 << ORDER_BITS) - 1}D AS bigint)"
+    name = lambda k: f"((h{k} ^ xxhash64(t{k})) & {NAME}L)"
+    rows = add("w", lambda k: f"if(t{k} = 0, h{k}, shiftleft({order(k)}, {NAME_BITS}) | {name(k)})")
+    singles = range(min(STRIP, n))
+    out = rows.groupBy(*keys, (F.col("times") > 1).alias("often"), "g").agg(
+        *[F.expr(f"max(if(times = 1 AND term IS NOT NULL, {_single(k)}, NULL))").alias(f"m{k}") for k in singles],
+        *[F.max(f"w{k}").alias(f"v{k}") for k in each],
+    )
+    part = F.when(F.col("often"), F.array(*[F.col(f"v{k}") for k in each])).otherwise(F.array(*[F.col(f"m{k}") for k in singles]))
+    # n / STRIP and n / WEIGHTED entries for each group.
+    found = lambda often: F.map_from_entries(F.collect_list(F.when(F.col("often") == often, F.struct("g", part.alias("part")))))
+    both = out.groupBy(*keys).agg(found(False).alias("m"), found(True).alias("v"))
+    taken = F.expr(
+        f"transform(sequence(0, {n - 1}), i -> greatest(get(try_element_at(m, i - i % {len(singles)}), i % {len(singles)}), "
+        f"get(try_element_at(v, i - i % {WEIGHTED}), i % {WEIGHTED})))"
+    )
+    return both.select(*keys, taken.alias("samples"))
+
+
+def _words(text: str) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, GAP, " ")), " ")
+
+
+def _hashed(words: str) -> Column:
+    """The hashes of all terms of a column of words, in any order. A column, so that it is not split again for each term."""
+    terms = F.transform(words, lambda x, i: F.xxhash64(x, F.get(words, i + 1)))
+    return F.when(F.get(words, F.lit(0)) != "", terms).otherwise(F.array().cast("array<long>"))
+
+
+def _runs(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, times, before, times_before, after, times_after) for each run of equal entries of ``s``, which is sorted; one null row if it is empty."""
+    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    begins = F.when(F.size("s") > 0, begins).otherwise(F.array().cast("array<int>"))
+    runs = values.select(*keys, "s", F.size("s").alias("n"), begins.alias("begin"))
+    runs = runs.select(*keys, "n", "begin", F.transform("begin", lambda i: F.get("s", i)).alias("value"))
+    # Neighbours are the same arrays moved by a place.
+    later = lambda c, k: F.expr(f"slice({c}, {k + 1}, size({c}))")
+    earlier = lambda c: F.expr(f"concat(array(NULL), {c})")
+    moved = {"value": F.col("value"), "at": F.col("begin"), "at1": later("begin", 1), "at2": later("begin", 2), "after": later("value", 1)}
+    moved |= {"before": earlier("value"), "at0": earlier("begin")}
+    rows = runs.select(*keys, "n", F.size("begin").alias("k"), F.posexplode_outer(F.arrays_zip(*[c.alias(a) for a, c in moved.items()])).alias("i", "x"))
+    # The arrays moved to the right are longer by one.
+    rows = rows.where((F.col("i") < F.col("k")) | (F.col("k") == 0)).select(*keys, "n", "x.*")
+    end = lambda c: F.coalesce(c, F.col("n"))
+    return rows.select(
+        *keys, "value", (end("at1") - F.col("at")).alias("times"), "before", (F.col("at") - F.col("at0")).alias("times_before"),
+        "after", (end("at2") - F.col("at1")).alias("times_after"),
+    )
 
 
 def term_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,24 +124,36 @@ def term_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
 
     A text's terms are hashed, sorted and counted as runs within its row.
     """
-    words = texts.select(*keys, F.split(F.trim(F.regexp_replace("text", GAP, " ")), " ").alias("w"))
-    both = F.arrays_zip(F.col("w").alias("one"), F.expr("slice(w, 2, size(w))").alias("two"))
-    hashed = words.select(*keys, F.when(F.get("w", F.lit(0)) != "", F.sort_array(F.transform(both, lambda p: F.xxhash64(p["one"], p["two"])))).alias("s"))
-    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    runs = hashed.select(*keys, "s", F.when(F.col("s").isNotNull(), begins).alias("begin"))
-    runs = runs.select(
-        *keys, F.size("s").alias("n"), F.transform("begin", lambda i: F.get("s", i)).alias("term"), "begin", F.expr("slice(begin, 2, size(begin))").alias("next")
-    )
-    rows = runs.select(*keys, "n", F.explode_outer(F.arrays_zip("term", "begin", "next")).alias("x"))
-    return rows.select(*keys, F.col("x.term").alias("term"), (F.coalesce("x.next", "n") - F.col("x.begin")).alias("times"))
+    words = texts.select(*keys, _words("text").alias("w"))
+    runs = _runs(words.select(*keys, F.sort_array(_hashed("w")).alias("s")), keys)
+    return runs.select(*keys, F.col("value").alias("term"), "times")
+
+
+def _paired_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side, term, times) of ``text`` (side 0) and ``changed`` (side 1); side 2 are terms that both have equally often.
+
+    The lowest bit of a hash tells the two texts apart, so a term of the one stands before the same term of the other.
+    """
+    words = texts.select(*keys, _words("text").alias("w0"), _words("changed").alias("w1"))
+    marked = lambda words, bit: F.transform(_hashed(words), lambda h: h.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
+    both = words.select(*keys, F.sort_array(F.concat(marked("w0", 0), marked("w1", 1))).alias("s"))
+    runs = _runs(both, keys)
+    own = F.col("value").bitwiseAND(F.lit(1)) == 0
+    equal_next = own & (F.col("after") == F.col("value").bitwiseOR(F.lit(1))) & (F.col("times") == F.col("times_after"))
+    equal_last = ~own & (F.col("before") == F.col("value").bitwiseAND(F.lit(-2))) & (F.col("times") == F.col("times_before"))
+    fit = runs.where(~F.coalesce(equal_last, F.lit(False)))
+    side = F.when(F.coalesce(equal_next, F.col("value").isNull()), 2).when(own, 0).otherwise(1)
+    return fit.select(*keys, side.alias("side"), F.col("value").bitwiseAND(F.lit(-2)).alias("term"), "times")
 
 
 def fingerprint(packed: Column) -> Column:
-    return F.array_join(F.transform(packed, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """The names of the samples, in hexadecimal; a text without terms has none but zeros."""
+    named = lambda x: F.lpad(F.lower(F.hex(F.coalesce(x.bitwiseAND(F.lit(NAME)), F.lit(0)))), NAME_BITS // 4, "0")
+    return F.array_join(F.transform(packed, named), "")
 
 
 def likeness(a: Column, b: Column, n: int = SAMPLES) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(n))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(n))
 
 
 def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
@@ -121,18 +171,14 @@ def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
 
 
 def _followers(firsts: DataFrame) -> DataFrame:
-    """(block, next): the next lower block that has rows; after the lowest comes the highest."""
-    down = F.col("block").desc_nulls_last()
-    placed = firsts.select("block", F.shiftright("block", GROUP_BITS).alias("group"))
-    inside = Window.partitionBy("group").orderBy(down)
-    placed = placed.withColumn("next", F.lead(F.struct("block")).over(inside))
-    tops = placed.groupBy("group").agg(F.max("block").alias("top"))
-    order = Window.orderBy(F.col("group").desc_nulls_last())
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select("group", F.coalesce(F.lead(F.struct("top")).over(order), F.first(F.struct("top")).over(everything)).alias("below"))
-    tops = tops.withColumnRenamed("group", "of")
-    met = placed.join(tops, F.col("group").eqNullSafe(F.col("of")))
-    return met.select("block", F.when(F.col("next").isNotNull(), F.col("next.block")).otherwise(F.col("below.top")).alias("next"))
+    """(to, id, mark): for each block the first document of the next lower one; after the lowest comes the highest.
+
+    Blocks are numbered by a range-partitioned sort.
+    """
+    order = [F.col("block.high").desc_nulls_last(), F.col("block.low").desc_nulls_last()]
+    placed = written(ranked(firsts.withColumn("all", F.lit(0)), ["all"], order, "blocks"), "blocks")
+    before = placed.select(F.col("block").alias("to"), F.pmod(F.col("place") + 1, F.col("total")).alias("place"))
+    return before.join(placed.select("place", "first"), "place").select("to", "first.id", "first.mark")
 
 
 def followed(docs: DataFrame) -> DataFrame:
@@ -140,14 +186,13 @@ def followed(docs: DataFrame) -> DataFrame:
 
     Border rows repeat the first document of the next block, so that a block's last document has its follower; drop them at the end.
     """
-    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select(F.shiftright("id", BLOCK_BITS).alias("block"), "id", F.xxhash64("text").alias("mark"), "text")
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    nulls = F.when(F.col("id").isNull(), F.shiftright("mark", 64 - NULL_BITS))
+    rows = rows.select(F.struct(F.shiftright("id", BLOCK_BITS).alias("high"), nulls.alias("low")).alias("block"), "id", "mark", "text")
     # The greatest (id, mark) of each block: its first in descending order. A null id sorts below all others.
     firsts = rows.groupBy("block").agg(F.max(F.struct("id", "mark")).alias("first"))
-    after = _followers(firsts)
-    after = after.select(F.col("block").alias("to"), F.col("next").alias("from"))
     # Written, its size is known when the join with the texts is planned.
-    leads = written(firsts.join(after, F.col("block").eqNullSafe(F.col("from"))).select("to", "first.id", "first.mark"), "leads")
+    leads = written(_followers(firsts), "leads")
     met = rows.select("id", "mark", "text").alias("a").join(leads.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")))
     # Repeated rows of a first document would give more than one border row: one of them is meant.
     border = met.select(F.col("b.to").alias("block"), F.col("a.id").alias("id"), F.col("a.mark").alias("mark"), F.col("a.text").alias("text")).dropDuplicates(["block"])
@@ -172,10 +217,10 @@ def op8_fingerprints(spark, folder: str) -> DataFrame:
     rows = rows.select(
         "block", "place", "border", F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "text", changed.alias("changed")
     ).withColumn("edited_sha256", F.sha2(F.col("changed").cast("binary"), 256))
-    version = lambda v, text: F.struct(F.lit(v).alias("v"), F.col(text).alias("text"))
-    versions = rows.select(*facts, F.explode(F.array(version(0, "text"), version(1, "changed"))).alias("x"))
-    found = samples(term_rows(versions.select(*facts, "x.v", "x.text"), [*facts, "v"]), [*facts, "v"])
-    both = found.groupBy(*facts).agg(*[F.max(F.when(F.col("v") == v, F.col("samples"))).alias(name) for v, name in ((0, "own"), (1, "changed"))])
+    found = samples(_paired_rows(rows.select(*facts, "text", "changed"), facts), [*facts, "side"])
+    sides = found.groupBy(*facts).agg(*[F.max(F.when(F.col("side") == v, F.col("samples"))).alias(f"s{v}") for v in (0, 1, 2)])
+    best = lambda v: F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: F.greatest(F.get(f"s{v}", i), F.get("s2", i)))
+    both = sides.select(*facts, best(0).alias("own"), best(1).alias("changed"))
     following = Window.partitionBy("block").orderBy("place")
     met = both.withColumn("next", F.lead("own").over(following)).where(~F.col("border"))
     return met.select(
