@@ -13,7 +13,7 @@ from callweave.functions.numeric import block_of, steady
 from callweave.functions.rules import emotion_of_label, sentiment_of_label, too_short_to_judge
 from callweave.functions.text import scoring_text, tokens
 from callweave.functions.vectors import total
-from callweave.operators.scans import BLOCK_ROWS, expanding_moments
+from callweave.operators.scans import BLOCK_ROWS, expanding_moments, shared
 
 FEATURES = ["pitch_mean", "rms_mean", "speaking_rate_zcr", "jitter", "pause_ratio"]
 DELTAS = ["pitch_d", "energy_d", "rate_d", "jitter_d", "pause_r"]
@@ -118,7 +118,7 @@ def speaker_deltas(prosody: DataFrame, min_prior: int = 3, block_rows: int = BLO
     out before, because they neither get nor shape a baseline.
     """
     out = expanding_moments(
-        prosody, ["call_id", "speaker"], ["seg_idx"], block_of(F.col("seg_idx"), block_rows), FEATURES
+        shared(prosody), ["call_id", "speaker"], ["seg_idx"], block_of(F.col("seg_idx"), block_rows), FEATURES
     )
     # One earlier turn has no spread of its own; it counts as 1.
     std = {f: F.when(F.col("prior_n") > 1, F.col(f"{f}_std")).otherwise(1.0) for f in FEATURES}

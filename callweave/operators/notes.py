@@ -9,7 +9,7 @@ from callweave.functions.numeric import block_of, steady
 from callweave.functions.rules import is_agent
 from callweave.functions.text import SENTENCE_END, SPACE, is_blank, strip, tokens
 from callweave.operators.emotion import sentiment_mode
-from callweave.operators.scans import BLOCK_ROWS, Run, running
+from callweave.operators.scans import BLOCK_ROWS, Run, running, shared
 from callweave.session import materialize
 
 NO_TRANSCRIPT = "No transcript available for summarization."
@@ -98,7 +98,7 @@ def _stitched(turns: DataFrame, breaks: str, ends: str | None, block_rows: int)
     # A sentence ends inside a turn after every piece but the last, and at a turn's end if closed.
     ends_here = F.when((F.col("k") < F.col("__n") - 1) | F.col("__closed"), 1).otherwise(0).cast("long")
     pieces = running(
-        pieces,
+        shared(pieces),
         ["call_id"],
         ["seg_idx", "k"],
         block_of(F.col("seg_idx"), block_rows),

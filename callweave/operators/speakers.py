@@ -355,7 +355,7 @@ def decode_regions(
     keys = list(keys)
     blk = block_of(F.col("seg_idx"), block_rows)
     rows = running(
-        items, keys, ["seg_idx"], blk, {"__prev_end": Run("last", F.col("end_time_s"), inclusive=False)}
+        shared(items), keys, ["seg_idx"], blk, {"__prev_end": Run("last", F.col("end_time_s"), inclusive=False)}
     ).withColumn("__blk", blk)
     total = F.col("d0") + F.col("d1")
     lit0 = F.lit(0.0)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from callweave.functions.lexicon import STAGE_SLICES, STORE_CONFIG
+from callweave.model import ANNOTATIONS
 from callweave.plans import standins
 from callweave.plans.registry import query
 from callweave.session import scratch_folder
@@ -177,18 +179,26 @@ def tk5(spark, d):
     return files.sorted_listing(standins.table(spark, d, "documents"), "source")
 
 
-@query("io1_call_catalogue", "SELECT 'call_' || user_id || '.wav' AS filename FROM (SELECT DISTINCT user_id FROM events)")
+@query(
+    "io1_call_catalogue",
+    """SELECT 'call_' || user_id % 8 || suffix AS filename, count(*)::BIGINT AS length FROM events, (VALUES ('.wav'), ('.mp3'), ('_denoised.mp3')) s(suffix)
+       GROUP BY user_id % 8, suffix""",
+)
 def io1(spark, d):
-    """Catalogue of a folder in which every user has a recording and a derived file."""
+    """Catalogue of a folder in which every group of users has recordings, a derived file and a text; a file has a byte for each event.
+
+    The names, at most 8 groups of them, come from the events; the file system of the folder creates them, wherever it is.
+    """
     folder = scratch_folder(spark, "catalogue")
-    users = standins.table(spark, d, "events").select("user_id").distinct()
-    users.select(F.lit("x").alias("v"), "user_id").write.partitionBy("user_id").text(folder + "/raw")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder + "/raw")
-    name = F.concat(F.lit("call_"), F.regexp_extract("path", r"user_id=(\d+)", 1))
-    listing = raw.where(F.col("path").contains("part-")).select(
-        F.explode(F.array(F.concat(name, F.lit(".wav")), F.concat(name, F.lit("_denoised.wav")))).alias("filename")
-    )
-    return listing.where(~F.col("filename").endswith("_denoised.wav")).distinct()
+    groups = standins.table(spark, d, "events").groupBy((F.col("user_id") % 8).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    jvm = spark._jvm
+    for r in groups.collect():
+        for suffix in (".wav", ".mp3", "_denoised.wav", "_denoised.mp3", ".txt"):
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/call_{r['g']}{suffix}")
+            out = path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).create(path)
+            out.write(bytearray(r["n"]))
+            out.close()
+    return files.call_catalogue(spark, folder).select("filename", "length")
 
 
 @query(
@@ -216,6 +226,35 @@ def io3(spark, d):
     )
 
 
+@query(
+    "io3_annotations_csv",
+    """SELECT conv_id::VARCHAR AS dialogue_id, turn::VARCHAR AS utterance_id, role AS speaker, text, length(text)::DOUBLE AS "end",
+       'neutral,' || role AS emotion_label, CASE WHEN turn % 2 = 0 THEN 'a,b' ELSE 'a' END AS conduct_risk, 0.9::DOUBLE AS intensity FROM conversations""",
+)
+def io3_csv(spark, d):
+    """The same as CSV: lists as JSON text or separated by ``|``, the map as JSON text."""
+    conv = standins.table(spark, d, "conversations")
+    labels = F.when(F.col("turn") % 3 == 0, F.to_json(F.array(F.lit("neutral"), "role"))).otherwise(F.concat(F.lit("neutral|"), F.col("role")))
+    values = {
+        "dialogue_id": F.col("conv_id").cast("string"),
+        "utterance_id": F.col("turn").cast("string"),
+        "speaker": F.col("role"),
+        "start": F.lit(0.0),
+        "end": F.length("text").cast("double"),
+        "text": F.col("text"),
+        "emotion_label": labels,
+        "intensity": F.lit('{"neutral": 0.9}'),
+        "conduct_risk": F.when(F.col("turn") % 2 == 0, "a|b").otherwise("a"),
+    }
+    names = StructType.fromDDL(ANNOTATIONS).names
+    rows = conv.select(*[values.get(n, F.lit(None).cast("string")).alias(n) for n in names])
+    path = scratch_folder(spark, "annotations") + "/table"
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").csv(path)
+    back = files.annotations_csv(spark, path).where("_corrupt_record is null")
+    lists = [F.array_join(c, ",").alias(c) for c in ("emotion_label", "conduct_risk")]
+    return back.select("dialogue_id", "utterance_id", "speaker", "text", "end", *lists, F.col("intensity")["neutral"].alias("intensity"))
+
+
 @query(
     "io4_ground_truth_table",
     """SELECT conv_id::VARCHAR AS file, turn AS line_no, turn * 60.0::DOUBLE + turn AS start_time_s, turn * 60.0::DOUBLE + turn + 5 AS end_time_s,

@@ -48,6 +48,7 @@ def annotations_csv(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(f"{flat}, _corrupt_record string")
         .option("header", True)
         .option("escape", '"')
+        .option("multiLine", True)  # a text may hold line ends
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
