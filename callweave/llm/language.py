@@ -16,6 +16,8 @@ language teach nothing; empty tables give empty results.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from callweave.llm.common import crc_mod
 
 PER_LANGUAGE = 500
+#: Parts of a language that are ranked apart.
+SALTS = 64
 WORDS = 100_000
 GRAMS = 50_000
 LONGEST = 5
@@ -35,7 +39,16 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 RESULT = "struct<lang_pred:string,score:double>"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+def _classed(kinds: str) -> str:
+    """A character class of all characters whose Unicode category begins with one of ``kinds``."""
+    marks = [unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)]
+    edges = np.flatnonzero(np.diff(np.array([False, *marks, False], np.int8))).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
+
+
+#: A word is a letter and the letters and combining marks after it; numbers such as a half or a Roman ten are none.
+LETTERS = re.compile(f"[{_classed('L')}][{_classed('LM')}]*")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -116,8 +129,11 @@ def fit(docs: DataFrame, *, train: Column | None = None, per_language: int = PER
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     known = known if train is None else known.where(train)
     ids = known.select(F.col("doc_id").alias("id"), F.col("lang").alias("named")).distinct()
-    place = F.row_number().over(Window.partitionBy("named").orderBy(F.xxhash64("id"), "id"))
-    ids = ids.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    # First the least of each of SALTS parts of a language: no more than SALTS x per_language ids of it meet.
+    order = [F.xxhash64("id"), F.col("id")]
+    for keys in (["named", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS))], ["named"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        ids = ids.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
     # per_language ids for each language: a bound that does not grow with the rows.
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("named")))
     sample = texts.groupBy("id", "named").agg(F.min("text").alias("body")).collect()

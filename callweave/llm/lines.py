@@ -6,6 +6,10 @@ place in the document). All later occurrences are removed from their documents;
 text are kept. A digest that fills a third of all rows is one row per task after the partial step, and meets
 its occurrences in a plain equality join, which Spark splits at run time.
 
+A unit counts only from a number of words on (LEAST_WORDS in the query: lines of one to eleven words recur everywhere by chance). Measured at sf0.01,
+documents with a stretch of 50 words that an earlier document has: 0.97 lose text at 1 word, 0.93 at 15, 0.80 at 30; documents without any such
+stretch that stay whole: 0.56, 0.97, 0.98. Windows of 2 to 5 lines beside the lines changed neither figure by more than 0.01.
+
 Defined cases: units without words (blank lines) always stay; null and empty texts have no units; a null id
 ranks before all others; repeated rows (equal id and text) are one document and keep the same units; rows with
 equal ids and different texts rank by the hash of the text; an empty table gives an empty result.
@@ -19,31 +23,35 @@ from pyspark.sql import functions as F
 from callweave.llm.common import written
 from callweave.llm.units import keyed, remove_units, unit_rows
 
-OUTPUT = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+#: Units with fewer words never go: short lines that recur ("Yes.", headings) are not copies of a passage.
+LEAST_WORDS = 15
 
 
-def later_occurrences(units: DataFrame) -> DataFrame:
-    """The units (id, mark, start, end) that repeat an earlier one."""
+def occurrences(units: DataFrame) -> DataFrame:
+    """(id, mark, start, end, later) of units that occur several times; the earliest one is not ``later``."""
     rank = F.struct("id", "mark", "place")
     first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     met = units.join(first.select("digest", "first"), "digest")
-    return met.where(rank != F.col("first")).select("id", "mark", "start", "end")
+    return met.select("id", "mark", "start", "end", (rank != F.col("first")).alias("later"))
 
 
-def dedup(docs: DataFrame, unit: str = "line") -> DataFrame:
-    """``row`` (the input row) and ``result``: kept text, sizes in bytes, and removed spans in code points."""
+def dedup(docs: DataFrame, unit: str = "line", least_words: int = 1) -> DataFrame:
+    """``row`` (the input row), ``result``: kept text, sizes in bytes, and removed spans in code points, and ``firsts``: spans that
+    stay as the earliest of several."""
     keys = keyed(docs)
-    units = written(unit_rows(keys, unit), "units")
-    return remove_units(keys, later_occurrences(units))
+    units = written(unit_rows(keys, unit, least_words), "units")
+    return remove_units(keys, occurrences(units))
 
 
 def op10_line_dedup(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    return dedup(docs).select(
+    listed = lambda pieces: F.array_join(F.transform(pieces, lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+    return dedup(docs, least_words=LEAST_WORDS).select(
         F.col("row.doc_id").alias("doc_id"),
         *[F.col(f"result.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")],
-        F.transform("result.removed", lambda s: F.concat_ws("-", s["start"], s["end"])).alias("removed"),
-    ).withColumn("removed", F.array_join("removed", " "))
+        listed("result.removed").alias("removed"),
+        listed("firsts").alias("kept_first"),
+    )
 
 
 SQL = r"""
@@ -56,7 +64,8 @@ WITH docs AS (
   SELECT doc_id, place, CASE WHEN place < n THEN unit || chr(10) ELSE unit END AS unit,
          trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS words FROM cut
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, place) > 1 AND words <> '' AS gone,
+  SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, place) > 1 AND len(string_split(words, ' ')) >= 15 AS gone,
+         count(*) OVER (PARTITION BY words) > 1 AND len(string_split(words, ' ')) >= 15 AS several,
          coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM units
 ), edges AS (
@@ -67,11 +76,13 @@ WITH docs AS (
   SELECT doc_id, run, min(start) AS a, max(start + length(unit)) AS b FROM runs WHERE gone GROUP BY doc_id, run
 ), listed AS (
   SELECT doc_id, string_agg(a::BIGINT::VARCHAR || '-' || b::BIGINT::VARCHAR, ' ' ORDER BY a) AS removed, count(*) AS n_spans FROM removed GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(start::BIGINT::VARCHAR || '-' || (start + length(unit))::BIGINT::VARCHAR, ' ' ORDER BY start) AS kept_first FROM ranked WHERE several AND NOT gone GROUP BY doc_id
 ), sums AS (
   SELECT doc_id, sum(strlen(unit)) AS n_bytes, coalesce(sum(strlen(unit)) FILTER (gone), 0) AS n_removed,
          sha256(coalesce(string_agg(unit, '' ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM ranked GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::INTEGER AS n_spans,
-       coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(removed, '') AS removed
-FROM docs d LEFT JOIN sums USING (doc_id) LEFT JOIN listed USING (doc_id)
+       coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(removed, '') AS removed, coalesce(kept_first, '') AS kept_first
+FROM docs d LEFT JOIN sums USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """

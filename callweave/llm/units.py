@@ -47,8 +47,8 @@ def digest(unit: str) -> bytes:
     return hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def unit_rows(keys: DataFrame, unit: str = "line") -> DataFrame:
-    """One row (id, mark, place, start, end, digest) for each unit that has words."""
+def unit_rows(keys: DataFrame, unit: str = "line", least_words: int = 1) -> DataFrame:
+    """One row (id, mark, place, start, end, digest) for each unit that has at least so many words, one at least."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["id", "mark", "place", "start", "end", "digest"]
@@ -57,7 +57,7 @@ def unit_rows(keys: DataFrame, unit: str = "line") -> DataFrame:
             for key, mark, text in zip(batch["id"], batch["mark"], batch["text"]):
                 for place, (start, end) in enumerate(spans(text, unit)):
                     words = normal(text[start:end])
-                    if words:
+                    if words and words.count(" ") + 1 >= least_words:
                         out.append((key, mark, place, start, end, digest(words)))
                         if len(out) >= CHUNK:
                             yield pd.DataFrame(out, columns=names)
@@ -106,11 +106,16 @@ def without(text: Column, pieces: Column) -> Column:
     return of(text, pieces)
 
 
-def remove_units(keys: DataFrame, gone: DataFrame) -> DataFrame:
-    """Join the units that go (id, mark, start, end) to their documents: row and a struct ``result``.
+def remove_units(keys: DataFrame, met: DataFrame) -> DataFrame:
+    """Join units (id, mark, start, end, later) to their documents: row, a struct ``result`` and ``firsts``.
 
-    The pieces of a document are collected, which its own length bounds.
+    Units that are ``later`` than another go; ``firsts`` lists the offsets of those that stay as the first of several. The pieces of a
+    document are collected, which its own length bounds.
     """
-    pieces = gone.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("pieces"))
-    met = keys.join(pieces, ["id", "mark"], "left")
-    return met.select("row", without(F.col("text"), F.col("pieces")).alias("result"))
+    piece = F.struct("start", "end")
+    pieces = met.groupBy("id", "mark").agg(
+        F.collect_set(F.when(F.col("later"), piece)).alias("pieces"), F.sort_array(F.collect_set(F.when(~F.col("later"), piece))).alias("firsts")
+    )
+    joined = keys.join(pieces, ["id", "mark"], "left")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return joined.select("row", without(F.col("text"), F.col("pieces")).alias("result"), F.coalesce("firsts", none).alias("firsts"))
