@@ -6,11 +6,14 @@ spread over many tasks and no pair outside a bucket is ever formed.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.functions.numeric import steady
+from callweave.functions.numeric import block_of, steady
 from callweave.functions.vectors import argmax
+from callweave.operators.monoid import chained
 
 BUCKET_S = 10.0
 PAGE_S = 3600.0
@@ -206,3 +209,31 @@ def seconds_timeline(turns: DataFrame, horizon: DataFrame | None = None, name: s
     first = F.floor("start_time_s").cast("long")
     secs = turns.where(last >= first).withColumn("second", F.explode(F.sequence(first, last)))
     return secs.groupBy("call_id", "second").agg(F.max_by("speaker", "seg_idx").alias(name))
+
+
+def swept_timeline(
+    sides: Mapping[str, DataFrame], horizon: DataFrame | None = None, bucket_s: int = 600, block_s: int = 65_536
+) -> DataFrame:
+    """Stretches of whole seconds (call_id, start_s, stop_s) and who speaks on each side; null where a side is silent.
+
+    ``sides`` names tables of turns. Every second belongs to the latest turn on it, as in ``seconds_timeline``, but a row is made for each piece
+    between two neighbouring turn boundaries, not for each second. Turns meet the pieces below them by call and bucket of ``bucket_s`` seconds.
+    """
+    rows = None
+    for name, turns in sides.items():
+        stop = F.ceil("end_time_s").cast("long")
+        if horizon is not None:
+            turns = turns.join(horizon, "call_id")
+            stop = F.least(stop, F.col("n_seconds"))
+        part = turns.select(
+            "call_id", F.lit(name).alias("side"), "seg_idx", "speaker", F.floor("start_time_s").cast("long").alias("first"), stop.alias("stop")
+        ).where("stop > first")
+        rows = part if rows is None else rows.unionByName(part)
+    edges = rows.select("call_id", F.explode(F.array("first", "stop")).alias("stop_s")).distinct()
+    pieces = chained(edges, ["call_id"], ["stop_s"], block_of(F.col("stop_s"), block_s), {"start_s": "stop_s"}, F.lit(False), "__n")
+    pieces = pieces.where("start_s is not null").select("call_id", "start_s", "stop_s", block_of(F.col("start_s"), bucket_s).alias("bucket"))
+    buckets = F.sequence(block_of(F.col("first"), bucket_s), block_of(F.col("stop") - 1, bucket_s))
+    over = rows.withColumn("bucket", F.explode(buckets))
+    met = over.join(pieces, ["call_id", "bucket"]).where("start_s >= first and start_s < stop")
+    last = lambda name, c: F.when(F.col("side") == name, F.col(c))
+    return met.groupBy("call_id", "start_s", "stop_s").agg(*[F.max_by(last(name, "speaker"), last(name, "seg_idx")).alias(name) for name in sides])

@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.numeric import ratio, steady
-from callweave.operators.align import seconds_timeline
+from callweave.operators.align import seconds_timeline, swept_timeline
+
+
+def stretches(truth: DataFrame, predicted: DataFrame, horizon: DataFrame | None = None) -> DataFrame:
+    """True and predicted speaker per call and stretch of seconds [start_s, stop_s); a silent side is ``silence``."""
+    found = swept_timeline({"truth": truth, "predicted": predicted}, horizon)
+    return found.na.fill("silence", ["truth", "predicted"])
 
 
 def timeline(truth: DataFrame, predicted: DataFrame, horizon: DataFrame | None = None) -> DataFrame:
     """True and predicted speaker per call and second; a silent side is ``silence``."""
-    t = seconds_timeline(truth, horizon, "truth")
-    p = seconds_timeline(predicted, horizon, "predicted")
-    silence = F.lit("silence")
-    return t.join(p, ["call_id", "second"], "full_outer").select(
-        "call_id", "second", F.coalesce("truth", silence).alias("truth"), F.coalesce("predicted", silence).alias("predicted")
-    )
+    second = F.explode(F.sequence(F.col("start_s"), F.col("stop_s") - 1)).alias("second")
+    return stretches(truth, predicted, horizon).select("call_id", second, "truth", "predicted")
 
 
 def _swapped(speaker: Column) -> Column:
@@ -27,13 +29,15 @@ def _same(truth: Column, predicted: Column) -> Column:
     return (truth == predicted) | ((truth == "overlap") & predicted.isin("agent", "customer", "overlap"))
 
 
-def accuracy(seconds: DataFrame) -> DataFrame:
-    """Match rate over active seconds, as labelled and with both speakers swapped."""
+def accuracy(found: DataFrame) -> DataFrame:
+    """Match rate over active seconds, as labelled and with both speakers swapped, from ``stretches``."""
     truth, pred = F.col("truth"), F.col("predicted")
-    counts = seconds.where(truth != "silence").groupBy("call_id").agg(
-        F.count(F.lit(1)).alias("active_s"),
-        F.count_if(_same(truth, pred)).alias("direct"),
-        F.count_if(_same(truth, _swapped(pred))).alias("inverted"),
+    seconds = F.col("stop_s") - F.col("start_s")
+    during = lambda fits: F.coalesce(F.sum(F.when(fits, seconds)), F.lit(0).cast("long"))
+    counts = found.where(truth != "silence").groupBy("call_id").agg(
+        F.sum(seconds).alias("active_s"),
+        during(_same(truth, pred)).alias("direct"),
+        during(_same(truth, _swapped(pred))).alias("inverted"),
     )
     n = F.col("active_s")
     direct, inverted = ratio(F.col("direct") * 100.0, n), ratio(F.col("inverted") * 100.0, n)

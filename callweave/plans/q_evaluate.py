@@ -41,7 +41,7 @@ def jn12(spark, d):
       {rnd("greatest(direct, inverted) * 100.0 / active_s", 2)} AS best_pct, inverted > direct AS is_inverted FROM c""",
 )
 def ag23(spark, d):
-    return evaluate.accuracy(evaluate.timeline(*_sides(spark, d)))
+    return evaluate.accuracy(evaluate.stretches(*_sides(spark, d)))
 
 
 @query(

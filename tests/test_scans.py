@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.functions.numeric import block_of
-from callweave.operators import monoid, notes, scans, signal, speakers, turns
+from callweave.operators import align, monoid, notes, scans, signal, speakers, turns
 
 
 def sequence(spark, rows, schema):
@@ -242,3 +242,27 @@ def test_merge_of_one_long_speaker(spark, block):
     df = sequence(spark, rows, "call_id long, seg_idx long, speaker string, start_time_s double, end_time_s double")
     got = [(r.speaker, r.start_time_s, r.end_time_s) for r in turns.merge_adjacent(df, block_rows=block).orderBy("seg_idx").collect()]
     assert got == merge_loop([r[2:] for r in rows])
+
+
+@pytest.mark.parametrize("bucket, block", [(3, 5), (600, 65_536)])
+def test_swept_timeline_equals_seconds(spark, bucket, block):
+    """Nested, overlapping and long turns: the stretches hold the second-by-second speakers, and there are few of them."""
+    rng = random.Random(bucket)
+    schema = "call_id long, seg_idx long, speaker string, start_time_s double, end_time_s double"
+
+    def side(n):
+        spans = [(c, i, rng.choice(["agent", "customer", "overlap"]), rng.random() * 60, rng.choice([0.2, 3, 9, 40]) * rng.random()) for c in (1, 2) for i in range(n)]
+        return [(c, i, who, a, a + d) for c, i, who, a, d in spans]
+
+    tables = {"truth": side(14), "predicted": side(9) + [(3, 0, "agent", 0.0, 86_400.0)]}
+    dfs = {k: sequence(spark, v, schema) for k, v in tables.items()}
+    horizon = sequence(spark, [(1, 50), (2, 10_000), (3, 80_000)], "call_id long, n_seconds long")
+    rows = align.swept_timeline(dfs, horizon, bucket, block).collect()
+    got = {(r.call_id, s): (r.truth, r.predicted) for r in rows if r.call_id < 3 for s in range(r.start_s, r.stop_s) if r.truth or r.predicted}
+    want = {}
+    for k, (name, turns_) in enumerate(tables.items()):
+        for c, _, who, a, b in sorted(t for t in turns_ if t[0] < 3):
+            for s in range(int(a // 1), min(int(np.ceil(b)), {1: 50, 2: 10_000}[c])):
+                want[c, s] = (who, want.get((c, s), (None, None))[1]) if k == 0 else (want.get((c, s), (None, None))[0], who)
+    assert got == want
+    assert [(r.start_s, r.stop_s) for r in rows if r.call_id == 3] == [(0, 80_000)] and len(rows) < 2 * 2 * 23 + 2
