@@ -5,7 +5,7 @@ No step brings links or components to the driver; every round is written to the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,9 @@ from callweave.llm.shingles import jaccard_counts
 BLOCK_ROWS = 400
 BLOCK_BYTES = 8_000_000
 
+#: Makes the sorted distinct hashes of a list of bodies.
+Sets = Callable[[Sequence[bytes]], list[np.ndarray]]
+
 
 def _forest(links: DataFrame) -> DataFrame:
     """Reduce the links of each task to a spanning forest: every node of a tree with the tree's least node."""
@@ -76,18 +79,24 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     return nodes
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) whose sets (id, hashes: sorted 64-bit hashes) are at least ``per_cent`` similar."""
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("hashes").alias(f"h{side}"))
+def hash_sets(bodies: Sequence[bytes]) -> list[np.ndarray]:
+    """Bodies that are sorted distinct 64-bit hashes already."""
+    return [np.frombuffer(b, np.uint64) for b in bodies]
+
+
+def confirmed(pairs: DataFrame, bodies: DataFrame, per_cent: int, sets: Sets = hash_sets) -> DataFrame:
+    """Pairs (a, b) whose sets are at least ``per_cent`` similar; ``sets`` makes them of ``bodies`` (id, body)."""
+    of = lambda side: bodies.select(F.col("id").alias(side), F.col("body").alias(f"h{side}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fine = []
-            for x, y in zip(batch["ha"], batch["hb"]):
-                both, either = jaccard_counts(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                fine.append(100 * both >= per_cent * either)
-            yield batch.loc[fine, ["a", "b"]]
+            if len(batch):
+                fine = []
+                for x, y in zip(sets(batch["ha"].tolist()), sets(batch["hb"].tolist())):
+                    both, either = jaccard_counts(x, y)
+                    fine.append(100 * both >= per_cent * either)
+                yield batch.loc[fine, ["a", "b"]]
 
     return met.mapInPandas(check, "a long, b long")
 
@@ -112,76 +121,142 @@ def shared_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return total
 
 
-def _rest(left: DataFrame, sets: DataFrame, per_cent: int, purpose: str) -> DataFrame:
-    """Links between different components that share a bucket of ``left`` (bucket, id, component, hub).
+def _agreeing(pairs: DataFrame, bodies: DataFrame, agree: int) -> DataFrame:
+    """Pairs whose signatures (``sig``, bytes) have at least ``agree`` places in common."""
+    of = lambda side: bodies.select(F.col("id").alias(side), F.col("sig").alias(f"s{side}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
 
-    Buckets that overlap form a cluster. Its members are dealt into blocks, and every pair of blocks is one group of bounded size, in which
-    all intersections come from one matrix product. A group returns the links that connect its components: fewer than it has rows.
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("sa", "sb"))
+                yield batch.loc[(x == y).sum(axis=1) >= agree, ["a", "b"]]
+
+    return met.mapInPandas(near, "a long, b long")
+
+
+def _candidates(names: list[int], sigs: list[bytes], agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of members of different components whose signatures agree often enough."""
+    name = np.array(names)
+    fits = name[:, None] != name[None, :]
+    if agree:
+        own = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+        for i in range(len(own)):
+            fits[i] &= (own[i] == own).sum(axis=1) >= agree
+    return np.nonzero(np.triu(fits))
+
+
+def _connecting(ids: list[int], names: list[int], pairs, found: dict[int, np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+    """Links among ``pairs`` of places that connect components; ``found`` has the sets of the places."""
+    places = sorted(found)
+    dense = len(pairs[0]) > 8 * len(places)
+    if dense:
+        both, row = shared_counts([found[k] for k in places]), {k: n for n, k in enumerate(places)}
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in zip(*(p.tolist() for p in pairs)):
+        x, y = root(names[i]), root(names[j])
+        if x == y:
+            continue
+        a, b = len(found[i]), len(found[j])
+        # Sets whose sizes differ too much share too little, whatever they share.
+        if 100 * min(a, b) < per_cent * max(a, b):
+            continue
+        shared = both[row[i], row[j]] if dense else jaccard_counts(found[i], found[j])[0]
+        if 100 * shared >= per_cent * (a + b - shared):
+            up[x] = y
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def _rest(left: DataFrame, bodies: DataFrame, per_cent: int, sets: Sets, agree: int) -> DataFrame:
+    """Links between different components that share a bucket of ``left`` (bucket, id, component).
+
+    Of buckets with the same members one is looked at. A bucket's members are dealt into blocks, and every pair of blocks is a group of bounded
+    size, in which many intersections come from one matrix product. A group gives the links that connect its components: fewer than it has rows. Sets
+    are made only of members that another one's signature is near to.
     """
-    edges = left.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).where("a <> b").distinct()
-    clusters = components(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), purpose)
-    members = left.select("id", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id")
-    members, old = written(members, purpose), clusters
-    discard(old)
-    members = members.join(sets, "id")
-    sizes = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int").alias("blocks")
-    )
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    size = bodies.select("id", "size")
+    per = left.join(size, "id").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *marks)
+    per = per.groupBy("n", "x1", "x2").agg(F.min(F.struct("bucket", "bytes")).alias("one"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("one.bytes") / BLOCK_BYTES)).cast("int")
+    placed = left.select("bucket", "id", "component").join(per.select("one.bucket", blocks.alias("blocks")), "bucket")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("cluster", "id", "component", "hashes", "block", other)
-    placed = placed.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component", "hashes")
-
-    def connect(group: pd.DataFrame) -> pd.DataFrame:
-        names = group["component"].to_numpy()
-        out: list[tuple] = []
-        if len(set(names.tolist())) > 1:
-            found = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
-            both = shared_counts(found)
-            size = np.array([len(f) for f in found])
-            fits = (100 * both >= per_cent * (size[:, None] + size[None, :] - both)) & (names[:, None] != names[None, :])
-            up: dict = {}
-
-            def root(x):
-                while up.setdefault(x, x) != x:
-                    x = up[x]
-                return x
-
-            ids = group["id"].to_numpy()
-            for i, j in zip(*np.nonzero(np.triu(fits))):
-                x, y = root(names[i]), root(names[j])
-                if x != y:
-                    up[x] = y
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    placed = placed.select("bucket", "id", "component", "block", other)
+    key = ["bucket", "low", "high"]
+    placed = placed.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component")
+    # Dealt by all three, so that the blocks of one bucket go to many tasks.
+    sig = F.col("sig") if agree else F.lit(None).cast("binary").alias("sig")
+    dealt = placed.join(bodies.select("id", "body", sig), "id").repartition(*key).sortWithinPartitions(*key)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def links(groups):
+            plans, need = [], []
+            for ids, names, texts, sigs in groups:
+                if len(set(names)) > 1:
+                    pairs = _candidates(names, sigs, agree)
+                    used = np.unique(np.concatenate(pairs)).tolist()
+                    if used:
+                        plans.append((ids, names, pairs, used, len(need)))
+                        need += [texts[k] for k in used]
+            made = sets(need) if need else []
+            out = []
+            for ids, names, pairs, used, begin in plans:
+                out += _connecting(ids, names, pairs, dict(zip(used, made[begin : begin + len(used)])), per_cent)
+            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+        last, held = None, ([], [], [], [])
+        for batch in batches:
+            done = []
+            rows = zip(batch["bucket"].tolist(), batch["low"].tolist(), batch["high"].tolist())
+            for now, *values in zip(rows, batch["id"].tolist(), batch["component"].tolist(), batch["body"].tolist(), batch["sig"].tolist()):
+                if now != last:
+                    done.append(held)
+                    last, held = now, ([], [], [], [])
+                for store, value in zip(held, values):
+                    store.append(value)
+            yield links(done)
+        yield links([held])
 
-    return placed.groupBy("cluster", "low", "high").applyInPandas(connect, "a long, b long")
+    return dealt.mapInPandas(compare, "a long, b long")
 
 
 def linked(
     members: DataFrame,
-    sets_of: Callable[[DataFrame], DataFrame],
+    bodies_of: Callable[[DataFrame], DataFrame],
     per_cent: int,
     *,
+    sets: Sets = hash_sets,
     near: Callable[[DataFrame], DataFrame] | None = None,
+    agree: int = 0,
     stars: int = 2,
     purpose: str = "links",
 ) -> DataFrame:
     """(id, component) of all members that some bucket brings together and whose sets are ``per_cent`` similar.
 
-    ``members`` has (bucket, id). In each of the star rounds every bucket names one of its members as hub, and
+    ``members`` has (bucket, id), repeated rows count once. In each of the star rounds every bucket names one of its members as hub, and
     only (member, hub) pairs whose components still differ are confirmed, after the cheaper test ``near``. What is left after the stars are the
     buckets that hold more than one component; there, blocks of members are compared with each other (``_rest``), so no connection is
     lost and no list of pairs is made. Copies of one text never come here: they are one member.
 
-    ``sets_of`` is called once with the distinct ids that share a bucket with another and gives their sets (id, hashes).
+    ``bodies_of`` is called once with the distinct ids that share a bucket with another and gives what their sets are made of (id, body);
+    ``sets`` makes the sorted hashes of a list of bodies. With ``agree``, bodies also have ``sig``, and only members whose signatures have that many bytes
+    in common are compared.
     """
-    found = sets = nodes = None
+    found = bodies = nodes = None
     passing: list[DataFrame] = []
     # One exchange serves both the count and the rows; buckets with a single member end here.
     dealt = members.repartition("bucket")
-    several = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = before = written(dealt.join(several, "bucket", "left_semi"), purpose)
+    several = dealt.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
+    members = before = written(dealt.join(several, "bucket", "left_semi").distinct(), purpose)
     for step in range(stars + 1):
         if nodes is None:
             placed = members.withColumn("component", F.col("id"))
@@ -196,20 +271,22 @@ def linked(
         discard(before)
         before = placed
         members = placed.select("bucket", "id")  # the other buckets are done with
-        if sets is None:
-            sets = written(sets_of(placed.select("id").distinct()), purpose)
+        if bodies is None:
+            bodies = bodies_of(placed.select("id").distinct())
+            bodies = written(bodies.withColumn("size", F.octet_length("body")), purpose)
         if step < stars:
             raw = placed.where(F.col("component") != F.col("hub.component")).select(F.col("id").alias("x"), F.col("hub.id").alias("y"))
             pairs = raw.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            # Numbers only: the sets of a pair come in with the step that compares them.
-            pairs = written(pairs if near is None else near(pairs), purpose)
-            links = written(confirmed(pairs, sets, per_cent), purpose)
+            # Numbers only: the bodies of a pair come in with the step that compares them.
+            pairs = pairs if near is None else near(pairs)
+            pairs = written(_agreeing(pairs, bodies, agree) if agree else pairs, purpose)
+            links = written(confirmed(pairs, bodies, per_cent, sets), purpose)
             discard(pairs)
         else:
-            links = written(_rest(placed, sets, per_cent, purpose), purpose)
+            links = written(_rest(placed, bodies, per_cent, sets, agree), purpose)
         found = links if found is None else found.unionByName(links)
         discard(nodes)
         nodes = components(found, purpose)
         passing.append(links)
-    discard(before, sets, *passing)
+    discard(before, bodies, *passing)
     return nodes

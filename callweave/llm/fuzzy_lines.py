@@ -1,11 +1,18 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact verification, union-find.
 
 Every distinct normalised line (as in ``units.normal``) has a MinHash signature of its character shingles, made in the
-same pass that cuts the documents; a line that repeats within a batch is signed once. BANDS bands of ROWS_PER_BAND values
-bring together lines of similarity 0.8 with probability 0.998, more similar ones with more. The members of a band key are
+same pass that cuts the documents; a line that a task has signed is not signed again. BANDS bands of ROWS_PER_BAND values
+bring together lines of similarity 0.8 with probability 0.997, more similar ones with more. The members of a band key are
 connected by stars and by blocks (``components.linked``), never by a list of all pairs, and confirmed by the exact Jaccard similarity of
 their shingle sets. Of each component the earliest line in the order (doc_id, text hash, place) stays.
 
+What is shuffled are numbers, and the texts of lines that share a band key with another; shingles are made where lines are compared.
+A line's number is half of its 128-bit digest. Should two lines have the same number, the one with the greater digest is like no other (at
+10^12 lines, a given line has that chance of 5 in 10^8).
+
+One changed character costs SHINGLE of a line's shingles, so a line of n characters and its copy share (n - 9) of (n + 1): one typo
+is caught from 49 characters on, two from 94 at the latest.
+
 Defined cases: lines without words always stay; a line shorter than a shingle is a shingle of its own; null and empty
 texts have no lines; a null id ranks before all others; repeated rows (equal id and text) are one document; rows with
 equal ids and different texts rank by the hash of the text; an empty table gives an empty result.
@@ -13,24 +20,31 @@ equal ids and different texts rank by the hash of the text; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import discard, written
+from callweave.llm.common import written
 from callweave.llm.components import linked
 from callweave.llm.shingles import _mixed
 from callweave.llm.units import digest, keyed, normal, remove_units, spans
 
-SHINGLE = 8
-BANDS = 12
-ROWS_PER_BAND = 4
+SHINGLE = 5
+BANDS = 15
+ROWS_PER_BAND = 5
 PER_CENT = 80
+#: Lines are compared if their MinHash values agree in so many places fewer than expected at the similarity asked for. Of 75 values, 60 are expected
+#: at 0.8, and fewer than 45 occur about once in 50,000 pairs.
+LESS = 15
+#: Lines are many small rows, so batches are smaller than elsewhere.
+STEP = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 #: Characters signed at once inside a task.
 PIECE = 500_000
+#: Digests that a task remembers as signed.
+SIGNED = 200_000
 
 _rng = np.random.default_rng(11)
 FLIPS = _rng.integers(1, 2**32, BANDS * ROWS_PER_BAND, dtype=np.uint32)
@@ -58,9 +72,8 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(total[whole]), np.cumsum(counts) - counts
 
 
-def band_keys(lines: list[str]) -> list[bytes]:
-    """The band keys (BANDS x 8 bytes) of non-empty lines."""
-    out: list[bytes] = []
+def _least(lines: list[str]) -> Iterator[np.ndarray]:
+    """The MinHash values of non-empty lines, one row each, some lines at a time."""
     begin = 0
     while begin < len(lines):
         end, size = begin, 0
@@ -70,37 +83,57 @@ def band_keys(lines: list[str]) -> list[bytes]:
         hashes, starts = shingle_hashes(lines[begin:end])
         short = (hashes >> np.uint64(32)).astype(np.uint32)
         with np.errstate(over="ignore"):
-            least = np.stack([np.minimum.reduceat((short ^ f) * m, starts) for f, m in zip(FLIPS, FACTORS)], axis=1)
+            yield np.stack([np.minimum.reduceat((short ^ f) * m, starts) for f, m in zip(FLIPS, FACTORS)], axis=1)
+        begin = end
+
+
+def band_keys(lines: list[str]) -> list[bytes]:
+    """The band keys (BANDS x 8 bytes) of non-empty lines."""
+    out: list[bytes] = []
+    for least in _least(lines):
+        with np.errstate(over="ignore"):
             values = least.astype(np.uint64).reshape(-1, BANDS, ROWS_PER_BAND) + np.uint64(1)
             keys = _mixed((values * SALTS).sum(axis=2) + SALTS[:, 0])
         out += [row.tobytes() for row in keys]
-        begin = end
     return out
 
 
+def signatures(lines: list[str]) -> list[bytes]:
+    """A byte of every MinHash value of non-empty lines."""
+    return [row.tobytes() for least in _least(lines) for row in (least >> np.uint32(12)).astype(np.uint8)]
+
+
 def signed_units(keys: DataFrame, unit: str = "line") -> DataFrame:
-    """(id, mark, place, start, end, digest, bands); bands only where a batch has the line first."""
+    """(id, mark, place, start, end, digest, node, bands); bands only where a task has the line first."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["id", "mark", "place", "start", "end", "digest", "bands"]
+        names = ["id", "mark", "place", "start", "end", "digest", "node", "bands"]
+        signed: set[bytes] = set()
         for batch in batches:
             rows: list[tuple] = []
             fresh: dict[bytes, str] = {}
+            if len(signed) > SIGNED:
+                signed = set()
             for key, mark, text in zip(batch["id"], batch["mark"], batch["text"]):
                 for place, (start, end) in enumerate(spans(text, unit)):
                     words = normal(text[start:end])
                     if words:
                         d = digest(words)
-                        rows.append((key, mark, place, start, end, d, d not in fresh))
-                        fresh.setdefault(d, words)
+                        rows.append((key, mark, place, start, end, d, d not in signed))
+                        if d not in signed:
+                            signed.add(d)
+                            fresh[d] = words
             bands = dict(zip(fresh, band_keys(list(fresh.values()))))
             for begin in range(0, len(rows), 20_000):
-                yield pd.DataFrame([(*r[:6], bands[r[5]] if r[6] else None) for r in rows[begin : begin + 20_000]], columns=names)
+                some = rows[begin : begin + 20_000]
+                nodes = np.frombuffer(b"".join([r[5] for r in some]), np.int64)[::2].tolist()
+                yield pd.DataFrame([(*r[:6], node, bands[r[5]] if r[6] else None) for r, node in zip(some, nodes)], columns=names)
 
-    return keys.select("id", "mark", "text").mapInPandas(cut, "id long, mark long, place int, start int, end int, digest binary, bands binary")
+    schema = "id long, mark long, place int, start int, end int, digest binary, node long, bands binary"
+    return keys.select("id", "mark", "text").mapInPandas(cut, schema)
 
 
-def _band_members(lines: DataFrame) -> DataFrame:
+def _band_members(units: DataFrame) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -108,45 +141,60 @@ def _band_members(lines: DataFrame) -> DataFrame:
                 for band in range(BANDS):
                     yield pd.DataFrame({"bucket": keys[:, band], "id": batch["node"]})
 
-    return lines.select("node", "bands").mapInPandas(each, "bucket long, id long")
+    return units.where(F.col("bands").isNotNull()).select("node", "bands").mapInPandas(each, "bucket long, id long")
+
+
+def shingle_sets(bodies: Sequence[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of normalised lines in UTF-8."""
+    out: list[np.ndarray] = []
+    begin = 0
+    while begin < len(bodies):
+        end, size = begin, 0
+        while end < len(bodies) and (end == begin or size + len(bodies[end]) <= PIECE):
+            size += len(bodies[end])
+            end += 1
+        hashes, starts = shingle_hashes([b.decode("utf-8", "surrogatepass") for b in bodies[begin:end]])
+        out += [np.unique(h) for h in np.split(hashes, starts[1:])]
+        begin = end
+    return out
 
 
 def later_lines(keys: DataFrame, unit: str = "line", per_cent: int = PER_CENT) -> DataFrame:
-    """The units (id, mark, start, end) that are like an earlier one."""
-    units = written(signed_units(keys, unit), "units")
+    """The units (id, mark, start, end, later) that are like an earlier one; all of them are later."""
+    units = written(signed_units(keys, unit), "units", STEP)
     rank = F.struct("id", "mark", "place")
     lines = units.groupBy("digest").agg(
-        F.min(F.struct("id", "mark", "place", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("bands").alias("bands")
+        F.min(F.struct("id", "mark", "place", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("node").alias("node")
     )
-    # The number is fixed by writing it.
-    lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "lines")
-    units, old = written(units.drop("bands"), "units"), units
-    discard(old)
+    lines = written(lines, "lines")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        places = lines.join(ids.withColumnRenamed("id", "node"), "node").select("node", "first.id", "first.mark", "first.start", "first.end")
+    def bodies_of(ids: DataFrame) -> DataFrame:
+        found = lines.join(ids.withColumnRenamed("id", "node"), "node").groupBy("node").agg(F.min(F.struct("digest", "first")).alias("x"))
+        places = found.select("node", *[f"x.first.{c}" for c in ("id", "mark", "start", "end")])
         texts = keys.select("id", "mark", "text").join(places, ["id", "mark"])
-        # Repeated rows give a line more than once. The short lines are shuffled for that, not their sets.
-        bodies = texts.select("node", F.expr("substring(text, start + 1, end - start)").alias("body")).dropDuplicates(["node"])
+        # Repeated rows give a line more than once.
+        raw = texts.select("node", F.expr("substring(text, start + 1, end - start)").alias("body")).dropDuplicates(["node"])
 
-        def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                sets = [np.unique(shingle_hashes([normal(t)])[0]).tobytes() for t in batch["body"]]
-                yield pd.DataFrame({"id": batch["node"].to_numpy(), "hashes": sets})
+                lines = [normal(t) for t in batch["body"]]
+                yield pd.DataFrame({"id": batch["node"], "body": [t.encode("utf-8", "surrogatepass") for t in lines], "sig": signatures(lines)})
 
-        return bodies.mapInPandas(hashes, "id long, hashes binary")
+        return raw.mapInPandas(bodies, "id long, body binary, sig binary")
 
-    nodes = linked(_band_members(lines), sets_of, per_cent, stars=1, purpose="lines")
-    lines, old = written(lines.drop("bands"), "lines"), lines
-    discard(old)
-    placed = lines.select("digest", "first", "n", "node").join(nodes.withColumnRenamed("id", "node"), "node", "left")
-    linked_lines = placed.where(F.col("component").isNotNull())
+    agree = max(0, BANDS * ROWS_PER_BAND * per_cent // 100 - LESS)
+    nodes = linked(_band_members(units), bodies_of, per_cent, sets=shingle_sets, agree=agree, stars=1, purpose="lines")
+    met = lines.join(nodes.withColumnRenamed("id", "node"), "node")
+    # Of lines with one number the least digest is the one that was compared.
+    own = met.groupBy("node").agg(F.min("digest").alias("digest"))
+    linked_lines = written(met.select("digest", "first", "component").join(own.select("digest"), "digest", "left_semi"), "linked")
     firsts = linked_lines.groupBy("component").agg(F.min("first").alias("least"))
     # Lines that stay everywhere are left out: they occur once and are like no other.
     some = linked_lines.join(firsts, "component").select("digest", F.col("least").alias("first"))
-    some = some.unionByName(placed.where(F.col("component").isNull() & (F.col("n") > 1)).select("digest", "first"))
-    met = units.join(some, "digest")
-    return met.where(rank != F.struct("first.id", "first.mark", "first.place")).select("id", "mark", "start", "end")
+    alone = lines.where(F.col("n") > 1).select("digest", "first").join(linked_lines.select("digest"), "digest", "left_anti")
+    found = units.select("id", "mark", "place", "start", "end", "digest").join(some.unionByName(alone), "digest")
+    gone = found.where(rank != F.struct("first.id", "first.mark", "first.place"))
+    return gone.select("id", "mark", "start", "end", F.lit(True).alias("later"))
 
 
 def dedup(docs: DataFrame, unit: str = "line", per_cent: int = PER_CENT) -> DataFrame:
@@ -191,7 +239,7 @@ WITH RECURSIVE docs AS (
 ), lines AS (
   SELECT words, row_number() OVER (ORDER BY words) AS node, min(row(doc_id, place)) AS first FROM units WHERE words <> '' GROUP BY words
 ), shingles AS (
-  SELECT DISTINCT node, unnest(CASE WHEN length(words) < 8 THEN [words] ELSE [words[i:i + 7] FOR i IN generate_series(1, length(words) - 7)] END) AS s FROM lines
+  SELECT DISTINCT node, unnest(CASE WHEN length(words) < 5 THEN [words] ELSE [words[i:i + 4] FOR i IN generate_series(1, length(words) - 4)] END) AS s FROM lines
 ), sizes AS (
   SELECT node, count(*) AS n FROM shingles GROUP BY node
 ), shared AS (

@@ -12,7 +12,7 @@ and all pairs of a block are confirmed on the full shingle sets. Buckets and lin
 folder, and copies of one set are a single member.
 
 Defined cases: null texts and texts without words have no shingles and stand alone; rows with equal id and text are
-one document; a null id ranks after all others; an empty table gives an empty result.
+one document and have the same result, one row each; a null id ranks after all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def _within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def groups(keys: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """(id, mark, n_shingles, first_id, first_mark) for each distinct document of ``keys`` (id, mark, text).
+    """(id, mark, n_shingles, first_id, first_mark) for each row of ``keys`` (id, mark, text).
 
     ``first_id`` and ``first_mark`` name the least document of its component.
     """
@@ -120,10 +120,10 @@ def groups(keys: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
                 for begin in range(0, len(batch), ROWS):
                     part = batch.iloc[begin : begin + ROWS]
                     sets = shingle_sets(part["text"].tolist(), SHINGLE)
-                    yield pd.DataFrame({"id": part["node"].to_numpy(), "hashes": [s.tobytes() for s in sets]})
+                    yield pd.DataFrame({"id": part["node"].to_numpy(), "body": [s.tobytes() for s in sets]})
 
         # Rows with equal id and text make the same set more than once.
-        return texts.mapInPandas(hashes, "id long, hashes binary").dropDuplicates(["id"])
+        return texts.mapInPandas(hashes, "id long, body binary").dropDuplicates(["id"])
 
     near = lambda pairs: _within_distance(pairs, classes)
     nodes = linked(chunk_keys(classes), sets_of, per_cent, near=near, purpose="near")
@@ -134,7 +134,7 @@ def groups(keys: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     out = signed.join(placed, "digest", "left")
     return out.select(
         "id", "mark", "n_shingles", F.coalesce("first.id", "id").alias("first_id"), F.coalesce("first.mark", "mark").alias("first_mark")
-    ).distinct()
+    )
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -152,11 +152,13 @@ def keep_one(docs: DataFrame, per_cent: int = 80) -> DataFrame:
 
 def keep_one_row(docs: DataFrame, per_cent: int = 80) -> DataFrame:
     """One row of each component: of rows with equal id and text, and of null ids with equal texts, a single one stays."""
-    kept = written(keep_one(docs, per_cent).withColumn("row_number__", F.monotonically_increasing_id()), "kept")
-    keys = kept.select("row_number__", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = written(keep_one(docs, per_cent).select(row, F.monotonically_increasing_id().alias("number")), "kept")
+    mark = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    keys = kept.select("number", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("id"), mark.alias("mark"))
     # The sums before the exchange leave one row per key and task.
-    ones = keys.groupBy("id", "mark").agg(F.min("row_number__").alias("row_number__"))
-    return kept.join(ones.select("row_number__"), "row_number__", "left_semi").drop("row_number__")
+    ones = keys.groupBy("id", "mark").agg(F.min("number").alias("number"))
+    return kept.join(ones.select("number"), "number", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_near_dups(spark, folder: str) -> DataFrame:
