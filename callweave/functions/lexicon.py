@@ -199,6 +199,15 @@ STAGE_SLICES = {
 JOB_STAGES = ["denoise", "diarize", "stt", "acoustic", "text_emo", "compliance", "fusion", "qa", "crm"]
 JOB_TTL_SECONDS = 86_400
 
+# --- sentences of notes (fixed values) ---------------------------------------------------------
+NO_VIOLATIONS = "No violations detected."
+VIOLATIONS_FOUND = " violation(s) found ("
+VIOLATIONS_BY_AGENT = " by agent)."
+ACTION_NONE = "No action required. Call met quality standards."
+ACTION_REVIEW = "Flag for compliance review. Agent violations detected."
+ACTION_COACHING = "Schedule coaching session. Low QA score."
+ACTION_MONITOR = "Monitor. Call requires periodic review."
+
 # --- transcript store fingerprint (fixed values) -----------------------------------------------
 STORE_TTL_DAYS = 30
 STORE_CONFIG = {

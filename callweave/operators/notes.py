@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.functions import lexicon
 from callweave.functions.numeric import block_of, steady
 from callweave.functions.rules import is_agent
 from callweave.functions.text import SENTENCE_END, SPACE, is_blank, strip, tokens
@@ -161,17 +162,17 @@ def with_findings(summary: Column, flags: Column, dominant: Column) -> Column:
 
 
 def compliance_sentence(total: Column, by_agent: Column) -> Column:
-    return F.when(total == 0, "No violations detected.").otherwise(
-        F.concat(total.cast("string"), F.lit(" violation(s) found ("), by_agent.cast("string"), F.lit(" by agent)."))
+    return F.when(total == 0, lexicon.NO_VIOLATIONS).otherwise(
+        F.concat(total.cast("string"), F.lit(lexicon.VIOLATIONS_FOUND), by_agent.cast("string"), F.lit(lexicon.VIOLATIONS_BY_AGENT))
     )
 
 
 def recommended_action(total: Column, by_agent: Column, grade: Column) -> Column:
     return (
-        F.when((total == 0) & grade.isin("A", "B"), "No action required. Call met quality standards.")
-        .when((total > 0) & (by_agent > 0), "Flag for compliance review. Agent violations detected.")
-        .when(grade == "D", "Schedule coaching session. Low QA score.")
-        .otherwise("Monitor. Call requires periodic review.")
+        F.when((total == 0) & grade.isin("A", "B"), lexicon.ACTION_NONE)
+        .when((total > 0) & (by_agent > 0), lexicon.ACTION_REVIEW)
+        .when(grade == "D", lexicon.ACTION_COACHING)
+        .otherwise(lexicon.ACTION_MONITOR)
     )
 
 
