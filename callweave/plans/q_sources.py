@@ -116,7 +116,9 @@ def io7(spark, d):
 
 @query(
     "io7_all_slices",
-    None,
+    r"""SELECT event_id::VARCHAR AS filename, stage, CASE WHEN stage IN ('denoise', 'compliance') THEN '{}' WHEN stage IN ('qa-score', 'crm-note')
+       THEN '{"qa":"' || replace(json(props)::VARCHAR, '"', '\"') || '"}' ELSE '{"segments":"[]"}' END AS slice
+       FROM events, (VALUES ('denoise'), ('diarize'), ('transcribe'), ('emotion'), ('compliance'), ('qa-score'), ('crm-note')) s(stage)""",
 )
 def io7all(spark, d):
     docs = standins.table(spark, d, "events").select(
