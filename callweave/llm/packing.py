@@ -38,13 +38,15 @@ OPEN = 1024
 #: Pieces for each packer.
 SHARE = 30_000
 #: Chunks whose tokens a task remembers.
-MEMO = 400_000
+MEMO = 800_000
 #: Characters of texts that are encoded at once.
 BATCH = 4_000_000
 #: Sequence numbers of a packer.
 NUMBERS = 2**40
 
 CHUNK = re.compile(r"(?<=\S)(?=[ \n])")
+#: A word whose signs at the end are encoded apart: after a letter or digit a pre-tokeniser cuts before any sign but an apostrophe.
+SIGNS = re.compile(r"(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
 #: Words that are encoded as one text, a line end between them.
 JOINED = 2000
 
@@ -66,42 +68,55 @@ class Encoder:
     def _ids(self, chunks: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], distinct: set[str]) -> dict[str, bytes]:
-        """``known`` with the tokens of all ``distinct``; words stand for themselves and a space before them."""
+    def _chunks(self, distinct: set[str]) -> dict[str, bytes]:
+        """The tokens of chunks."""
+        known = self.chunks
         if len(known) + len(distinct) > MEMO:
-            old = dict(known)
-            known.clear()
-            known.update((c, old[c]) for c in distinct if c in old)
+            known = self.chunks = {}
         fresh = [c for c in distinct if c not in known]
-        if known is self.chunks:
-            known.update((c, ids.tobytes()) for c, ids in zip(fresh, self._ids(fresh)))
-            return known
+        known.update((c, ids.tobytes()) for c, ids in zip(fresh, self._ids(fresh)))
+        return known
+
+    def _words(self, distinct: set[str]) -> dict[str, bytes]:
+        """The tokens of words, each with a space before it unless it begins with a line end."""
+        known = self.words
+        if len(known) + 2 * len(distinct) > MEMO:
+            known = self.words = {c: known[c] for c in distinct if c in known}
+        fresh = distinct.difference(known)
+        parts = {w: m.groups() for w in fresh if (m := SIGNS.fullmatch(w))}
+        signs = self._chunks({tail for _, tail in parts.values()})
+        self._encode(known, {*fresh.difference(parts), *[w for w, _ in parts.values()]}.difference(known))
+        known.update((w, known[head] + signs[tail]) for w, (head, tail) in parts.items())
+        return known
+
+    def _encode(self, known: dict[str, bytes], fresh: set[str]) -> None:
         # A word between line ends is cut there if it begins with no white space; a line end is then a token of its own.
         plain = [w for w in fresh if self.gap is not None and not w[0].isspace()]
         for begin in range(0, len(plain), JOINED):
             some = plain[begin : begin + JOINED]
-            ids = self._ids(["\n".join([" " + w for w in some])])[0]
+            ids = self._ids([" " + "\n ".join(some)])[0]
             ends = [*(np.flatnonzero(ids == self.gap) * 4).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
             known.update(zip(some, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
         others = [w for w in fresh if w not in known]
         spaced = [w if w[0] == "\n" else " " + w for w in others]
         known.update((w, ids.tobytes()) for w, ids in zip(others, self._ids(spaced)))
-        return known
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
         # Every line end begins a word of its own, so that words are what stands between single spaces.
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
-        words = set().union(*[p[1:] for p in parts])
+        heads = [p.pop(0) for p in parts]
+        words = set().union(*parts)
         # A space after white space does not begin a chunk.
         unsafe = {w for w in words if not w or w[-1].isspace()}
-        plain = [not (p[0][-1:].isspace() or not p[0]) and unsafe.isdisjoint(p[1:]) for p in parts]
-        split = [[p[0]] if ok else CHUNK.split(t) if t else [] for t, p, ok in zip(texts, parts, plain)]
-        chunks = self._learn(self.chunks, set().union(*split))
-        known = self._learn(self.words, words - unsafe)
+        safe = lambda head, part: head and not head[-1].isspace() and (not unsafe or unsafe.isdisjoint(part))
+        plain = [bool(safe(h, p)) for h, p in zip(heads, parts)]
+        split = [[h] if ok else CHUNK.split(t) if t else [] for t, h, ok in zip(texts, heads, plain)]
+        known = self._words(words - unsafe)
+        chunks = self._chunks(set().union(*split))
         for part, first, ok in zip(parts, split, plain):
             head = b"".join([chunks[c] for c in first])
-            yield head + b"".join(map(known.__getitem__, part[1:])) if ok else head
+            yield head + b"".join(map(known.__getitem__, part)) if ok else head
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
