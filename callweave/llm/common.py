@@ -33,8 +33,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def written(df: DataFrame, purpose: str, settings: dict[str, str] | None = None) -> DataFrame:
-    """Write a step's result to the shared folder and read it back; ``settings`` hold for this step.
+def written(df: DataFrame, purpose: str, settings: dict[str, str] | None = None, kinds: str | None = None) -> DataFrame:
+    """Write a step's result to the shared folder and read it back; ``settings`` hold for this step. ``kinds``: a column to lay rows out by.
 
     It cuts the lineage: a lost executor costs no earlier step. The shuffle files of the step go as
     soon as it has ended.
@@ -46,7 +46,7 @@ def written(df: DataFrame, purpose: str, settings: dict[str, str] | None = None)
     try:
         for key, value in step.items():
             spark.conf.set(key, value)
-        df.write.parquet(path)
+        (df.write.partitionBy(kinds) if kinds else df.write).parquet(path)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
@@ -55,12 +55,12 @@ def written(df: DataFrame, purpose: str, settings: dict[str, str] | None = None)
     return out
 
 
-def discard(*frames: DataFrame | None) -> None:
-    """Delete tables that ``written`` has made and that no later step reads."""
+def discard(*frames: DataFrame | None, kind: str = "") -> None:
+    """Delete tables that ``written`` has made and that no later step reads, or one kind of their rows (``column=value``)."""
     for df in frames:
         if df is not None and "_written_at" in df.__dict__:
             jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(df._written_at)
+            where = jvm.org.apache.hadoop.fs.Path(f"{df._written_at}/{kind}" if kind else df._written_at)
             where.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(where, True)
 
 

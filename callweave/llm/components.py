@@ -239,6 +239,7 @@ def linked(
     agree: int = 0,
     stars: int = 2,
     purpose: str = "links",
+    met: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """(id, component) of all members that some bucket brings together and whose sets are ``per_cent`` similar.
 
@@ -249,7 +250,7 @@ def linked(
 
     ``bodies_of`` is called once with the distinct ids that share a bucket with another and gives what their sets are made of (id, body);
     ``sets`` makes the sorted hashes of a list of bodies. With ``agree``, bodies also have ``sig``, and only members whose signatures have that many bytes
-    in common are compared.
+    in common are compared. ``met`` is called when ``members`` has been read for the last time.
     """
     found = bodies = nodes = None
     passing: list[DataFrame] = []
@@ -257,6 +258,7 @@ def linked(
     dealt = members.repartition("bucket")
     several = dealt.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
     members = before = written(dealt.join(several, "bucket", "left_semi").distinct(), purpose)
+    met()
     for step in range(stars + 1):
         if nodes is None:
             placed = members.withColumn("component", F.col("id"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import written
+from callweave.llm.common import discard, written
 from callweave.llm.components import linked
 from callweave.llm.shingles import _mixed
 from callweave.llm.units import digest, keyed, normal, remove_units, spans
@@ -104,10 +104,11 @@ def signatures(lines: list[str]) -> list[bytes]:
 
 
 def signed_units(keys: DataFrame, unit: str = "line") -> DataFrame:
-    """(id, mark, place, start, end, digest, node, bands); bands only where a task has the line first."""
+    """Units (id, mark, place, start, end, digest, node; kind 0), and (node, bands; kind 1) of lines that a task has first."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["id", "mark", "place", "start", "end", "digest", "node", "bands"]
+        names = ["id", "mark", "place", "start", "end", "digest", "node", "bands", "kind"]
+        number = lambda digests: np.frombuffer(b"".join(digests), np.int64)[::2].tolist()
         signed: set[bytes] = set()
         for batch in batches:
             rows: list[tuple] = []
@@ -119,21 +120,22 @@ def signed_units(keys: DataFrame, unit: str = "line") -> DataFrame:
                     words = normal(text[start:end])
                     if words:
                         d = digest(words)
-                        rows.append((key, mark, place, start, end, d, d not in signed))
+                        rows.append((key, mark, place, start, end, d))
                         if d not in signed:
                             signed.add(d)
                             fresh[d] = words
-            bands = dict(zip(fresh, band_keys(list(fresh.values()))))
             for begin in range(0, len(rows), 20_000):
                 some = rows[begin : begin + 20_000]
-                nodes = np.frombuffer(b"".join([r[5] for r in some]), np.int64)[::2].tolist()
-                yield pd.DataFrame([(*r[:6], node, bands[r[5]] if r[6] else None) for r, node in zip(some, nodes)], columns=names)
+                yield pd.DataFrame([(*r, node, None, 0) for r, node in zip(some, number([r[5] for r in some]))], columns=names)
+            made = list(zip(number(fresh), band_keys(list(fresh.values()))))
+            for begin in range(0, len(made), 20_000):
+                yield pd.DataFrame([(0, 0, 0, 0, 0, None, node, bands, 1) for node, bands in made[begin : begin + 20_000]], columns=names)
 
-    schema = "id long, mark long, place int, start int, end int, digest binary, node long, bands binary"
+    schema = "id long, mark long, place int, start int, end int, digest binary, node long, bands binary, kind int"
     return keys.select("id", "mark", "text").mapInPandas(cut, schema)
 
 
-def _band_members(units: DataFrame) -> DataFrame:
+def _band_members(signed: DataFrame) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -141,7 +143,7 @@ def _band_members(units: DataFrame) -> DataFrame:
                 for band in range(BANDS):
                     yield pd.DataFrame({"bucket": keys[:, band], "id": batch["node"]})
 
-    return units.where(F.col("bands").isNotNull()).select("node", "bands").mapInPandas(each, "bucket long, id long")
+    return signed.where("kind = 1").select("node", "bands").mapInPandas(each, "bucket long, id long")
 
 
 def shingle_sets(bodies: Sequence[bytes]) -> list[np.ndarray]:
@@ -161,7 +163,8 @@ def shingle_sets(bodies: Sequence[bytes]) -> list[np.ndarray]:
 
 def later_lines(keys: DataFrame, unit: str = "line", per_cent: int = PER_CENT) -> DataFrame:
     """The units (id, mark, start, end, later) that are like an earlier one; all of them are later."""
-    units = written(signed_units(keys, unit), "units", STEP)
+    signed = written(signed_units(keys, unit), "units", STEP, "kind")
+    units = signed.where("kind = 0").drop("kind", "bands")
     rank = F.struct("id", "mark", "place")
     lines = units.groupBy("digest").agg(
         F.min(F.struct("id", "mark", "place", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("node").alias("node")
@@ -183,7 +186,7 @@ def later_lines(keys: DataFrame, unit: str = "line", per_cent: int = PER_CENT) -
         return raw.mapInPandas(bodies, "id long, body binary, sig binary")
 
     agree = max(0, BANDS * ROWS_PER_BAND * per_cent // 100 - LESS)
-    nodes = linked(_band_members(units), bodies_of, per_cent, sets=shingle_sets, agree=agree, stars=1, purpose="lines")
+    nodes = linked(_band_members(signed), bodies_of, per_cent, sets=shingle_sets, agree=agree, stars=1, purpose="lines", met=lambda: discard(signed, kind="kind=1"))
     met = lines.join(nodes.withColumnRenamed("id", "node"), "node")
     # Of lines with one number the least digest is the one that was compared.
     own = met.groupBy("node").agg(F.min("digest").alias("digest"))
