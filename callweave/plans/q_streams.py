@@ -15,10 +15,16 @@ from callweave.sources.store import read_results
 from callweave.streaming import metrics, progress, sinks
 
 
+def arriving(spark, d, name):
+    """A table as a file stream, be it one file or a folder of files.
+
+    The glob stands for exactly that name; a plain path would have to be a folder.
+    """
+    return spark.readStream.schema(standins.table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def event_stream(spark, d):
-    """The events table as a file stream."""
-    schema = standins.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return arriving(spark, d, "events")
 
 
 PROGRESS = f"""{EVT}, cr AS (SELECT filename, max((event_time, seq)) AS c FROM evt WHERE status = 'created' GROUP BY filename),
@@ -92,9 +98,7 @@ def st4s(spark, d):
 def st5(spark, d):
     """Documents arriving as calls over many days; a content that arrives again is not processed again."""
     base = scratch_folder(spark, "ingest")
-    schema = standins.table(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    arrivals = docs.select(
+    arrivals = arriving(spark, d, "documents").select(
         F.sha1("text").alias("content_sha1"), F.timestamp_seconds(F.col("doc_id") % 300 * 86_400 + 1_700_000_000).alias("event_time")
     )
     sinks.append_new_stream(arrivals, base + "/table", base + "/ckpt").awaitTermination()

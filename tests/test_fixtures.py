@@ -395,3 +395,16 @@ def test_a_call_is_new_only_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         sinks.append_new_stream(spark.readStream.schema(schema).parquet(src), out, ckpt).awaitTermination()
     assert sorted(r.content_sha1 for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_streams_read_a_table_of_one_file_and_of_many(spark, tmp_path):
+    from callweave.plans import q_streams
+
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    folder = tmp_path / "one"
+    folder.mkdir()
+    docs.toPandas().to_parquet(folder / "documents.parquet")
+    docs.where("doc_id = 0").toPandas().to_parquet(folder / "documents.parquet.old")
+    for d in ("many", "one"):
+        assert q_streams.st5(spark, str(tmp_path / d)).count() == 3
