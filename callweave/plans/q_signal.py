@@ -11,7 +11,7 @@ from callweave.plans.oracle import SIG, rnd
 from callweave.plans.registry import query
 
 VAD = f"""{SIG}, fl AS (SELECT call_id, quantile_cont(rms, 0.1) AS noise_floor FROM fr GROUP BY call_id),
-va AS (SELECT f.*, rms > noise_floor * 1.5 AS speech, noise_floor FROM fr f JOIN fl ON f.call_id = fl.call_id)"""
+va AS (SELECT f.*, round(rms, 10) > round(noise_floor * 1.5, 10) AS speech, noise_floor FROM fr f JOIN fl ON f.call_id = fl.call_id)"""
 FRAME_S, GAP_S = 0.5, 0.5
 
 

@@ -397,6 +397,28 @@ def test_a_call_is_new_only_once(spark, tmp_path):
     assert sorted(r.content_sha1 for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("low, high, at", [(25, 35, 39), (26, 26, 39), (50, 70, 78), (57, 87, 90)])
+def test_a_frame_right_at_the_threshold_is_no_speech(spark, tmp_path, low, high, at):
+    """Of twelve values the 10th percentile is low + (high - low) / 10, and 1.5 times that the third number, by hand."""
+    import datetime
+
+    import duckdb
+
+    from callweave.plans.registry import ORACLES
+
+    start = datetime.datetime(2024, 1, 1)
+    values = [low, low, high, *[at] * 8, at + 1]
+    rows = [(i, start + datetime.timedelta(seconds=i), 1, "view", v / 100.0, "") for i, v in enumerate(values)]
+    pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    pdf.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    load()
+    got = [r.speech for r in QUERIES["ag13_speech_frames"](spark, str(tmp_path)).orderBy("frame_idx").collect()]
+    assert got == [False] * 11 + [True]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    assert [r[2] for r in sorted(con.execute(ORACLES["ag13_speech_frames"]).fetchall())] == got
+
+
 def test_streams_read_a_table_of_one_file_and_of_many(spark, tmp_path):
     from callweave.plans import q_streams
 
