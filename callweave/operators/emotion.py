@@ -44,7 +44,8 @@ def lexicon_scorer(
     """Scorer from word weights: softmax over the summed weight per label.
 
     ``weights`` maps a word to (label, weight). A text without any listed word is neutral with
-    confidence 0. Ties go to the label that comes first in the alphabet.
+    confidence 0. Ties go to the label that comes first in the alphabet; sums are taken to 9 digits and
+    shares compared to 12, so the order of summation decides none.
     """
     labels = sorted({label for label, _ in weights.values()})
 
@@ -62,16 +63,16 @@ def lexicon_scorer(
             .groupBy(*keys)
             .agg(*[F.sum(F.when(F.col("w_label") == lab, F.col("w")).otherwise(0.0)).alias(f"__s_{lab}") for lab in labels])
         )
-        sums = F.array(*[F.col(f"__s_{lab}") for lab in labels])
+        sums = F.array(*[F.round(F.col(f"__s_{lab}"), 9) for lab in labels])
         exps = F.transform(sums, lambda x: F.exp(x - F.array_max(sums)))
         hits = hits.select(*keys, exps.alias("__e"))
         hits = hits.withColumn("__p", F.transform("__e", lambda x: x / total(F.col("__e"))))
         names = F.array(*[F.lit(lab) for lab in labels])
-        best = F.array_max("__p")
+        compared = F.transform("__p", lambda x: F.round(x, 12))
         hits = hits.select(
             *keys,
-            F.element_at(names, F.array_position("__p", best).cast("int")).alias("label"),
-            best.alias("confidence"),
+            F.element_at(names, F.array_position(compared, F.array_max(compared)).cast("int")).alias("label"),
+            F.array_max("__p").alias("confidence"),
             F.map_from_arrays(names, F.transform("__p", lambda x: steady(x, 4))).alias("all_scores"),
         )
         return (

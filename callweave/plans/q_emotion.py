@@ -161,7 +161,7 @@ _LABELS = sorted({lab for lab, _ in WORD_WEIGHTS.values()})
     "ud1_lexicon_scorer",
     rf"""WITH {DOC}, lx AS {values([(w, lab, x) for w, (lab, x) in WORD_WEIGHTS.items()], "tok, lab, w")},
     t AS (SELECT call_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS tok FROM doc),
-    s AS (SELECT call_id, lab, sum(w::DOUBLE) AS s FROM t JOIN lx ON t.tok = lx.tok GROUP BY call_id, lab),
+    s AS (SELECT call_id, lab, round(sum(w::DOUBLE), 9) AS s FROM t JOIN lx ON t.tok = lx.tok GROUP BY call_id, lab),
     c AS (SELECT DISTINCT call_id FROM s),
     f AS (SELECT c.call_id, l.lab, coalesce(s.s, 0.0) AS s FROM c, (SELECT DISTINCT lab FROM lx) l LEFT JOIN s ON s.call_id = c.call_id AND s.lab = l.lab),
     e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY call_id)) AS e FROM f),

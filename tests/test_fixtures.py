@@ -397,6 +397,14 @@ def test_a_call_is_new_only_once(spark, tmp_path):
     assert sorted(r.content_sha1 for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_equal_sums_of_weights_are_a_tie(spark):
+    """Seventy times 0.1 and once 7.0 weigh the same; the label that comes first in the alphabet wins."""
+    scorer = emotion.lexicon_scorer({"a": ("sadness", 7.0), "b": ("joy", 0.1)}, ("call_id",))
+    rows = [(1, "a" + " b" * 70), (2, "b " * 70 + "a"), (3, "b " * 69 + "a")]
+    got = {r.call_id: (r.label, round(r.confidence, 6)) for r in scorer(spark.createDataFrame(rows, "call_id long, scoring_text string")).collect()}
+    assert got == {1: ("joy", 0.5), 2: ("joy", 0.5), 3: ("sadness", round(1 / (1 + math.exp(-0.1)), 6))}
+
+
 @pytest.mark.parametrize("low, high, at", [(25, 35, 39), (26, 26, 39), (50, 70, 78), (57, 87, 90)])
 def test_a_frame_right_at_the_threshold_is_no_speech(spark, tmp_path, low, high, at):
     """Of twelve values the 10th percentile is low + (high - low) / 10, and 1.5 times that the third number, by hand."""
