@@ -57,11 +57,18 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def keyword_hits(lowered: Column, keywords: Sequence[str]) -> Column:
-    """Keywords contained in the text, in dictionary order."""
-    return F.array_compact(
-        F.array(*[F.when(F.contains(lowered, F.lit(k)), F.lit(k)) for k in dict.fromkeys(keywords)])
-    ).cast("array<string>")
+def _is_devanagari(char: str) -> bool:
+    return "\u0900" <= char <= "\u097f"
+
+
+def keyword_hits(lowered: Column, keywords: Sequence[str], devanagari: Column | None = None) -> Column:
+    """Keywords contained in the text, in dictionary order; ``devanagari`` spares texts without such letters the keywords that have some."""
+
+    def hit(word: str) -> Column:
+        found = F.contains(lowered, F.lit(word))
+        return devanagari & found if devanagari is not None and any(map(_is_devanagari, word)) else found
+
+    return F.array_compact(F.array(*[F.when(hit(k), F.lit(k)) for k in dict.fromkeys(keywords)])).cast("array<string>")
 
 
 def folded(text: Column) -> Column:
@@ -116,7 +123,7 @@ def scan_columns(turns: DataFrame, policy: Policy = DEFAULT_POLICY, text: str =
     hits = lambda ps: pattern_hits(body, ps, F.col("__fold"), F.col("__dev"))
     out = out.withColumns(
         {
-            "exact": keyword_hits(F.col("__low"), policy.keywords),
+            "exact": keyword_hits(F.col("__low"), policy.keywords, F.col("__dev")),
             "__c": hits(policy.compounds),
             "__t": hits(policy.threats),
             **{f"reg_{k}": hits(ps) for k, ps in policy.regulatory.items()},
@@ -157,38 +164,63 @@ def _direct_rows(policy: Policy) -> list[Column]:
     ]
 
 
-def _near_keywords(token: Column, policy: Policy) -> Column:
-    """Keywords one or two edits from a token, in dictionary order: array of (keyword, distance).
+def _reach_table(policy: Policy, devanagari: bool) -> Column | None:
+    """Map literal from token length to the keywords that such a token can reach, in dictionary order.
 
-    A map literal from token length to the keywords that such a token can reach is part of the plan; only those are compared.
+    Every Devanagari letter of a keyword costs a token without any such letter an edit, so keywords that have more of them than
+    edits are allowed are out of its reach.
     """
     reach: dict[int, list[str]] = {}
     for word, _, length in reachable_lengths(policy):
-        reach.setdefault(length, []).append(word)
+        if devanagari or sum(map(_is_devanagari, word)) <= policy.max_distance:
+            reach.setdefault(length, []).append(word)
     if not reach:
+        return None
+    return F.create_map(*[x for n, words in sorted(reach.items()) for x in (F.lit(n), F.array(*[F.lit(w) for w in words]))])
+
+
+def _near_keywords(token: Column, policy: Policy, devanagari: bool = True) -> Column:
+    """Keywords one or two edits from a token, in dictionary order: array of (keyword, distance).
+
+    The keywords are part of the plan, by token length; only those in reach are compared. ``devanagari`` says whether tokens may have such letters.
+    """
+    table = _reach_table(policy, devanagari)
+    if table is None:
         return F.array().cast("array<struct<keyword:string,distance:bigint>>")
-    table = F.create_map(*[x for n, words in sorted(reach.items()) for x in (F.lit(n), F.array(*[F.lit(w) for w in words]))])
     allowed = F.when(F.length(token) < 6, 1).otherwise(policy.max_distance)
-    scored = F.transform(
+    close = F.filter(
         F.coalesce(F.element_at(table, F.length(token)), _strings([])),
-        lambda k: F.struct(k.alias("keyword"), F.levenshtein(token, k, policy.max_distance).cast("long").alias("distance")),
+        lambda k: F.levenshtein(token, k, policy.max_distance).between(1, allowed),
     )
-    return F.filter(scored, lambda m: (m["distance"] >= 1) & (m["distance"] <= allowed))
+    return F.transform(close, lambda k: F.struct(k.alias("keyword"), F.levenshtein(token, k, policy.max_distance).cast("long").alias("distance")))
 
 
 def _candidate_rows(policy: Policy, text: str) -> Column:
-    """Near misses: tokens of a reachable length that no earlier detector has taken and some keyword is close to."""
+    """Near misses: tokens of a reachable length that some keyword is close to and no earlier detector has taken.
+
+    The few tokens that are close are then looked up among what was taken and the innocent words.
+    """
     seen = F.concat("exact", "compound", "threat")
     lengths = sorted({n for _, _, n in reachable_lengths(policy)})
     innocent = list(dict.fromkeys(policy.innocent))
     low, high = (lengths[0], lengths[-1]) if lengths else (1, 0)
-    fits = lambda t: F.length(t).between(low, high) & ~F.array_contains(seen, t)
-    tokens = F.array_distinct(tokens_with_marks(F.coalesce(F.col(text), F.lit(""))))
-    fresh = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.cast("long").alias("pos")))
-    fresh = F.filter(fresh, lambda r: fits(r["token"]) & (~r["token"].isin(innocent) if innocent else F.lit(True)))
-    near = F.transform(fresh, lambda r: F.struct(r["token"].alias("token"), r["pos"].alias("pos"), F.get(_near_keywords(r["token"], policy), F.lit(0)).alias("m")))
+    body = F.coalesce(F.col(text), F.lit(""))
+    tokens = F.array_distinct(tokens_with_marks(body))
+
+    def rows(devanagari: bool) -> Column:
+        near = F.transform(
+            tokens,
+            lambda t, i: F.when(
+                F.length(t).between(low, high),
+                F.struct(t.alias("token"), i.cast("long").alias("pos"), F.get(_near_keywords(t, policy, devanagari), F.lit(0)).alias("m")),
+            ),
+        )
+        return F.filter(near, lambda r: r["m"].isNotNull())
+
+    near = F.when(has_devanagari(body), rows(True)).otherwise(rows(False))
+    free = lambda t: ~F.array_contains(seen, t) & (~t.isin(innocent) if innocent else F.lit(True))
     return F.transform(
-        F.filter(near, lambda r: r["m"].isNotNull()),
+        F.filter(near, lambda r: free(r["token"])),
         lambda r: F.struct(
             F.lit("ABUSIVE").alias("category"),
             r["m"]["keyword"].alias("keyword"),

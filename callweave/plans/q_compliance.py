@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callweave.functions import rules
+from callweave.functions.lexicon import PATTERN_HINTS
 from callweave.operators import compliance, evaluate, verdicts
 from callweave.operators.compliance import DEFAULT_POLICY, Policy
 from callweave.plans import standins
 from callweave.plans.oracle import DOC, SEG, lit, rnd, spaced, violations_cte
 from callweave.plans.registry import query
+from callweave.session import materialize
 
 # Patterns that occur in the test tables, next to the fixed regulatory lists.
 CONTACT_PATTERNS = [
@@ -20,6 +22,8 @@ CONTACT_PATTERNS = [
     r"(?i)licen[cs]e",
 ]
 DOC_POLICY = DEFAULT_POLICY.with_regulatory(CONTACT=CONTACT_PATTERNS)
+# What any match of these must contain, so that the expressions run on few texts.
+PATTERN_HINTS.update({CONTACT_PATTERNS[3]: ["@"], CONTACT_PATTERNS[4]: ["licen"]})
 # Words of the test conversations, so that turns have something to find.
 SEG_POLICY = Policy(
     keywords=(*DEFAULT_POLICY.keywords, "thing", "nicht", "unden"),
@@ -197,7 +201,8 @@ def jn11(spark, d):
     docs = standins.documents(spark, d)
     flagged = compliance.turn_flags(docs, compliance.violations(docs, DOC_POLICY))
     half = [F.floor(F.col("call_id") / 2).alias("call_id"), (F.col("call_id") % 2).alias("seg_idx")]
-    counted = flagged.select(*half, "speaker", "violation_count", "flags")
+    # The merge reads them twice; the texts are to be scanned once.
+    counted = materialize(flagged.select(*half, "speaker", "violation_count", "flags"), "flagged")
     reviews = (
         standins.table(spark, d, "labels")
         .select(F.col("doc_id").alias("call_id"), F.col("toxic").cast("long").alias("review_count"))

@@ -397,6 +397,24 @@ def test_a_call_is_new_only_once(spark, tmp_path):
     assert sorted(r.content_sha1 for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_near_misses_compare_only_keywords_a_script_can_reach(spark):
+    """A keyword with more Devanagari letters than edits is not compared with texts without any; one with fewer is."""
+    policy = compliance.Policy(keywords=("\u0938\u093e\u0932\u093e", "bastard", "stupi\u0926"), innocent=("stupia",), compounds=(), threats=(), regulatory={})
+    latin = str(compliance._reach_table(policy, False))
+    assert "bastard" in latin and "stupi" in latin and "\u0938" not in latin
+    assert "\u0938" in str(compliance._reach_table(policy, True))
+    rows = [("a", 0, "agent", "bastart stupid stupia"), ("b", 0, "agent", "bastart \u0938\u093e\u0932\u0947\u0902\u0964"), ("c", 0, "agent", None)]
+    docs = spark.createDataFrame(rows, "call_id string, seg_idx long, speaker string, text string")
+    got = sorted((r.call_id, r.matched, r.keyword, r.distance, r.pos) for r in compliance.near_misses(docs, policy).collect())
+    assert got == [("a", "bastart", "bastard", 1, 0), ("a", "stupid", "stupi\u0926", 1, 1), ("b", "bastart", "bastard", 1, 0)]
+
+
+def test_reviews_are_merged_with_one_scan_of_the_texts(spark, tmp_path):
+    load()
+    out = QUERIES["jn11_review_merge"](spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in out._jdf.queryExecution().toString()
+
+
 def test_equal_sums_of_weights_are_a_tie(spark):
     """Seventy times 0.1 and once 7.0 weigh the same; the label that comes first in the alphabet wins."""
     scorer = emotion.lexicon_scorer({"a": ("sadness", 7.0), "b": ("joy", 0.1)}, ("call_id",))
