@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Sequence
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +36,11 @@ def split_sentences(docs: DataFrame, name: str = "sentences") -> DataFrame:
     return rows.withColumn(name, chosen).drop("__body", "__kept")
 
 
-def sentence_rows(split: DataFrame) -> DataFrame:
-    """One row per sentence of a document: (call_id, n_docs, sent_idx, sentence)."""
-    rows = split.select(
-        "call_id", F.size("sentences").alias("n_docs"), F.posexplode_outer("sentences").alias("sent_idx", "sentence")
-    )
-    return rows.where(F.col("sentence").isNotNull())
-
-
 def sentence_scores(sentences: DataFrame) -> DataFrame:
     """TF-IDF score per sentence.
 
     ``sentences`` has (call_id, sent_idx, sentence, n_docs). Every distinct token adds
-    tf * ln((n+1)/(df+1)) + 1, so long sentences are favoured.
+    tf * ln((n+1)/(df+1)) + 1, so long sentences are favoured; a sentence without tokens has the score 0.
     """
     words = sentences.withColumn("__tok", tokens(F.col("sentence"))).select(
         "call_id", "sent_idx", "n_docs", F.size("__tok").alias("n_tok"), F.explode_outer("__tok").alias("token")
@@ -51,7 +49,7 @@ def sentence_scores(sentences: DataFrame) -> DataFrame:
         F.count("token").alias("tf"), F.first("n_tok").alias("n_tok"), F.first("n_docs").alias("n_docs")
     )
     df = tf.where("token is not null").groupBy("call_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.col("tf") / F.col("n_tok") * F.ln((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
+    weight = F.try_divide("tf", "n_tok") * F.ln((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     return (
         tf.join(df, ["call_id", "token"], "left")
         .groupBy("call_id", "sent_idx")
@@ -66,18 +64,36 @@ def top_sentences(scored: DataFrame, n: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
 
 
-def summarize_documents(docs: DataFrame, n: int = 5) -> DataFrame:
-    """Summary of transcripts that are one row each (call_id, text).
+def document_scores(sentences: Sequence[str]) -> list[float]:
+    """``sentence_scores`` of one document; a sentence comes as its tokens with a blank between them."""
+    counts = [Counter(s.split(" ")) if s else Counter() for s in sentences]
+    df = Counter(chain.from_iterable(counts))
+    # A token in every sentence of a document has the weight 1.
+    idf = {token: math.log((len(counts) + 1) / (n + 1)) for token, n in df.items()}
+    return [sum(tf / c.total() * idf[t] + 1 for t, tf in c.items()) for c in counts]
+
 
-    Only sentence numbers travel through the ranking; the text is picked from the document's own row
-    at the end.
+def _scores(batch: pd.Series) -> pd.Series:
+    return batch.map(document_scores)
+
+
+def best_sentences(docs: DataFrame, n: int = 5) -> DataFrame:
+    """Add ``sentences`` and ``best``, the numbers of the n best in order of rank, to transcripts that are one row each.
+
+    A row holds its whole text, so its sentences are scored and ranked where they are and nothing is shuffled.
     """
-    split = split_sentences(docs.select("call_id", "text")).drop("text")
-    best = top_sentences(sentence_scores(sentence_rows(split)), n)
-    picks = best.groupBy("call_id").agg(F.array_sort(F.collect_list("sent_idx")).alias("picks"))
-    joined = split.join(picks, "call_id", "left")
-    chosen = F.array_join(F.transform("picks", lambda i: F.get(F.col("sentences"), i)), " ")
-    return joined.select("call_id", F.coalesce(chosen, F.lit(NO_TRANSCRIPT)).alias("summary"))
+    rows = split_sentences(docs)
+    said = F.transform("sentences", lambda s: F.array_join(tokens(s), " "))
+    rows = rows.withColumn("__s", F.pandas_udf(_scores, "array<double>")(said))
+    at = F.transform("__s", lambda s, i: F.struct((0.0 - steady(s, 9)).alias("down"), i.alias("i")))
+    return rows.withColumn("best", F.transform(F.slice(F.array_sort(at), 1, n), lambda x: x["i"])).drop("__s")
+
+
+def summarize_documents(docs: DataFrame, n: int = 5) -> DataFrame:
+    """Summary of transcripts that are one row each (call_id, text)."""
+    rows = best_sentences(docs.select("call_id", "text"), n)
+    chosen = F.array_join(F.transform(F.array_sort("best"), lambda i: F.get(F.col("sentences"), i)), " ")
+    return rows.select("call_id", F.when(F.size("best") > 0, chosen).otherwise(NO_TRANSCRIPT).alias("summary"))
 
 
 def _stitched(turns: DataFrame, breaks: str, ends: str | None, block_rows: int) -> DataFrame:

@@ -210,8 +210,8 @@ def ag12(spark, d):
     f"WITH {DOC}, {summary_sql('doc', 'd')} SELECT call_id, idx::BIGINT - 1 AS sent_idx FROM drk",
 )
 def tk1(spark, d):
-    rows = notes.sentence_rows(notes.split_sentences(standins.documents(spark, d)))
-    return notes.top_sentences(notes.sentence_scores(rows)).select("call_id", F.col("sent_idx").cast("long").alias("sent_idx"))
+    rows = notes.best_sentences(standins.documents(spark, d))
+    return rows.select("call_id", F.explode(F.col("best").cast("array<long>")).alias("sent_idx"))
 
 
 CALL_TEXT = "ct AS (SELECT call_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM seg GROUP BY call_id)"

@@ -266,3 +266,20 @@ def test_swept_timeline_equals_seconds(spark, bucket, block):
                 want[c, s] = (who, want.get((c, s), (None, None))[1]) if k == 0 else (want.get((c, s), (None, None))[0], who)
     assert got == want
     assert [(r.start_s, r.stop_s) for r in rows if r.call_id == 3] == [(0, 80_000)] and len(rows) < 2 * 2 * 23 + 2
+
+
+def test_sentences_of_documents_are_ranked_in_their_row(spark):
+    """The same scores as over rows of sentences, and no exchange."""
+    rng = random.Random(9)
+    say = lambda: " ".join(rng.choice(["Alpha", "beta", "caf\u00e9", "x_1", "...", "delta7", "\u0938\u093e\u0932\u093e"]) for _ in range(rng.randint(2, 9)))
+    texts = [". ".join(say() for _ in range(rng.randint(1, 12))) + "." for _ in range(40)] + ["", None, " \n ", "short", "-----------. ===========!"]
+    docs = sequence(spark, list(enumerate(texts)), "call_id long, text string")
+    best = notes.best_sentences(docs)
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+    split = notes.split_sentences(docs).select("call_id", F.size("sentences").alias("n_docs"), F.posexplode("sentences").alias("sent_idx", "sentence"))
+    ranked = {}
+    for r in notes.top_sentences(notes.sentence_scores(split)).orderBy("call_id", "rank").collect():
+        ranked.setdefault(r.call_id, []).append(r.sent_idx)
+    assert {r.call_id: r.best for r in best.collect() if r.best} == ranked
+    empty = {r.call_id: r.summary for r in notes.summarize_documents(docs).collect()}
+    assert [empty[40 + i] for i in range(4)] == [notes.NO_TRANSCRIPT] * 3 + ["short"]
