@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions.numeric import steady
@@ -66,61 +65,62 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return rows.select("filename", "stage_id", "seq", "started_at", "event_time", steady(seconds, 6).alias("elapsed_s"))
 
 
-DURATION = "filename string, stage_id string, seq long, started_at timestamp, event_time timestamp, elapsed_s double"
+DURATION = "filename string, stage_id string, seq long, began long, ended long"
 
 
-def pair_events(last: tuple | None, chunk: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+def pair_events(last: tuple | None, rows: Iterable) -> tuple[tuple | None, list[tuple]]:
     """Pair every ``done`` of a chunk with the ``running`` right before it; ``last`` is what came before the chunk.
 
-    Returns the chunk's last event as (status, event_time) and the pairs.
+    Rows have (status, at, seq). Returns the chunk's last event as (status, at) and the pairs as (seq, began, ended).
     """
-    rows = chunk[chunk["status"].isin(["running", "done"])].sort_values(["event_time", "seq"])
-    if not len(rows):
-        return last, rows.assign(started_at=pd.NaT)
-    status, when = rows["status"].shift(), rows["event_time"].shift()
-    if last is not None:
-        status.iloc[0], when.iloc[0] = last
-    paired = rows.assign(started_at=when)[(rows["status"] == "done") & (status == "running")]
-    return (rows["status"].iloc[-1], rows["event_time"].iloc[-1]), paired
+    events = sorted((r.at, r.seq, r.status) for r in rows if r.status in ("running", "done"))
+    pairs = []
+    for when, seq, status in events:
+        if status == "done" and last is not None and last[0] == "running":
+            pairs.append((seq, last[1], when))
+        last = (status, when)
+    return last, pairs
 
 
 def stage_durations_stream(events: DataFrame) -> DataFrame:
     """The same on a stream: the last event of each (filename, stage_id) is the state, whatever time passes until the next.
 
-    Events of a key are put in order within a micro-batch; an event that arrives in a later one counts as later.
+    Events of a key are put in order within a micro-batch; an event that arrives in a later one counts as later. A micro-batch has few
+    events for a stage of a job, so they are handled as rows: a data frame for each would cost more than the work.
     Needs the RocksDB state store provider.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Durations(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self._last = handle.getValueState("last", "status string, event_time timestamp")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            last = tuple(self._last.get()) if self._last.exists() else None
-            # The events that one job has for one stage within a micro-batch.
-            last, out = pair_events(last, pd.concat(list(rows)))
-            if last is not None:
-                self._last.update((last[0], pd.Timestamp(last[1]).to_pydatetime()))
-            if len(out):
-                began, ended = pd.to_datetime(out["started_at"]), pd.to_datetime(out["event_time"])
-                yield pd.DataFrame(
-                    {
-                        "filename": key[0],
-                        "stage_id": key[1],
-                        "seq": out["seq"].to_numpy(),
-                        "started_at": began.to_numpy(),
-                        "event_time": ended.to_numpy(),
-                        "elapsed_s": ((ended - began) / pd.Timedelta(seconds=1)).to_numpy(),
-                    }
-                )
+            self._last = handle.getValueState("last", "status string, at long")
+
+        def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+            before = self._last.get()
+            before = None if before is None else tuple(before)
+            last, pairs = pair_events(before, rows)
+            if last != before:
+                self._last.update(last)
+            for seq, began, ended in pairs:
+                yield Row(filename=key[0], stage_id=key[1], seq=seq, began=began, ended=ended)
 
         def close(self) -> None:
             pass
 
-    return events.groupBy("filename", "stage_id").transformWithStateInPandas(
+    needed = events.where(F.col("status").isin("running", "done")).select(
+        "filename", "stage_id", "status", F.unix_micros("event_time").alias("at"), "seq"
+    )
+    pairs = needed.groupBy("filename", "stage_id").transformWithState(
         Durations(), outputStructType=DURATION, outputMode="append", timeMode="none"
     )
+    return pairs.select(
+        "filename",
+        "stage_id",
+        "seq",
+        F.timestamp_micros("began").alias("started_at"),
+        F.timestamp_micros("ended").alias("event_time"),
+        ((F.col("ended") - F.col("began")) / 1e6).alias("elapsed_s"),
+    )
 
 
 def new_calls(arrivals: DataFrame, known: DataFrame | None = None, key: str = "content_sha1") -> DataFrame:

@@ -385,6 +385,14 @@ def test_durations_span_micro_batches(spark, tmp_path):
     assert [(r.seq, r.elapsed_s) for r in spark.read.parquet(out).collect()] == [(1, 36000.0)]
 
 
+def test_events_of_a_stage_are_paired_as_rows():
+    from pyspark.sql import Row
+
+    rows = [Row(status=k, at=t, seq=q) for k, t, q in (("done", 9, 4), ("error", 8, 3), ("running", 7, 2), ("done", 5, 1), ("done", 5, 2))]
+    assert metrics.pair_events(("running", 1), rows) == (("done", 9), [(1, 1, 5), (4, 7, 9)])
+    assert metrics.pair_events(None, rows[3:]) == (("done", 5), [])
+
+
 def test_a_call_is_new_only_once(spark, tmp_path):
     from callweave.streaming import sinks
 
