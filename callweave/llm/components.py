@@ -175,24 +175,67 @@ def _connecting(ids: list[int], names: list[int], pairs, found: dict[int, np.nda
     return out
 
 
-def _rest(left: DataFrame, bodies: DataFrame, per_cent: int, sets: Sets, agree: int) -> DataFrame:
-    """Links between different components that share a bucket of ``left`` (bucket, id, component).
+def _hopeful(left: DataFrame, bodies: DataFrame, per_cent: int) -> DataFrame:
+    """The rows of ``left`` (bucket, id, component) that may be similar enough to another one of their bucket; bodies are hash sets.
+
+    A set of n hashes, s of which any other set holds, meets a set of m hashes in s at most, so (100 + p) s has to be p (n + m), where m is at
+    least that of the bucket's smallest set. Members of a large bucket that are edited too much go here, before anything is dealt into blocks.
+    """
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                made = hash_sets(batch["body"].tolist())
+                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), [len(x) for x in made]), "value": np.concatenate(made).view(np.int64)})
 
-    Of buckets with the same members one is looked at. A bucket's members are dealt into blocks, and every pair of blocks is a group of bounded
-    size, in which many intersections come from one matrix product. A group gives the links that connect its components: fewer than it has rows. Sets
-    are made only of members that another one's signature is near to.
+    of_left = bodies.join(left.select("id").distinct(), "id", "left_semi").select("id", "body")
+    held = of_left.mapInPandas(values, "id long, value long").groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    alone = held.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = bodies.select("id", F.expr("size div 8").alias("n")).join(alone, "id", "left")
+    rows = left.join(sizes.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")), "id")
+    least = rows.groupBy("bucket").agg(F.min("n").alias("m"))
+    fits = (100 * F.col("s") >= per_cent * F.col("n")) & ((100 + per_cent) * F.col("s") >= per_cent * (F.col("n") + F.col("m")))
+    return rows.join(least, "bucket").where(fits).select("bucket", "id", "component")
+
+
+def _blocks(left: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``left`` (bucket, id, component) as groups (bucket, low, high) of bounded size in which members are compared.
+
+    Of buckets with the same members one is looked at. Members of a bucket's largest component are dealt into blocks of their own, which meet
+    the blocks of the others but not each other.
     """
     marks = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-    size = bodies.select("id", "size")
-    per = left.join(size, "id").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *marks)
-    per = per.groupBy("n", "x1", "x2").agg(F.min(F.struct("bucket", "bytes")).alias("one"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("one.bytes") / BLOCK_BYTES)).cast("int")
-    placed = left.select("bucket", "id", "component").join(per.select("one.bucket", blocks.alias("blocks")), "bucket")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("bucket", "id", "component", "block", other)
+    parts = left.join(sizes, "id").groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *marks)
+    per = parts.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"),
+        F.max(F.struct("n", "bytes", "component")).alias("main"), F.count(F.lit(1)).alias("parts"),
+    ).where("parts > 1")
+    one = per.groupBy("n", "x1", "x2").agg(F.min(F.struct("bucket", "bytes", "main")).alias("one")).select("n", "one.*")
+    number = lambda rows, size: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    main = F.col("main")
+    whole = number(F.col("n"), F.col("bytes")) == 1
+    few = F.when(whole, 1).otherwise(number(F.col("n") - main["n"], F.col("bytes") - main["bytes"]))
+    many = F.when(whole, 0).otherwise(number(main["n"], main["bytes"]))
+    placed = left.select("bucket", "id", "component").join(one.select("bucket", few.alias("few"), many.alias("many"), main["component"].alias("main")), "bucket")
+    of_main = (F.col("component") == F.col("main")) & (F.col("many") > 0)
+    at = F.xxhash64("id")
+    block = F.when(of_main, F.col("few") + F.pmod(at, F.greatest("many", F.lit(1)))).otherwise(F.pmod(at, "few")).cast("int").alias("block")
+    others = F.col("few") + F.when(of_main, 0).otherwise(F.col("many"))
+    placed = placed.select("bucket", "id", "component", block, F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    return placed.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component")
+
+
+def _rest(left: DataFrame, bodies: DataFrame, per_cent: int, sets: Sets, agree: int, purpose: str = "links") -> DataFrame:
+    """Links between different components that share a bucket of ``left`` (bucket, id, component).
+
+    Members that cannot be like another are left out where the bodies are hash sets (``_hopeful``). The others of a bucket are dealt into blocks,
+    and pairs of blocks are groups of bounded size (``_blocks``), in which many intersections come from one matrix product. A group gives the links
+    that connect its components: fewer than it has rows. Sets are made only of members that another one's signature is near to.
+    """
+    if sets is hash_sets:
+        left = written(_hopeful(left, bodies, per_cent), purpose)
     key = ["bucket", "low", "high"]
-    placed = placed.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component")
+    placed = _blocks(left, bodies.select("id", "size"))
     # Dealt by all three, so that the blocks of one bucket go to many tasks.
     sig = F.col("sig") if agree else F.lit(None).cast("binary").alias("sig")
     dealt = placed.join(bodies.select("id", "body", sig), "id").repartition(*key).sortWithinPartitions(*key)
@@ -285,7 +328,7 @@ def linked(
             links = written(confirmed(pairs, bodies, per_cent, sets), purpose)
             discard(pairs)
         else:
-            links = written(_rest(placed, bodies, per_cent, sets, agree), purpose)
+            links = written(_rest(placed, bodies, per_cent, sets, agree, purpose), purpose)
         found = links if found is None else found.unionByName(links)
         discard(nodes)
         nodes = components(found, purpose)
