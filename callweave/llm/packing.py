@@ -49,13 +49,18 @@ CHUNK = re.compile(r"(?<=\S)(?=[ \n])")
 SIGNS = re.compile(r"(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
 #: Words that are encoded as one text, a line end between them.
 JOINED = 2000
+#: Letters with signs after them, perhaps after a line end. A pre-tokeniser keeps a run of letters whole, with the space before it.
+LETTERS = re.compile(r"(\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
+#: How a byte-level vocabulary writes bytes: printable ones as they are, the others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Encoder:
     """Token ids of whole texts, chunks encoded once."""
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
@@ -64,6 +69,10 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         gap = self._ids(["\n"])[0]
         self.gap = int(gap[0]) if len(gap) == 1 else None
+        # Whether a run of letters can go to the model as it is.
+        cut, added = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        bytewise = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        self.bytewise = bytewise and self.tokenizer.normalizer is None and self.gap is not None and all(t.special for t in added)
 
     def _ids(self, chunks: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -83,12 +92,32 @@ class Encoder:
         if len(known) + 2 * len(distinct) > MEMO:
             known = self.words = {c: known[c] for c in distinct if c in known}
         fresh = distinct.difference(known)
-        parts = {w: m.groups() for w in fresh if (m := SIGNS.fullmatch(w))}
-        signs = self._chunks({tail for _, tail in parts.values()})
-        self._encode(known, {*fresh.difference(parts), *[w for w, _ in parts.values()]}.difference(known))
-        known.update((w, known[head] + signs[tail]) for w, (head, tail) in parts.items())
+        found = [m for m in map(LETTERS.fullmatch, fresh) if m] if self.bytewise else []
+        self._letters(known, list({m[1] for m in found}.difference(known)))
+        fresh = fresh.difference([m[0] for m in found])
+        found = [m for m in found if m[2]]
+        signed = [m for m in map(SIGNS.fullmatch, fresh) if m]
+        self._encode(known, {*fresh.difference([m[0] for m in signed]), *[m[1] for m in signed]}.difference(known))
+        found += signed
+        signs = self._chunks({m[2] for m in found})
+        known.update([(m[0], known[m[1]] + signs[m[2]]) for m in found])
         return known
 
+    def _letters(self, known: dict[str, bytes], heads: list[str]) -> None:
+        """The tokens of letters: of the model alone, since nothing cuts inside them. A line end is a token of its own."""
+        tokenize = self.tokenizer.model.tokenize
+        for begin in range(0, len(heads), JOINED):
+            some = heads[begin : begin + JOINED]
+            shown = "\n".join([h[1:] if h[0] == "\n" else " " + h for h in some]).encode().decode("latin-1").translate(BYTES)
+            ids, ends = [], [0]
+            for h, word in zip(some, shown.split(chr(BYTES[10]))):
+                if h[0] == "\n":
+                    ids.append(self.gap)
+                ids += [t.id for t in tokenize(word)]
+                ends.append(4 * len(ids))
+            raw = np.array(ids, "<u4").tobytes()
+            known.update(zip(some, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+
     def _encode(self, known: dict[str, bytes], fresh: set[str]) -> None:
         # A word between line ends is cut there if it begins with no white space; a line end is then a token of its own.
         plain = [w for w in fresh if self.gap is not None and not w[0].isspace()]
@@ -107,8 +136,8 @@ class Encoder:
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [p.pop(0) for p in parts]
         words = set().union(*parts)
-        # A space after white space does not begin a chunk.
-        unsafe = {w for w in words if not w or w[-1].isspace()}
+        # A space after white space does not begin a chunk. Such words are never remembered.
+        unsafe = {w for w in words.difference(self.words) if not w or w[-1].isspace()}
         safe = lambda head, part: head and not head[-1].isspace() and (not unsafe or unsafe.isdisjoint(part))
         plain = [bool(safe(h, p)) for h, p in zip(heads, parts)]
         split = [[h] if ok else CHUNK.split(t) if t else [] for t, h, ok in zip(texts, heads, plain)]
@@ -140,21 +169,26 @@ def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end: int = END)
     """(doc_id, row, piece, start, length, ids_crc32) of ``docs`` (doc_id, text); ``row`` is a number of the input row."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import gc
         import os
 
+        gc.disable()  # what is remembered has no cycles, and looking for some costs a twelfth of the time
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         encoder = Encoder(file)
         last = np.array([end], "<u4").tobytes()
         names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
-        for batch in batches:
-            out: list[tuple] = []
-            ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-            for doc_id, row, found in zip(ids, batch["row"], encoder.texts(batch["text"].tolist())):
-                found += last
-                for piece, (start, length) in enumerate(cuts(len(found) // 4, capacity)):
-                    out.append((doc_id, row, piece, start, length, zlib.crc32(found[4 * start : 4 * (start + length)])))
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"doc_id": "Int64"})
+        try:
+            for batch in batches:
+                out: list[tuple] = []
+                ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
+                for doc_id, row, found in zip(ids, batch["row"], encoder.texts(batch["text"].tolist())):
+                    found += last
+                    for piece, (start, length) in enumerate(cuts(len(found) // 4, capacity)):
+                        out.append((doc_id, row, piece, start, length, zlib.crc32(found[4 * start : 4 * (start + length)])))
+                frame = pd.DataFrame(out, columns=names)
+                yield frame.astype({"doc_id": "Int64"})
+        finally:
+            gc.enable()
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     return given.mapInPandas(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")

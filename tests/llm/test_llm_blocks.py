@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from callweave.llm import components
+from callweave.llm import components, packing
 
 
 def group(seed, n):
@@ -87,3 +88,20 @@ def test_rest_finds_the_components_of_all_pairs(spark, monkeypatch):
 
     assert found <= links(sets, 85)
     assert parts(found) == parts(links(sets, 85))
+
+
+def test_letters_go_to_the_model_alone():
+    """Runs of letters took the way of whole texts: cut by a regular expression, then joined again."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    seen = []
+    whole = encoder._ids
+    encoder._ids = lambda chunks: (seen.extend(chunks), whole(chunks))[1]
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))
+    plain = "x" + "".join(rng.choice(" \n") + word("abzÉéßȀɏ") + rng.choice(["", "", ",", ".\"", "-"]) for _ in range(3000))
+    odd = ["".join(rng.choice(list("abÉ×÷ªºñЖ中'’́.,!?- \n\t\r 09A")) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch_fast([plain, *odd], add_special_tokens=False)]
+    assert list(encoder.texts([plain])) == want[:1]
+    assert sum(map(len, seen)) < 0.02 * len(plain)
+    assert list(encoder.texts(odd)) == want[1:]
