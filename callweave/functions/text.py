@@ -22,6 +22,16 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def swapped(text: Column, letters: dict[str, str]) -> Column:
+    """The text with some letters as others, none of which is swapped again.
+
+    Each is a search over bytes; ``translate`` makes a string of every character of the text.
+    """
+    for old, new in letters.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(NOT_SPACE)
 

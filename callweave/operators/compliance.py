@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from callweave.functions import lexicon
 from callweave.functions.lexicon import java_pattern, needs_devanagari
 from callweave.functions.rules import is_agent
-from callweave.functions.text import DEVANAGARI, tokens_with_marks
+from callweave.functions.text import DEVANAGARI, swapped, tokens_with_marks
 
 EXACT, COMPOUND, THREAT, FUZZY, REGULATORY = 0, 1, 2, 3, 4
 VIOLATION_COLUMNS = [
@@ -74,7 +74,7 @@ def keyword_hits(lowered: Column, keywords: Sequence[str], devanagari: Column |
 def folded(text: Column) -> Column:
     """Lower case, with the letters that case-insensitive matching treats as s and i mapped to them."""
     ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(ascii_only, F.lower(text)).otherwise(F.lower(F.translate(text, "\u017f\u0131\u0130", "sii")))
+    return F.when(ascii_only, F.lower(text)).otherwise(F.lower(swapped(text, {"\u017f": "s", "\u0131": "i", "\u0130": "i"})))
 
 
 def has_devanagari(text: Column) -> Column:

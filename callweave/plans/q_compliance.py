@@ -8,6 +8,7 @@ from callweave.functions import rules
 from callweave.functions.lexicon import PATTERN_HINTS
 from callweave.operators import compliance, evaluate, verdicts
 from callweave.operators.compliance import DEFAULT_POLICY, Policy
+from callweave.functions.text import swapped
 from callweave.plans import standins
 from callweave.plans.oracle import DOC, SEG, lit, rnd, spaced, violations_cte
 from callweave.plans.registry import query
@@ -85,7 +86,7 @@ def fx4c(spark, d):
 @query("fx4_unicode_space", compound_sql("translate(text, ' ', chr(160))"))
 def fx4u(spark, d):
     """The same where every space is a no-break space."""
-    docs = standins.documents(spark, d).withColumn("text", F.translate("text", " ", "\u00a0"))
+    docs = standins.documents(spark, d).withColumn("text", swapped(F.col("text"), {" ": "\u00a0"}))
     return compliance.scan_columns(docs, COMPOUND_POLICY).select("call_id", F.explode("compound").alias("matched"))
 
 

@@ -480,3 +480,17 @@ def test_progress_folds_plain_rows_in_any_order():
         got = progress.snapshot("f", progress.fold_rows(json.loads(json.dumps(state)), order[2:]))
         assert (got["status"], got["error"], got["time_s"], got["n_done"], got["as_of_seq"]) == ("error", "E6", 7.0, 2, 1)
         assert got["stages"] == "s1:done:0.0,s2:done:3.5" and got["current_stage"] == "s2"
+
+
+def test_letters_are_swapped_without_a_string_for_each(spark):
+    """``translate`` makes a string of every character; it took most of the time of long texts."""
+    from callweave.functions.text import swapped
+    from callweave.operators.compliance import folded
+
+    rows = [("a b  é ſıİ \U0001f600 ",), ("",), (None,), ("plain",), (" ",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select("t", swapped(F.col("t"), {" ": " "}).alias("x"), folded(F.col("t")).alias("y"))
+    assert "translate" not in got._jdf.queryExecution().toString()
+    for t, x, y in got.collect():
+        assert x == (None if t is None else t.replace(" ", " "))
+        assert y == (None if t is None else t.translate({0x17F: "s", 0x131: "i", 0x130: "i"}).lower())
