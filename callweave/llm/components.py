@@ -19,6 +19,9 @@ from callweave.llm.shingles import jaccard_counts
 BLOCK_ROWS = 400
 BLOCK_BYTES = 8_000_000
 
+#: What names a pair of blocks of a bucket.
+GROUP = ["bucket", "low", "high"]
+
 #: Makes the sorted distinct hashes of a list of bodies.
 Sets = Callable[[Sequence[bytes]], list[np.ndarray]]
 
@@ -225,25 +228,58 @@ def _blocks(left: DataFrame, sizes: DataFrame) -> DataFrame:
     return placed.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component")
 
 
+def _grouped(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple]]:
+    """The groups that end in each of the sorted batches: (bucket, low, high) and the lists of their ``columns``."""
+    last, held = None, ()
+    for batch in batches:
+        done = []
+        for now, *values in zip(zip(*[batch[c].tolist() for c in GROUP]), *[batch[c].tolist() for c in columns]):
+            if now != last:
+                done += [(last, held)] if held else []
+                last, held = now, [[] for _ in columns]
+            for store, value in zip(held, values):
+                store.append(value)
+        yield done
+    yield [(last, held)] if held else []
+
+
+def _near_members(placed: DataFrame, bodies: DataFrame, agree: int) -> DataFrame:
+    """The rows of ``placed`` whose signature is near to one of another component in their group; bodies stay where they are."""
+    dealt = placed.join(bodies.select("id", "sig"), "id").repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in _grouped(batches, ["id", "component", "sig"]):
+            out = []
+            for group, (ids, names, sigs) in groups:
+                if len(set(names)) > 1:
+                    used = np.unique(np.concatenate(_candidates(names, sigs, agree))).tolist()
+                    out += [(*group, ids[k], names[k]) for k in used]
+            yield pd.DataFrame(out, columns=[*GROUP, "id", "component"]).astype("int64")
+
+    return dealt.mapInPandas(near, "bucket long, low int, high int, id long, component long")
+
+
 def _rest(left: DataFrame, bodies: DataFrame, per_cent: int, sets: Sets, agree: int, purpose: str = "links") -> DataFrame:
     """Links between different components that share a bucket of ``left`` (bucket, id, component).
 
     Members that cannot be like another are left out where the bodies are hash sets (``_hopeful``). The others of a bucket are dealt into blocks,
     and pairs of blocks are groups of bounded size (``_blocks``), in which many intersections come from one matrix product. A group gives the links
-    that connect its components: fewer than it has rows. Sets are made only of members that another one's signature is near to.
+    that connect its components: fewer than it has rows. With ``agree`` the signatures are dealt first, and only members that another one's is near to
+    get their bodies dealt and their sets made.
     """
     if sets is hash_sets:
         left = written(_hopeful(left, bodies, per_cent), purpose)
-    key = ["bucket", "low", "high"]
     placed = _blocks(left, bodies.select("id", "size"))
+    if agree:
+        placed = written(_near_members(placed, bodies, agree), purpose)
     # Dealt by all three, so that the blocks of one bucket go to many tasks.
     sig = F.col("sig") if agree else F.lit(None).cast("binary").alias("sig")
-    dealt = placed.join(bodies.select("id", "body", sig), "id").repartition(*key).sortWithinPartitions(*key)
+    dealt = placed.join(bodies.select("id", "body", sig), "id").repartition(*GROUP).sortWithinPartitions(*GROUP)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(groups):
+        for groups in _grouped(batches, ["id", "component", "body", "sig"]):
             plans, need = [], []
-            for ids, names, texts, sigs in groups:
+            for _, (ids, names, texts, sigs) in groups:
                 if len(set(names)) > 1:
                     pairs = _candidates(names, sigs, agree)
                     used = np.unique(np.concatenate(pairs)).tolist()
@@ -254,22 +290,30 @@ def _rest(left: DataFrame, bodies: DataFrame, per_cent: int, sets: Sets, agree:
             out = []
             for ids, names, pairs, used, begin in plans:
                 out += _connecting(ids, names, pairs, dict(zip(used, made[begin : begin + len(used)])), per_cent)
-            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return dealt.mapInPandas(compare, "a long, b long")
+
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """The distinct rows of ``members`` (bucket, id) whose bucket has another id as well.
 
-        last, held = None, ([], [], [], [])
+    One exchange deals the buckets. Most rows are alone in theirs and end where they are sorted, neither counted nor joined; of a bucket that goes on
+    in the next batch one id is held, never the bucket.
+    """
+    dealt = members.select("bucket", "id").repartition("bucket").sortWithinPartitions("bucket")
+
+    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buckets = ids = np.zeros(0, np.int64)
         for batch in batches:
-            done = []
-            rows = zip(batch["bucket"].tolist(), batch["low"].tolist(), batch["high"].tolist())
-            for now, *values in zip(rows, batch["id"].tolist(), batch["component"].tolist(), batch["body"].tolist(), batch["sig"].tolist()):
-                if now != last:
-                    done.append(held)
-                    last, held = now, ([], [], [], [])
-                for store, value in zip(held, values):
-                    store.append(value)
-            yield links(done)
-        yield links([held])
+            if len(batch):
+                buckets, ids = np.r_[buckets[-1:], batch["bucket"].to_numpy()], np.r_[ids[-1:], batch["id"].to_numpy()]
+                starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+                differ = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
+                found = np.repeat(differ, np.diff(np.r_[starts, len(ids)]))
+                yield pd.DataFrame({"bucket": buckets[found], "id": ids[found]})
 
-    return dealt.mapInPandas(compare, "a long, b long")
+    return dealt.mapInPandas(several, "bucket long, id long").distinct()
 
 
 def linked(
@@ -297,10 +341,7 @@ def linked(
     """
     found = bodies = nodes = None
     passing: list[DataFrame] = []
-    # One exchange serves both the count and the rows; buckets with a single member end here.
-    dealt = members.repartition("bucket")
-    several = dealt.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
-    members = before = written(dealt.join(several, "bucket", "left_semi").distinct(), purpose)
+    members = before = written(shared_buckets(members), purpose)
     met()
     for step in range(stars + 1):
         if nodes is None:

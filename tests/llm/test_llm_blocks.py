@@ -105,3 +105,30 @@ def test_letters_go_to_the_model_alone():
     assert list(encoder.texts([plain])) == want[:1]
     assert sum(map(len, seen)) < 0.02 * len(plain)
     assert list(encoder.texts(odd)) == want[1:]
+
+
+def test_shared_buckets_are_found_in_one_exchange(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.randrange(30)) for _ in range(60)] + [(100, 1)] * 9 + [(101, i % 7) for i in range(50)] + [(-3, 5), (102, 2)]
+    members = spark.createDataFrame(rows, "bucket long, id long").repartition(4)
+    held = {}
+    for bucket, i in rows:
+        held.setdefault(bucket, set()).add(i)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # buckets go on from batch to batch
+    try:
+        found = [tuple(r) for r in components.shared_buckets(members).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(found) == sorted((bucket, i) for bucket, ids in held.items() if len(ids) > 1 for i in ids)
+
+
+def test_only_members_with_a_near_signature_get_bodies(spark):
+    rng = random.Random(6)
+    sigs = [bytearray(rng.randrange(256) for _ in range(75)) for _ in range(30)]
+    sigs[7] = sigs[3][:50] + sigs[7][50:]
+    sigs[9] = sigs[4][:50] + sigs[9][50:]
+    names = [*range(9), 4, *range(10, 30)]  # 9 is of the component of 4 already
+    placed = spark.createDataFrame([(1, 0, 0, i, names[i]) for i in range(30)], "bucket long, low int, high int, id long, component long")
+    bodies = spark.createDataFrame([(i, s) for i, s in enumerate(sigs)], "id long, sig binary")
+    assert sorted(r.id for r in components._near_members(placed, bodies, 45).collect()) == [3, 7]
