@@ -21,6 +21,9 @@ from callweave.session import materialize
 
 NO_TRANSCRIPT = "No transcript available for summarization."
 MIN_CHARS = 10
+#: A call of at most so many sentences and characters is scored in one row.
+ROW_SENTENCES = 2_000
+ROW_CHARS = 500_000
 
 
 def split_sentences(docs: DataFrame, name: str = "sentences") -> DataFrame:
@@ -82,7 +85,11 @@ def best_sentences(docs: DataFrame, n: int = 5) -> DataFrame:
 
     A row holds its whole text, so its sentences are scored and ranked where they are and nothing is shuffled.
     """
-    rows = split_sentences(docs)
+    return _with_best(split_sentences(docs), n)
+
+
+def _with_best(rows: DataFrame, n: int) -> DataFrame:
+    """Add ``best`` to rows that have the ``sentences`` of a transcript."""
     said = F.transform("sentences", lambda s: F.array_join(tokens(s), " "))
     rows = rows.withColumn("__s", F.pandas_udf(_scores, "array<double>")(said))
     at = F.transform("__s", lambda s, i: F.struct((0.0 - steady(s, 9)).alias("down"), i.alias("i")))
@@ -146,22 +153,33 @@ def call_sentences(turns: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     short_turns = turns.join(short.select("call_id"), "call_id", "left_semi")
     lines = _stitched(short_turns, "\n", None, block_rows).where(F.col("sentence") != "")
     rows = kept.unionByName(lines)
-    sizes = rows.groupBy("call_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    sizes = rows.groupBy("call_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("sentence")).alias("n_chars"))
     return rows.join(sizes, "call_id")
 
 
-def summarize_calls(turns: DataFrame, n: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Summary per call from its turns (call_id, seg_idx, text)."""
+def summarize_calls(
+    turns: DataFrame, n: int = 5, block_rows: int = BLOCK_ROWS, row_sentences: int = ROW_SENTENCES, row_chars: int = ROW_CHARS
+) -> DataFrame:
+    """Summary per call from its turns (call_id, seg_idx, text).
+
+    Calls of few sentences and characters become one row each, in which sentences are scored, so their tokens are not shuffled. The tokens of
+    longer calls are: no task holds such a call.
+    """
     rows = call_sentences(turns, block_rows)
-    best = top_sentences(sentence_scores(rows), n).select("call_id", "sent_idx")
-    chosen = best.join(rows.select("call_id", "sent_idx", "sentence"), ["call_id", "sent_idx"])
+    fits = (F.col("n_docs") <= row_sentences) & (F.col("n_chars") <= row_chars)
     entry = F.struct("sent_idx", "sentence")
-    found = chosen.groupBy("call_id").agg(F.array_sort(F.collect_list(entry)).alias("__s"))
-    found = found.select("call_id", F.array_join(F.transform("__s", lambda s: s["sentence"]), " ").alias("summary"))
+    summary = lambda chosen: F.array_join(F.transform(chosen, lambda s: s["sentence"]), " ").alias("summary")
+    short = rows.where(fits).groupBy("call_id").agg(F.array_sort(F.collect_list(entry)).alias("__all"))
+    short = _with_best(short.withColumn("sentences", F.transform("__all", lambda s: s["sentence"])), n)
+    short = short.select("call_id", summary(F.transform(F.array_sort("best"), lambda i: F.get(F.col("__all"), i))))
+    long = rows.where(~fits)
+    best = top_sentences(sentence_scores(long), n).select("call_id", "sent_idx")
+    chosen = best.join(long.select("call_id", "sent_idx", "sentence"), ["call_id", "sent_idx"])
+    found = chosen.groupBy("call_id").agg(F.array_sort(F.collect_list(entry)).alias("__s")).select("call_id", summary("__s"))
     return (
         turns.select("call_id")
         .distinct()
-        .join(found, "call_id", "left")
+        .join(short.unionByName(found), "call_id", "left")
         .select("call_id", F.coalesce("summary", F.lit(NO_TRANSCRIPT)).alias("summary"))
     )
 

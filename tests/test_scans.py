@@ -283,3 +283,13 @@ def test_sentences_of_documents_are_ranked_in_their_row(spark):
     assert {r.call_id: r.best for r in best.collect() if r.best} == ranked
     empty = {r.call_id: r.summary for r in notes.summarize_documents(docs).collect()}
     assert [empty[40 + i] for i in range(4)] == [notes.NO_TRANSCRIPT] * 3 + ["short"]
+
+
+def test_long_and_short_calls_are_summarized_alike(spark):
+    rng = random.Random(8)
+    said = lambda: " ".join(rng.choice(["Pay now", "the bill is late", "we call you again", "thanks"]) + rng.choice([".", "!", "", "?"]) for _ in range(6))
+    turns = spark.createDataFrame([(c, i, said()) for c in range(8) for i in range(2 + 3 * c)] + [(90, 0, " "), (91, 0, "Yes.\nNo"), (92, 0, None)], "call_id long, seg_idx long, text string")
+    of = lambda **kw: {r.call_id: r.summary for r in notes.summarize_calls(turns, 3, 4, **kw).collect()}
+    each = of(row_sentences=0)
+    assert len(each) == 11 and each[91] == "Yes. No" and each[90] == each[92] == notes.NO_TRANSCRIPT
+    assert each == of() == of(row_sentences=15) == of(row_chars=300)
