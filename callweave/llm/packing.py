@@ -56,6 +56,14 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+def shown_bytes(text: str) -> str:
+    """The UTF-8 bytes of a text as a byte-level vocabulary writes them, by searches: ``translate`` looks every character up."""
+    shown = text.encode().decode("latin-1")
+    for b, other in BYTES.items():
+        shown = shown.replace(chr(b), chr(other))
+    return shown
+
+
 class Encoder:
     """Token ids of whole texts, chunks encoded once."""
 
@@ -86,12 +94,11 @@ class Encoder:
         known.update((c, ids.tobytes()) for c, ids in zip(fresh, self._ids(fresh)))
         return known
 
-    def _words(self, distinct: set[str]) -> dict[str, bytes]:
-        """The tokens of words, each with a space before it unless it begins with a line end."""
+    def _words(self, distinct: set[str], fresh: set[str]) -> dict[str, bytes]:
+        """The tokens of words, each with a space before it unless it begins with a line end; ``fresh`` are those not known yet."""
         known = self.words
         if len(known) + 2 * len(distinct) > MEMO:
             known = self.words = {c: known[c] for c in distinct if c in known}
-        fresh = distinct.difference(known)
         found = [m for m in map(LETTERS.fullmatch, fresh) if m] if self.bytewise else []
         self._letters(known, list({m[1] for m in found}.difference(known)))
         fresh = fresh.difference([m[0] for m in found])
@@ -108,7 +115,7 @@ class Encoder:
         tokenize = self.tokenizer.model.tokenize
         for begin in range(0, len(heads), JOINED):
             some = heads[begin : begin + JOINED]
-            shown = "\n".join([h[1:] if h[0] == "\n" else " " + h for h in some]).encode().decode("latin-1").translate(BYTES)
+            shown = shown_bytes("\n".join([h[1:] if h[0] == "\n" else " " + h for h in some]))
             ids, ends = [], [0]
             for h, word in zip(some, shown.split(chr(BYTES[10]))):
                 if h[0] == "\n":
@@ -137,11 +144,12 @@ class Encoder:
         heads = [p.pop(0) for p in parts]
         words = set().union(*parts)
         # A space after white space does not begin a chunk. Such words are never remembered.
-        unsafe = {w for w in words.difference(self.words) if not w or w[-1].isspace()}
+        fresh = words.difference(self.words)
+        unsafe = {w for w in fresh if not w or w[-1].isspace()}
         safe = lambda head, part: head and not head[-1].isspace() and (not unsafe or unsafe.isdisjoint(part))
         plain = [bool(safe(h, p)) for h, p in zip(heads, parts)]
         split = [[h] if ok else CHUNK.split(t) if t else [] for t, h, ok in zip(texts, heads, plain)]
-        known = self._words(words - unsafe)
+        known = self._words(words, fresh - unsafe if unsafe else fresh)
         chunks = self._chunks(set().union(*split))
         for part, first, ok in zip(parts, split, plain):
             head = b"".join([chunks[c] for c in first])

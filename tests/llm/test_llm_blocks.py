@@ -132,3 +132,8 @@ def test_only_members_with_a_near_signature_get_bodies(spark):
     placed = spark.createDataFrame([(1, 0, 0, i, names[i]) for i in range(30)], "bucket long, low int, high int, id long, component long")
     bodies = spark.createDataFrame([(i, s) for i, s in enumerate(sigs)], "id long, sig binary")
     assert sorted(r.id for r in components._near_members(placed, bodies, 45).collect()) == [3, 7]
+
+
+def test_bytes_are_shown_as_by_the_vocabulary():
+    text = "".join(map(chr, [*range(0x250), 0x938, 0x20AC, 0x1F600])) + "a b\nc ­" * 3
+    assert packing.shown_bytes(text) == text.encode().decode("latin-1").translate(packing.BYTES)
