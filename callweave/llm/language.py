@@ -19,7 +19,7 @@ import re
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +36,9 @@ WORDS = 100_000
 GRAMS = 50_000
 LONGEST = 5
 SMOOTHING = 0.5
+#: Unseen words that a task remembers, and distinct words of texts that are scored at once.
+SEEN = 200_000
+PIECE = 20_000
 UNKNOWN = "und"
 RESULT = "struct<lang_pred:string,score:double>"
 
@@ -51,6 +54,19 @@ def _classed(kinds: str) -> str:
 LETTERS = re.compile(f"[{_classed('L')}][{_classed('LM')}]*")
 
 
+#: ASCII but its letters becomes spaces; bytes of other characters stay.
+PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, as LETTERS finds them; it is asked only for pieces that are not letters alone."""
+    plain = text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).decode("utf-8", "surrogatepass")
+    pieces = plain.split()
+    if plain.isascii() or all(map(str.isalpha, pieces)):
+        return pieces
+    return [w for p in pieces for w in ((p,) if p.isalpha() else LETTERS.findall(p))]
+
+
 def grams(word: str, n: int) -> list[str]:
     """Character n-grams of a word; from 2 on its ends are marked."""
     w = word if n == 1 else f"<{word}>"
@@ -74,36 +90,75 @@ class Model:
     vectors: np.ndarray | None = None
     orders: list = field(default_factory=list)
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row for each unseen word: the mean of its known n-grams of the greatest order that has any."""
+        out = np.zeros((len(words), len(self.languages)))
+        left = list(range(len(words)))
         for n, places, table in self.orders:
-            at = [i for g in grams(word, n) if (i := places.get(g)) is not None]
-            if at:
-                return table[at].mean(0)
-        return np.zeros(len(self.languages))
-
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        counts = Counter(words)
-        total = np.zeros(len(self.languages))
-        at, times = [], []
-        for w, n in counts.items():
-            i = self.words.get(w)
-            if i is not None:
-                at.append(i)
-                times.append(n)
-                continue
-            v = cache.get(w)
-            if v is None:
-                v = self.unseen(w)
-                if len(cache) < 100_000:
-                    cache[w] = v
-            total += n * v
-        if at:
-            total += np.array(times, np.float64) @ self.vectors[at]
-        best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+            at, owners, starts, rest, get = [], [], [], [], places.get
+            for k in left:
+                found = [i for g in grams(words[k], n) if (i := get(g)) is not None]
+                if found:
+                    owners.append(k)
+                    starts.append(len(at))
+                    at += found
+                else:
+                    rest.append(k)
+            if owners:
+                sizes = np.diff(np.r_[starts, len(at)])
+                out[owners] = np.add.reduceat(table[at], starts, axis=0) / sizes[:, None]
+            left = rest
+        return out
+
+    def predict(self, text: str | None, cache: dict | None = None) -> tuple[str, float]:
+        """Language and score of one text; ``cache`` is not needed any more."""
+        return next(Scorer(self).predict([text]))
+
+
+class Scorer:
+    """Scores texts in turn; unseen words that it has met are not looked up by their n-grams again."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.places = dict(self.model.words)
+        self.table = self.model.vectors
+
+    def totals(self, bags: list[Counter]) -> np.ndarray:
+        """The sums of log frequencies of bags of words, a row each."""
+        if len(self.places) > len(self.model.words) + SEEN:
+            self.forget()
+        places = self.places
+        fresh = list(dict.fromkeys(w for bag in bags for w in bag if w not in places))
+        if fresh:
+            places.update(zip(fresh, range(len(places), len(places) + len(fresh))))
+            self.table = np.concatenate([self.table, self.model.unseen(fresh)])
+        at = np.fromiter((places[w] for bag in bags for w in bag), np.int64)
+        times = np.fromiter((n for bag in bags for n in bag.values()), np.float64)
+        owner = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+        return np.stack([np.bincount(owner, times * column[at], len(bags)) for column in self.table.T], axis=1)
+
+    def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """Language and score of each text, some texts at a time."""
+        bags: list[Counter] = []
+        size = 0
+        for text in texts:
+            bags.append(Counter(words_of(text)) if text else Counter())
+            size += len(bags[-1])
+            if size >= PIECE or len(bags) >= PIECE:
+                yield from self._named(bags)
+                bags, size = [], 0
+        yield from self._named(bags)
+
+    def _named(self, bags: list[Counter]) -> Iterator[tuple[str, float]]:
+        languages = self.model.languages
+        totals = self.totals(bags) if bags and languages else np.zeros((len(bags), 1))
+        best = totals.argmax(axis=1)
+        scores = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1) if bags else ()
+        for bag, k, score in zip(bags, best.tolist(), scores):
+            yield (languages[k], float(score)) if bag and languages else (UNKNOWN, 0.0)
 
 
 def fit_rows(rows: list[tuple[str, str | None]]) -> Model:
@@ -111,7 +166,7 @@ def fit_rows(rows: list[tuple[str, str | None]]) -> Model:
     languages = sorted({lang for lang, _ in rows})
     words = {lang: Counter() for lang in languages}
     for lang, text in rows:
-        words[lang].update(LETTERS.findall((text or "").lower()))
+        words[lang].update(words_of(text or ""))
     model = Model(languages)
     model.words, model.vectors = _log_frequencies(words, languages, WORDS, 2)
     for n in range(LONGEST, 0, -1):
@@ -145,9 +200,9 @@ def predict(model: Model, text: Column) -> Column:
 
     @F.pandas_udf(RESULT)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
+        scorer = Scorer(model)
         for texts in batches:
-            found = [model.predict(t if isinstance(t, str) else None, cache) for t in texts]
+            found = scorer.predict(t if isinstance(t, str) else None for t in texts)
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return of(text)

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,28 @@ def test_marks_belong_to_words():
     assert language.LETTERS.findall("हिन्दी में ภาษาไทย, n\u0303o ½x") == ["हिन्दी", "में", "ภาษาไทย", "n\u0303o", "x"]
 
 
+def test_plain_texts_are_scored_together_as_one_by_one(monkeypatch):
+    rows = [("de", "der die das dass Straße und über " * 3), ("en", "the thing that thinks and over " * 3)]
+    model = language.fit_rows(rows)
+    texts = ["The thang, over-the über 12!", None, "", "STRASSE Straßen", "qqq", "n\u0303o हिन्दी ½x", "the\u00a0thing"] * 3
+    words = [language.LETTERS.findall((t or "").lower()) for t in texts]
+    assert [language.words_of(t or "") for t in texts] == words
+    found = list(language.Scorer(model).predict(texts))
+    assert found == [model.predict(t) for t in texts]
+    for (name, score), ws in zip(found, words):
+        sums = np.zeros(2)
+        for w in ws:
+            of = [model.vectors[model.words[w]]] if w in model.words else []
+            for n, places, table in model.orders:
+                of = of or [table[places[g]] for g in language.grams(w, n) if g in places]
+            sums += np.mean(of, axis=0) if of else 0
+        best = int(np.argmax(sums))
+        assert name == (model.languages[best] if ws else "und")
+        assert score == pytest.approx(1 / np.exp(sums - sums[best]).sum() if ws else 0)
+    monkeypatch.setattr(language, "LETTERS", None)  # letters alone need no search over character classes
+    assert model.predict("Das thing, über 12!")[0] in ("de", "en")
+
+
 def test_language_is_fitted_on_few_rows_of_each(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("aa bb").alias("text"), F.when(F.col("id") % 10 == 0, "x").otherwise("y").alias("lang"))
     seen = []
