@@ -21,6 +21,8 @@ from callweave.operators.monoid import chained
 from callweave.operators.scans import BLOCK, BLOCK_ROWS, column_quantiles, previous, quantiles, quiet_runs, shared, with_halo
 
 CALL = ["call_id"]
+#: Spectra of up to so many frames of a call are held in one row.
+ROW_FRAMES = 2000
 
 
 # --- speech activity ---------------------------------------------------------------------------
@@ -155,13 +157,31 @@ def snr_by_silence(frames: DataFrame, silence: DataFrame) -> DataFrame:
     )
 
 
-def snr_by_spectrum(spectra: DataFrame) -> DataFrame:
-    """Speech over noise power from per-bin noise floors.
+def _quantile_of(values: np.ndarray, p: float) -> np.ndarray:
+    """The quantile of each column, interpolated as in ``quantiles``."""
+    ordered, rank = np.sort(values, axis=0), p * (len(values) - 1)
+    a, b = ordered[int(np.floor(rank))], ordered[int(np.ceil(rank))]
+    return a + (b - a) * (rank - np.floor(rank))
 
-    ``spectra`` has (call_id, frame_idx, power, mags array). Noise is the mean square of each bin's
-    5th percentile; speech is the mean power of frames from the 60th percentile.
-    """
-    spectra = shared(spectra)
+
+def _spectrum_in_rows(spectra: DataFrame) -> DataFrame:
+    """(call_id, speech, noise) of calls whose frames fit in a row; no bin of a frame becomes a row of its own."""
+
+    def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            speech, noise = [], []
+            for powers, mags in zip(pdf["powers"], pdf["mags"]):
+                power = np.asarray(powers, float)
+                speech.append(power[power >= _quantile_of(power, 0.60)].mean())
+                noise.append((_quantile_of(np.array([np.asarray(m, float) for m in mags]), 0.05) ** 2).mean())
+            yield pd.DataFrame({"call_id": pdf["call_id"], "speech": speech, "noise": noise})
+
+    rows = spectra.groupBy("call_id").agg(F.collect_list("power").alias("powers"), F.collect_list("mags").alias("mags"))
+    return rows.mapInPandas(levels, f"call_id {_type_of_call(spectra)}, speech double, noise double")
+
+
+def _spectrum_by_scans(spectra: DataFrame) -> DataFrame:
+    """(call_id, speech, noise) of calls of any length."""
     bins = spectra.select("call_id", F.posexplode("mags").alias("bin", "mag"))
     floors = quantiles(bins, ["call_id", "bin"], "mag", {"floor": 0.05})
     noise = floors.groupBy("call_id").agg(F.avg(F.col("floor") * F.col("floor")).alias("noise"))
@@ -173,7 +193,26 @@ def snr_by_spectrum(spectra: DataFrame) -> DataFrame:
         .groupBy("call_id")
         .agg(F.avg("power").alias("speech"))
     )
-    return speech.join(noise, "call_id").select(
+    return speech.join(noise, "call_id")
+
+
+def snr_by_spectrum(spectra: DataFrame, row_frames: int = ROW_FRAMES) -> DataFrame:
+    """Speech over noise power from per-bin noise floors.
+
+    ``spectra`` has (call_id, frame_idx, power, mags array). Noise is the mean square of each bin's
+    5th percentile; speech is the mean power of frames from the 60th percentile. Calls of up to
+    ``row_frames`` frames are summed up in a row, the bins of longer ones by scans.
+    """
+    spectra = shared(spectra)
+    bins, x = F.size("mags"), F.col("power")
+    # Only plain numbers and as many bins in every frame; what else there may be is left to the scans.
+    plain = (bins > 0) & x.isNotNull() & ~F.isnan(x) & F.forall("mags", lambda m: m.isNotNull() & ~F.isnan(m))
+    sizes = spectra.groupBy("call_id").agg(
+        ((F.count(F.lit(1)) <= row_frames) & F.every(F.coalesce(plain, F.lit(False))) & (F.min(bins) == F.max(bins))).alias("__fits")
+    )
+    sized = spectra.select("call_id", "power", "mags").join(sizes, "call_id")
+    levels = _spectrum_in_rows(sized.where("__fits").drop("__fits")).unionByName(_spectrum_by_scans(sized.where("not __fits").drop("__fits")))
+    return levels.select(
         "call_id", decibels(F.col("speech"), F.col("noise")).alias("snr_db"), F.lit("spectrum").alias("path")
     )
 

@@ -123,7 +123,7 @@ sv AS (SELECT sp.call_id, avg(power) AS speech FROM sp JOIN s6 ON sp.call_id = s
     FROM sv JOIN sn ON sv.call_id = sn.call_id""",
 )
 def ag14s(spark, d):
-    spectra = signal.frame_spectra(standins.vector_blocks(spark, d), 1600, 1600)
+    spectra = scans.shared(signal.frame_spectra(standins.vector_blocks(spark, d), 1600, 1600))
     frames = spectra.select("call_id", "frame_idx", F.col("power").alias("energy"))
     return signal.snr(frames, spectra).select("call_id", "path", steady(F.col("snr_db"), 4).alias("snr_db"))
 

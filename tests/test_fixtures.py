@@ -494,3 +494,14 @@ def test_letters_are_swapped_without_a_string_for_each(spark):
     for t, x, y in got.collect():
         assert x == (None if t is None else t.replace(" ", "\u00a0"))
         assert y == (None if t is None else t.translate({0x17F: "s", 0x131: "i", 0x130: "i"}).lower())
+
+
+def test_spectra_of_short_calls_are_summed_up_in_a_row(spark):
+    rows = [(c, i, float((i * 37 + c) % 23), [float((i * k + c) % 19) for k in (3, 5, 7)]) for c in range(4) for i in range(1 + 40 * c)]
+    rows += [(8, 0, 1.0, [2.0, None]), (8, 1, 3.0, [4.0, 5.0]), (9, 0, 2.0, [])]
+    spectra = spark.createDataFrame(rows, "call_id long, frame_idx long, power double, mags array<double>")
+    short = {r.call_id: r.snr_db for r in signal.snr_by_spectrum(spectra).collect()}
+    scans = {r.call_id: r.snr_db for r in signal.snr_by_spectrum(spectra, row_frames=0).collect()}
+    some = {r.call_id: r.snr_db for r in signal.snr_by_spectrum(spectra, row_frames=50).collect()}
+    assert sorted(short) == sorted(scans) == sorted(some) == [0, 1, 2, 3, 8]
+    assert short == pytest.approx(scans) and some == pytest.approx(scans)
