@@ -294,3 +294,11 @@ def test_near_stage_keeps_one_row(spark):
     docs = spark.createDataFrame([*rows, *rows, *nulls], "doc_id long, text string").repartition(5)
     kept = corpus_pipeline.near_stage(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted({t for _, t in [*rows, *nulls]})
+
+
+def test_texts_are_cut_once(spark):
+    """A filter on what is left of a text runs behind the cutting; it does not cut the text a second time."""
+    docs = spark.createDataFrame([(i, f"some words of line number {i % 3}\nother {i}\n", 40) for i in range(9)], "doc_id long, text string, n_chars int")
+    cut = fuzzy_lines.dedup_texts(docs)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text for r in cut.collect()}[3] == "other 3\n"
