@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import discard, written
-from callweave.llm.shingles import jaccard_counts
+from callweave.llm.shingles import distinct, jaccard_counts
 
 #: A block of members that are compared with another block: rows, and bytes of their sets.
 BLOCK_ROWS = 400
@@ -144,9 +144,10 @@ def _candidates(names: list[int], sigs: list[bytes], agree: int) -> tuple[np.nda
     fits = name[:, None] != name[None, :]
     if agree:
         own = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
-        for i in range(len(own)):
-            fits[i] &= (own[i] == own).sum(axis=1) >= agree
-    return np.nonzero(np.triu(fits))
+        for begin in range(0, len(own), 64):
+            fits[begin : begin + 64] &= np.count_nonzero(own[begin : begin + 64, None] == own[None], axis=2) >= agree
+    i, j = np.nonzero(fits)
+    return i[i < j], j[i < j]
 
 
 def _connecting(ids: list[int], names: list[int], pairs, found: dict[int, np.ndarray], per_cent: int) -> list[tuple[int, int]]:
@@ -252,7 +253,7 @@ def _near_members(placed: DataFrame, bodies: DataFrame, agree: int) -> DataFrame
             out = []
             for group, (ids, names, sigs) in groups:
                 if len(set(names)) > 1:
-                    used = np.unique(np.concatenate(_candidates(names, sigs, agree))).tolist()
+                    used = distinct(np.concatenate(_candidates(names, sigs, agree))).tolist()
                     out += [(*group, ids[k], names[k]) for k in used]
             yield pd.DataFrame(out, columns=[*GROUP, "id", "component"]).astype("int64")
 
@@ -282,7 +283,7 @@ def _rest(left: DataFrame, bodies: DataFrame, per_cent: int, sets: Sets, agree:
             for _, (ids, names, texts, sigs) in groups:
                 if len(set(names)) > 1:
                     pairs = _candidates(names, sigs, agree)
-                    used = np.unique(np.concatenate(pairs)).tolist()
+                    used = distinct(np.concatenate(pairs)).tolist()
                     if used:
                         plans.append((ids, names, pairs, used, len(need)))
                         need += [texts[k] for k in used]
@@ -333,14 +334,14 @@ def linked(
     ``members`` has (bucket, id), repeated rows count once. In each of the star rounds every bucket names one of its members as hub, and
     only (member, hub) pairs whose components still differ are confirmed, after the cheaper test ``near``. What is left after the stars are the
     buckets that hold more than one component; there, blocks of members are compared with each other (``_rest``), so no connection is
-    lost and no list of pairs is made. Copies of one text never come here: they are one member.
+    lost and no list of pairs is made. Without ``near`` a hub has met all others of its bucket as blocks would, so it leaves the bucket, and buckets of
+    two are done with. Copies of one text never come here: they are one member.
 
     ``bodies_of`` is called once with the distinct ids that share a bucket with another and gives what their sets are made of (id, body);
     ``sets`` makes the sorted hashes of a list of bodies. With ``agree``, bodies also have ``sig``, and only members whose signatures have that many bytes
     in common are compared. ``met`` is called when ``members`` has been read for the last time.
     """
-    found = bodies = nodes = None
-    passing: list[DataFrame] = []
+    bodies = nodes = None
     members = before = written(shared_buckets(members), purpose)
     met()
     for step in range(stars + 1):
@@ -356,7 +357,8 @@ def linked(
         placed = written(placed.join(per.select("bucket", "hub"), "bucket"), purpose)
         discard(before)
         before = placed
-        members = placed.select("bucket", "id")  # the other buckets are done with
+        # The other buckets are done with.
+        members = (placed if near is not None else placed.where(F.col("id") != F.col("hub.id"))).select("bucket", "id")
         if bodies is None:
             bodies = bodies_of(placed.select("id").distinct())
             bodies = written(bodies.withColumn("size", F.octet_length("body")), purpose)
@@ -370,9 +372,8 @@ def linked(
             discard(pairs)
         else:
             links = written(_rest(placed, bodies, per_cent, sets, agree, purpose), purpose)
-        found = links if found is None else found.unionByName(links)
-        discard(nodes)
-        nodes = components(found, purpose)
-        passing.append(links)
-    discard(before, bodies, *passing)
+        # The components so far stand for the links they came from.
+        old, nodes = nodes, components(links if nodes is None else links.unionByName(nodes.select(F.col("id").alias("a"), F.col("component").alias("b"))), purpose)
+        discard(old, links)
+    discard(before, bodies)
     return nodes

@@ -102,8 +102,9 @@ class Embedding:
                 for step in range(self.last + 1):
                     c = points[at]
                     c[at >= end] = 0
+                    wide = c.astype(np.uint64) + np.uint64(1)
                     for repeat, salt in self.sampled[step]:
-                        acc[repeat] += (c.astype(np.uint64) + np.uint64(1)) * salt
+                        acc[repeat] += wide * salt
                     at += self.moves[step][c]
         out ^= out >> np.uint64(29)
         with np.errstate(over="ignore"):

@@ -101,6 +101,8 @@ def copies(
     ).withColumns({"class": size_class(F.col("size")), "salt": F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(SALTS)).cast("int")})
     # Null sources share a block key of their own: joins below are on a key that is never null.
     sized = sized.withColumn("named", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
+    # Written, so that words are counted once: the blocks read the small columns, and a filter on the class does not count again.
+    sized = written(sized, "sized")
     key = ["named", "class", "salt"]
     blocks = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.first("source").alias("source"))
     targets = source_targets(
@@ -129,7 +131,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
 def op9_mixing(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text")
-    narrow = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("n")), "sizes")
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("n"))
     return copies(narrow, F.col("n")).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )

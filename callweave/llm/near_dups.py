@@ -37,7 +37,7 @@ DISTANCE = 2 * CHUNKS - 1
 PER_CENT = 85
 NO_ID = 2**63 - 1
 #: Rows taken at once inside a task.
-ROWS = 512
+ROWS = 64
 
 #: Symbols of each chunk.
 CUTS = [np.arange(SYMBOLS * i // CHUNKS, SYMBOLS * (i + 1) // CHUNKS) for i in range(CHUNKS)]
@@ -112,7 +112,8 @@ def groups(keys: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        firsts = classes.join(ids.withColumnRenamed("id", "node"), "node").select("node", "first.id", "first.mark")
+        # Numbers of a few documents as a rule: written, so that Spark knows their size and need not shuffle all texts to find theirs.
+        firsts = written(classes.join(ids.withColumnRenamed("id", "node"), "node").select("node", "first.id", "first.mark"), "places")
         texts = keys.join(firsts, ["id", "mark"]).select("node", "text")
 
         def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,22 +144,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"), F.col("text"))
 
 
+def _firsts(keys: DataFrame, per_cent: int) -> DataFrame:
+    """(id, mark) of the first document of each component."""
+    return written(groups(keys, per_cent).where((F.col("id") == F.col("first_id")) & (F.col("mark") == F.col("first_mark"))).select("id", "mark"), "firsts")
+
+
 def keep_one(docs: DataFrame, per_cent: int = 80) -> DataFrame:
     """The first document of each component, with its columns as they are."""
     keys = keyed(docs)
-    firsts = written(groups(keys, per_cent).where((F.col("id") == F.col("first_id")) & (F.col("mark") == F.col("first_mark"))).select("id", "mark"), "firsts")
-    return keys.join(firsts, ["id", "mark"], "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return keys.join(_firsts(keys, per_cent), ["id", "mark"], "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_one_row(docs: DataFrame, per_cent: int = 80) -> DataFrame:
     """One row of each component: of rows with equal id and text, and of null ids with equal texts, a single one stays."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = written(keep_one(docs, per_cent).select(row, F.monotonically_increasing_id().alias("number")), "kept")
-    mark = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
-    keys = kept.select("number", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("id"), mark.alias("mark"))
-    # The sums before the exchange leave one row per key and task.
-    ones = keys.groupBy("id", "mark").agg(F.min("number").alias("number"))
-    return kept.join(ones.select("number"), "number", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    keys = keyed(docs)
+    # A row per key and task goes into the one exchange, which serves the join as well.
+    ones = keys.select("row", "id", "mark").dropDuplicates(["id", "mark"])
+    return ones.join(_firsts(keys, per_cent), ["id", "mark"], "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_near_dups(spark, folder: str) -> DataFrame:

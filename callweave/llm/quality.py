@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import crc_mod
+from callweave.llm.shingles import distinct
 
 PER_CLASS = 2000
 VOCABULARY = 40_000
@@ -41,6 +44,8 @@ WINDOW = 2
 HIDDEN = 24
 EPOCHS = 60
 SEED = 7
+#: Characters of the texts whose words are numbered together.
+PIECE = 1_000_000
 
 _SHAPES = str.maketrans(
     {**{c: "A" for c in map(chr, range(65, 91))}, **{c: "a" for c in map(chr, range(97, 123))}, **{c: "0" for c in "0123456789"}}
@@ -48,12 +53,17 @@ _SHAPES = str.maketrans(
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
+@lru_cache(100_000)
+def _form(shown: str) -> str:
+    """What is left of a word whose ASCII letters and digits are shown by their classes."""
+    if not shown.isascii():
+        shown = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in shown)
+    return _RUNS.sub(r"\1", shown)[:8]
+
+
 def shape(word: str) -> str:
     """Case, digits and marks of a word, with runs cut to one: ``Ab12!!`` gives ``Aa0!``."""
-    w = word.translate(_SHAPES)
-    if not w.isascii():
-        w = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in w)
-    return _RUNS.sub(r"\1", w)[:8]
+    return _form(word.translate(_SHAPES))
 
 
 @dataclass
@@ -67,32 +77,40 @@ class Model:
     temperature: float
     constant: float | None = None
 
-    def inputs(self, text: str | None, known_shapes: dict[str, int]) -> np.ndarray:
-        words = text.split() if text else []
-        out = np.zeros(2 * DIM + 4, np.float64)
-        if not words:
-            return out
-        get, places = self.words.get, self.shapes
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        counts = Counter(words)
-        by_shape: Counter = Counter()
-        for w, n in counts.items():
-            s = known_shapes.get(w)
-            if s is None:
-                s = places.get(shape(w), -1)
-                if len(known_shapes) < 200_000:
-                    known_shapes[w] = s
-            by_shape[s] += n
-        lost = by_shape.pop(-1, 0)
-        if by_shape:
-            at = np.fromiter(by_shape.keys(), np.int64, len(by_shape))
-            n = np.fromiter(by_shape.values(), np.float64, len(by_shape))
-            out[DIM : 2 * DIM] = n @ self.vectors[at] / len(words)
-        known = ids[ids >= 0]
+    def inputs(self, texts: Sequence[str | None]) -> np.ndarray:
+        """A row of inputs for each text. The distinct words of some texts at a time are looked up once."""
+        out = np.zeros((len(texts), 2 * DIM + 4), np.float64)
+        begin = 0
+        while begin < len(texts):
+            number: defaultdict[str, int] = defaultdict(count().__next__)
+            told: list[np.ndarray] = []
+            size = 0
+            while begin + len(told) < len(texts) and size < PIECE:
+                words = (texts[begin + len(told)] or "").split()
+                size += len(texts[begin + len(told)] or "")
+                told.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            place = np.array([self.words.get(w, -1) for w in number], np.int64)
+            form = np.array([self.shapes.get(shape(w), -1) for w in number], np.int64)
+            for row, numbers in enumerate(told, begin):
+                if len(numbers):
+                    out[row] = self._input(place[numbers], form[numbers], len(distinct(numbers)))
+            begin += len(told)
+        return out
+
+    def _input(self, places: np.ndarray, forms: np.ndarray, distinct: int) -> np.ndarray:
+        """The inputs of a text from the places of its words and of their shapes (-1: not in the model)."""
+        out, n_words = np.zeros(2 * DIM + 4, np.float64), len(places)
+        shapes, first, n = np.unique(forms[forms >= 0], return_index=True, return_counts=True)
+        if len(shapes):
+            # Sums are made in the order of the text.
+            order = np.argsort(first)
+            out[DIM : 2 * DIM] = n[order].astype(np.float64) @ self.vectors[shapes[order]] / n_words
+        known = places[places >= 0]
         for begin in range(0, len(known), 65_536):
             out[:DIM] += self.vectors[known[begin : begin + 65_536]].sum(0)
         out[:DIM] /= max(1, len(known))
-        out[2 * DIM :] = np.log1p(len(words)), 1 - len(known) / len(words), len(counts) / len(words), 1 + lost / len(words)
+        lost = n_words - int(n.sum())
+        out[2 * DIM :] = np.log1p(n_words), 1 - len(known) / n_words, distinct / n_words, 1 + lost / n_words
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -102,9 +120,7 @@ class Model:
     def scores(self, texts) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        known: dict[str, int] = {}
-        x = np.array([self.inputs(t, known) for t in texts]).reshape(len(texts), 2 * DIM + 4)
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(self.inputs(texts)) / self.temperature, -50, 50)))
 
 
 def _index_vector(word: str) -> np.ndarray:
@@ -184,8 +200,7 @@ def fit_rows(texts: list[str | None], labels: list[int], shares: tuple[float, fl
         return Model({}, {}, np.zeros((0, DIM), np.float32), np.zeros(0), np.ones(0), (), 1.0, constant)
     clean = [t or "" for t in texts]
     model = Model(*_word_vectors(clean), np.zeros(0), np.ones(0), (), 1.0)
-    known: dict[str, int] = {}
-    x = np.array([model.inputs(t, known) for t in clean])
+    x = model.inputs(clean)
     weight = np.where(y > 0, shares[1] / max(1, (y > 0).sum()), shares[0] / max(1, (y == 0).sum()))
     weight /= weight.mean()
     aside = np.arange(len(y)) % 5 == 4
